@@ -85,20 +85,34 @@ def fit_categories(df: DataFrame, columns, modes: dict) -> dict:
     return {c: sorted(v) for c, v in out.items()}
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased unigrams followed by bigrams (``ngram_range=(1, 2)``)."""
-    t = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
-    bi = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))),
-                     lambda i: F.concat_ws(" ", F.element_at(t, i), F.element_at(t, i + 1)))
-    bi = F.when(F.size(t) >= 2, bi).otherwise(F.array().cast("array<string>"))
+def split_tokens(text: Column) -> Column:
+    """Lower-cased word tokens (``token_pattern`` of the reference)."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
+
+
+def with_bigrams(t: Column) -> Column:
+    """Unigrams followed by bigrams (``ngram_range=(1, 2)``) of a token array
+    column; pairs come from two slices, so the array is read, not rebuilt."""
+    n = F.greatest(F.size(t) - 1, F.lit(0))
+    bi = F.zip_with(F.slice(t, 1, n), F.slice(t, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.concat(t, bi)
 
 
+def tokens(text: Column) -> Column:
+    return with_bigrams(split_tokens(text))
+
+
 def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, term, tf)`` over whole texts; NULL text -> 'missing'."""
+    """``(id, term, tf)`` over whole texts; NULL text -> 'missing'.  Tokens are
+    materialised once per row before the bigram pass."""
     txt = F.coalesce(F.col(text_col), F.lit(TEXT_MISSING))
-    return (df.select(F.col(id_col).alias("_id"), F.explode(tokens(txt)).alias("term"))
-              .groupBy("_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        # a few large files: spread the tokenizer over every core
+        df = df.repartition(slots)
+    toks = df.select(F.col(id_col).alias("_id"), split_tokens(txt).alias("_t"))
+    return (toks.select("_id", F.explode(with_bigrams(F.col("_t"))).alias("term"))
+                .groupBy("_id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def fit_vocabulary(tc: DataFrame, n_docs: int, max_features: int = TEXT_MAX_FEATURES) -> DataFrame:
@@ -114,10 +128,10 @@ def tfidf_table(df: DataFrame, id_col: str, text_col: str, max_features: int = T
     """T5 as a long table ``(id, term, tfidf)`` of non-zero weights, L2-normed
     per row.  Tokens are counted with an explode + grouped aggregate; the
     vocabulary (bounded by ``max_features``) is broadcast."""
-    fit_df = df if fit_df is None else fit_df
-    n_docs = fit_df.count()
-    vocab = fit_vocabulary(term_counts(fit_df, id_col, text_col), n_docs, max_features)
     tc = term_counts(df, id_col, text_col)
+    fit_tc = tc if fit_df is None else term_counts(fit_df, id_col, text_col)
+    n_docs = (df if fit_df is None else fit_df).count()
+    vocab = fit_vocabulary(fit_tc, n_docs, max_features)
     w = tc.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("_w", F.col("tf") * F.col("idf"))
     norm = w.groupBy("_id").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
     return (w.join(norm, "_id").select(F.col("_id").alias(id_col), "term",
@@ -179,7 +193,7 @@ class PreprocessorModel:
             for i, cat in enumerate(s["categories"][c]):
                 cols.append((v == F.lit(cat)).cast("double").alias(f"cat__{c}__{i}"))
         if s["vocab"]:
-            toks = tokens(F.coalesce(F.col(s["text"][0]), F.lit(TEXT_MISSING)))
+            toks = F.col("_toks")
             raw = [F.size(F.filter(toks, lambda t, term=term: t == F.lit(term))) * F.lit(idf)
                    for term, idf in s["vocab"]]
             norm = F.sqrt(sum((r * r for r in raw), F.lit(0.0)))
@@ -189,6 +203,9 @@ class PreprocessorModel:
 
     def transform(self, df: DataFrame, keep=None, assemble: bool = True) -> DataFrame:
         keep = list(keep) if keep is not None else df.columns
+        if self.state["vocab"]:
+            txt = F.coalesce(F.col(self.state["text"][0]), F.lit(TEXT_MISSING))
+            df = df.withColumn("_toks", tokens(txt))
         out = df.select(*keep, *self.expressions())
         if assemble:
             out = VectorAssembler(inputCols=self.output_columns(), outputCol=self.state["output_col"],

@@ -24,11 +24,13 @@ _DEFAULTS = {
 
 def get_spark(master: str | None = None, app: str = "tempora",
               shuffle_partitions: int | None = None,
-              extra: dict | None = None) -> SparkSession:
+              extra: dict | None = None, driver_memory: str | None = None) -> SparkSession:
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
     conf = dict(_DEFAULTS)
+    if driver_memory:
+        conf["spark.driver.memory"] = driver_memory
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
