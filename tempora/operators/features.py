@@ -68,7 +68,7 @@ def daily_features(df: DataFrame, horizons=DAILY_HORIZONS, lags=DAILY_LAGS,
                    windows=DAILY_WINDOWS, seq_len: int = DAILY_SEQUENCE_LENGTH, *,
                    mode: str = "blocked", block_rows: int = 100_000,
                    valid_only: bool = True, serving: bool = False,
-                   with_sequences: bool = False) -> DataFrame:
+                   with_sequences: bool = False, materialize: bool = False) -> DataFrame:
     """Daily builder.  Input: ``series_id``, ``ts`` (date or date string) and
     raw weather columns; ``temp``, ``humidity``, ``precip``, ``windspeed`` and
     ``cloudcover`` are required.
@@ -92,7 +92,7 @@ def daily_features(df: DataFrame, horizons=DAILY_HORIZONS, lags=DAILY_LAGS,
     base = _present(df, DAILY_BASE)
     halo_back = max(max(lags), max(windows) - 1, seq_len - 1, 7)
     halo_fwd = max(horizons)
-    sf = wn.prepare(df, halo_back, halo_fwd, mode=mode, block_rows=block_rows)
+    sf = wn.prepare(df, halo_back, halo_fwd, mode=mode, block_rows=block_rows, materialize=materialize)
     w = sf.w
     temp = F.col("temp")
     cols: list[Column] = [F.col(c) for c in sf.df.columns]
@@ -137,7 +137,8 @@ def sequence_columns(base, sf: wn.SeriesFrame, seq_len: int, horizons) -> list[C
 def hourly_features(df: DataFrame, lags=HOURLY_LAGS, windows=HOURLY_WINDOWS,
                     target_days: int = HOURLY_TARGET_DAYS, block_len: int = HOURS_PER_DAY, *,
                     mode: str = "blocked", block_rows: int = 100_000,
-                    valid_only: bool = True, drop_leakage: bool = True) -> DataFrame:
+                    valid_only: bool = True, drop_leakage: bool = True,
+                    materialize: bool = False) -> DataFrame:
     """Hourly builder.
 
     Targets: for d in 1..target_days, max/min of rows
@@ -156,7 +157,7 @@ def hourly_features(df: DataFrame, lags=HOURLY_LAGS, windows=HOURLY_WINDOWS,
     base = _present(df, HOURLY_BASE)
     horizon_rows = block_len * target_days
     halo_back = max(max(lags), max(windows))
-    sf = wn.prepare(df, halo_back, horizon_rows, mode=mode, block_rows=block_rows)
+    sf = wn.prepare(df, halo_back, horizon_rows, mode=mode, block_rows=block_rows, materialize=materialize)
     w = sf.w
     temp = F.col("temp")
     cols: list[Column] = [F.col(c) for c in sf.df.columns]

@@ -154,7 +154,11 @@ class Preprocessor:
 
     def fit(self, df: DataFrame) -> "PreprocessorModel":
         med = fit_medians(df, self.numeric)
-        mean, std = fit_scaling(df, self.numeric, med)
+        # columns with no value in the training rows are dropped, like the
+        # reference's median imputer does
+        numeric = [c for c in self.numeric if med.get(c) is not None]
+        med = {c: med[c] for c in numeric}
+        mean, std = fit_scaling(df, numeric, med)
         modes = fit_modes(df, self.categorical)
         cats = fit_categories(df, self.categorical, modes)
         vocab = []
@@ -163,7 +167,7 @@ class Preprocessor:
             v = fit_vocabulary(term_counts(df.withColumn("_rid", F.monotonically_increasing_id()),
                                            "_rid", self.text[0]), n, self.max_features)
             vocab = sorted((r["term"], r["idf"]) for r in v.collect())
-        return PreprocessorModel(dict(numeric=self.numeric, categorical=self.categorical, text=self.text,
+        return PreprocessorModel(dict(numeric=numeric, categorical=self.categorical, text=self.text,
                                       medians=med, means=mean, stds=std, modes=modes, categories=cats,
                                       vocab=vocab, output_col=self.output_col))
 

@@ -87,12 +87,20 @@ def number_rows(df: DataFrame, series: str = SERIES, ts: str = TS,
 
 def prepare(df: DataFrame, halo_back: int, halo_fwd: int, series: str = SERIES,
             ts: str = TS, mode: str = "blocked", block_rows: int = 100_000,
-            bucket_unit: str = "month", numbered: bool = False) -> SeriesFrame:
+            bucket_unit: str = "month", numbered: bool = False,
+            materialize: bool = False) -> SeriesFrame:
     """Number rows (unless ``numbered``) and lay out blocks with halos.
 
+    ``number_rows`` reads its input twice (the count branch only needs the
+    keys).  When the input is an expensive derived table -- e.g. a series
+    aggregated from a large raw table -- pass ``materialize=True`` to write it
+    once to the checkpoint folder first.
+
     Returns a :class:`SeriesFrame`; build window columns with ``sf.w`` /
     ``sf.rows(a, b)`` on ``sf.df``, then call ``sf.finish(result)``.
     """
+    if materialize:
+        df = df.checkpoint(eager=True)
     if not numbered:
         df = number_rows(df, series, ts, mode, bucket_unit)
     if mode == "plain":

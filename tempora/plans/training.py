@@ -45,7 +45,7 @@ def model_roles(feats: DataFrame, keep_row_id: bool = False) -> dict:
 
 
 def prepare_daily(series: DataFrame, block_rows: int = 100_000, gap: int = sp.GAP_DAILY):
-    feats = fe.daily_features(series, block_rows=block_rows)
+    feats = fe.daily_features(series, block_rows=block_rows, materialize=True)
     # Cut lineage (reliable checkpoint in spark.checkpoint.dir): every fit and
     # score below re-reads this table instead of re-planning ~100 windows.
     s = sp.chronological_split(feats, gap=gap).checkpoint(eager=True)
