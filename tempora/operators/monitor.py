@@ -33,12 +33,12 @@ def performance_log(pred: DataFrame, base_rmse, threshold: float = ALERT_THRESHO
     or a one-row DataFrame with column ``base_rmse``."""
     log = pooled_by_time(pred, by=tuple(by), time_col=time_col).drop("n")
     if isinstance(base_rmse, DataFrame):
-        log = log.join(F.broadcast(base_rmse.select("base_rmse").limit(1)), how="cross")
-        base = F.col("base_rmse")
+        # scalar subquery: evaluated once, no join
+        base = base_rmse.select(F.first("base_rmse").alias("base_rmse")).scalar()
     else:
         base = base_rmse if isinstance(base_rmse, Column) else F.lit(float(base_rmse))
-        log = log.withColumn("base_rmse", base)
-        base = F.col("base_rmse")
+    log = log.withColumn("base_rmse", base)
+    base = F.col("base_rmse")
     log = log.withColumn("degradation", F.when(base != 0, (F.col("rmse") - base) / base))
     log = log.withColumn("alert", F.coalesce(F.col("degradation") > threshold, F.lit(False)))
     w = Window.partitionBy(*by).orderBy(time_col) if by else Window.orderBy(time_col)
@@ -98,7 +98,7 @@ def report(log: DataFrame, history: DataFrame | None = None) -> DataFrame:
                     F.count(F.when(F.col("adopted"), 1)).alias("n_adopted"),
                     F.count(F.when(~F.col("adopted"), 1)).alias("n_rejected"),
                     F.avg(F.when(F.col("adopted"), F.col("improvement"))).alias("mean_adopted_improvement"))
-    return r.crossJoin(h)  # both sides are single-row aggregates
+    return r.withColumns({c: h.select(c).scalar() for c in h.columns})   # scalar subqueries
 
 
 def dashboard(log: DataFrame, history: DataFrame | None = None, threshold: float = ALERT_THRESHOLD) -> DataFrame:

@@ -265,6 +265,8 @@ FROM sq WHERE len(sx) = 30 AND {DAILY_VALID}""", ["seq_sum", "y1", "y2", "y3", "
     S["q_valid"] = f"WITH {daily_n(True)} SELECT series_id, ts, row_id, n_rows FROM dn WHERE {DAILY_VALID}"
     S["q_valid_hourly"] = f"WITH {hourly_n()} SELECT series_id, ts, row_id, n_rows FROM hn WHERE {HOURLY_VALID}"
 
+    S["q_leakage"] = R(f"WITH {hourly_n()} SELECT series_id, ts, feelslike FROM hn WHERE {HOURLY_VALID}",
+                       ["feelslike"])
     S["q_split"] = f"""WITH {daily_n(True)}, {split_cte('dn', DAILY_VALID)}
 SELECT series_id, ts, row_id, pos, n_pos, split FROM spl"""
     folds = []
