@@ -119,13 +119,15 @@ class MonitorResult:
 
 def run_monitor(train: DataFrame, stream: DataFrame, estimator, roles, targets, horizons,
                 base_rmse: float, threshold: float = mon.ALERT_THRESHOLD, drift_cols=None,
-                max_history: int = sp.MAX_HISTORY, max_epochs: int = 100, time_col: str = "ts") -> MonitorResult:
+                max_history: int = sp.MAX_HISTORY, max_epochs: int = 100, time_col: str = "ts",
+                progress=None) -> MonitorResult:
     """R1-R13 closed loop.  ``train``: initial training rows; ``stream``:
     later rows in time order (features + targets), scored day by day."""
     spark = train.sparkSession
     champion = ln.fit_horizons("champion", estimator, train, roles, targets, horizons)        # R1
     st = day_numbers(stream, time_col).checkpoint(eager=True)
-    drift = drift_by_day(train, st, drift_cols) if drift_cols else None
+    # computed once for every scored day; each epoch's trigger scan re-reads it
+    drift = drift_by_day(train, st, drift_cols).checkpoint(eager=True) if drift_cols else None
     base = float(base_rmse)
     logs, events = None, []
     start, last_retrain = 1, None
@@ -150,6 +152,8 @@ def run_monitor(train: DataFrame, stream: DataFrame, estimator, roles, targets,
         hist = _rolling_set(train, st, first, max_history, time_col)
         ev, state = champion_challenger(champion, estimator, hist, roles, targets, horizons, first,
                                         order="_q")
+        if progress:
+            progress(first, state["baseline"])
         events.append(ev)
         champion = state["model"]
         if state["baseline"] is not None:
