@@ -1,7 +1,8 @@
 """File sources (S1-S6) and serving-side column fixes.
 
-Schemas are fixed ``StructType``s (no inference pass over the data); optional
-columns are handled by presence checks on ``df.columns``.  The JSON source
+Types come from fixed ``StructType``s applied by column name (no inference
+pass over the data); optional columns are handled by presence checks on
+``df.columns``.  The JSON source
 reads provider documents ``{"days": [...]}`` and explodes them to one row per
 day; list-valued columns are normalised by type (not by sampling the first
 row as the reference does).
@@ -51,15 +52,30 @@ def with_series_key(df: DataFrame, single: str = "_") -> DataFrame:
     return df.withColumn("series_id", key)
 
 
+def typed_by_name(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Cast the columns named in ``schema`` (present ones only); values that do
+    not parse become NULL.  Unknown columns stay strings."""
+    types = {f.name: f.dataType for f in schema.fields}
+    return df.select(*[F.col(f"`{c}`").try_cast(types[c]).alias(c) if c in types and types[c] != _S
+                       else F.col(f"`{c}`") for c in df.columns])
+
+
+def _read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    # Header names, not positions, decide which column is which: read every
+    # column as a string (no inference pass) and cast the known ones by name.
+    raw = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
+    return typed_by_name(raw, schema)
+
+
 def read_daily_csv(spark: SparkSession, path: str) -> DataFrame:
     """Daily CSV -> ``series_id``, ``ts`` (date) + raw columns."""
-    df = spark.read.schema(daily_schema()).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    df = _read_csv(spark, path, daily_schema())
     return with_series_key(df).withColumn("ts", F.to_date("datetime"))
 
 
 def read_hourly_csv(spark: SparkSession, path: str) -> DataFrame:
     """Hourly CSV -> ``series_id``, ``ts`` (timestamp) + raw columns."""
-    df = spark.read.schema(hourly_schema()).option("header", True).csv(path)
+    df = _read_csv(spark, path, hourly_schema())
     return with_series_key(df).withColumn("ts", F.to_timestamp_ntz(F.col("datetime")))
 
 

@@ -87,3 +87,36 @@ def test_days_json_lists(spark):
     assert files.missing_days(spark, d).count() == 1
     filled = files.fill_serving_columns(df.drop("windspeedmax", "windspeedmean", "windspeedmin", "sealevelpressure"))
     assert filled.first()["sealevelpressure"] == 1013.25
+
+
+def test_daily_and_hourly_csv(spark):
+    d = tempfile.mkdtemp(prefix="tempora-csv-")
+    with open(os.path.join(d, "daily.csv"), "w") as f:
+        f.write("name,datetime,temp,humidity,precip,windspeed,cloudcover,preciptype,severerisk,sunrise,sunset\n")
+        f.write("City,2024-01-02,30.5,70,0.0,10,50,,,2024-01-02T06:00:00,2024-01-02T18:30:00\n")
+        f.write("City,2024-01-01,29.5,75,1.5,12,60,rain,10,2024-01-01T06:01:00,2024-01-01T18:29:00\n")
+    df = files.read_daily_csv(spark, os.path.join(d, "daily.csv"))
+    rows = {str(r["ts"]): r for r in df.collect()}
+    assert rows["2024-01-02"]["series_id"] == "City" and rows["2024-01-02"]["temp"] == 30.5
+    assert rows["2024-01-02"]["preciptype"] is None and rows["2024-01-01"]["severerisk"] == 10.0
+    from tempora.operators import features as fe
+    f = {str(r["ts"]): r for r in fe.daily_features(df, valid_only=False).collect()}
+    assert f["2024-01-02"]["preciptype"] == "none" and f["2024-01-02"]["severerisk"] == 0.0
+    assert f["2024-01-02"]["day_length_minutes"] == 750.0 and f["2024-01-01"]["sunrise_minutes"] == 361
+    assert "sunrise" not in f["2024-01-01"].asDict() and "name" not in f["2024-01-01"].asDict()
+    with open(os.path.join(d, "hourly.csv"), "w") as f2:
+        f2.write("datetime,temp,humidity\n2024-01-01T01:00:00,25.0,80\n2024-01-01T00:00:00,24.0,81\n")
+    h = files.read_hourly_csv(spark, os.path.join(d, "hourly.csv")).orderBy("ts").collect()
+    assert str(h[0]["ts"]) == "2024-01-01 00:00:00" and h[1]["temp"] == 25.0
+
+
+def test_first_available_and_stringify(spark):
+    def broken():
+        raise FileNotFoundError("no live feed")
+    empty = lambda: spark.createDataFrame([], "x int")           # noqa: E731
+    good = lambda: spark.createDataFrame([(1,)], "x int")        # noqa: E731
+    assert files.first_available(broken, empty, good).count() == 1
+    assert files.first_available(broken, empty) is None
+    df = spark.createDataFrame([(1, [1, 2], "a")], "n int, arr array<int>, s string")
+    out = files.stringify_objects(df)
+    assert dict(out.dtypes) == {"n": "int", "arr": "string", "s": "string"}
