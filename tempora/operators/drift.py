@@ -14,6 +14,7 @@ per-column result.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from math import comb
 
 import pandas as pd
@@ -53,6 +54,7 @@ def ks_statistic(baseline: DataFrame, recent: DataFrame, keys) -> DataFrame:
     return out.withColumn("d_stat", F.col("k_stat") / (F.col("n_base") * F.col("n_recent")))
 
 
+@lru_cache(maxsize=65536)
 def ks_pvalue_exact(n: int, m: int, k: int) -> float:
     """Exact two-sided ``P(D >= k/(n*m))`` under H0 (no ties): one minus the
     share of monotone lattice paths from (0,0) to (n,m) that keep

@@ -74,6 +74,8 @@ def triggers(log: DataFrame, drift: DataFrame | None = None, retrain_index: Colu
                                F.when(t3, F.lit("distribution_drift")),
                                F.when(t4, F.lit("scheduled_maintenance"))), lambda x: x.isNotNull())
     d = d.withColumn("reasons", F.array_join(reasons, ",")).withColumn("should_retrain", F.size(reasons) > 0)
+    # t1-t3 do not depend on the retrain history (used to plan retrain days)
+    d = d.withColumn("history_free", F.coalesce(t1 | t2 | t3, F.lit(False)))
     return d.drop("_drift") if drift is not None else d
 
 

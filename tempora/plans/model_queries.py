@@ -89,4 +89,19 @@ def q_champion(spark, d):
     return fin(ev)
 
 
+def q_monitor_loop(spark, d):
+    """R1-R13 closed loop over the whole test period: retrain history (one row
+    per champion/challenger event); drift tested on every numeric column."""
+    from tempora.plans.monitoring import run_monitor_batched
+    s, train, test = tr.prepare_daily(si.daily(spark, d), BLOCK_ROWS)
+    roles = tr.model_roles(s)
+    targets = [f"target_temp_t+{h}" for h in fe.DAILY_HORIZONS]
+    # the reference tests every numeric-typed training column
+    from pyspark.sql import types as T
+    drift_cols = [c for c in roles["numeric"] + roles["categorical"]
+                  if isinstance(s.schema[c].dataType, (T.DoubleType, T.IntegerType, T.LongType))]
+    r = run_monitor_batched(train, test, roles, targets, fe.DAILY_HORIZONS, drift_cols=drift_cols)
+    return fin(r.history)
+
+
 MODEL_QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q_") and callable(v)}

@@ -14,6 +14,7 @@ series is exactly the reference's row count.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -180,3 +181,197 @@ def _rolling_set(train: DataFrame, st: DataFrame, day: int, max_history: int, ti
     hist = a.unionByName(b.select(*a.columns))
     hi = hist.agg(F.max("_q")).first()[0]
     return hist.where(F.col("_q") > hi - max_history).withColumn("series_id", F.lit("_all"))
+
+
+# ------------------------------------------------------------------ batched form
+
+def _np_preprocess_fit(tr, numeric, categorical):
+    """numpy twin of ``Preprocessor.fit`` for one small group (exact median,
+    population std, mode with smallest tie, sorted categories)."""
+    import numpy as np
+    import pandas as pd
+    state = {"num": [], "cat": []}
+    for c in numeric:
+        v = pd.to_numeric(tr[c], errors="coerce").astype(float).to_numpy()
+        if np.all(np.isnan(v)):
+            continue                                   # no value: dropped
+        med = float(np.nanmedian(v))
+        filled = np.where(np.isnan(v), med, v)
+        state["num"].append((c, med, float(filled.mean()), float(filled.std())))
+    for c in categorical:
+        v = tr[c].astype("string")
+        vc = v.dropna().value_counts()
+        mode = sorted(vc[vc == vc.max()].index)[0] if len(vc) else None
+        cats = sorted(set(v.fillna(mode).dropna()))
+        state["cat"].append((c, mode, cats))
+    return state
+
+
+def _np_preprocess_apply(df, state):
+    import numpy as np
+    cols = []
+    for c, med, mu, sd in state["num"]:
+        v = df[c].astype(float).to_numpy()
+        cols.append((np.where(np.isnan(v), med, v) - mu) / (sd if sd > 0 else 1.0))
+    for c, mode, cats in state["cat"]:
+        v = df[c].astype("string").fillna(mode)
+        for cat in cats:
+            cols.append((v == cat).to_numpy(dtype=float))
+    return np.column_stack(cols) if cols else np.zeros((len(df), 0))
+
+
+def _challenger_group(numeric, categorical, targets):
+    """Per candidate day: fit preprocessing + Bayesian ridge on the retrain
+    slice, score the validation slice and the retrain slice (R9, R11)."""
+    import numpy as np
+    import pandas as pd
+    from tempora.operators.learners import BAYES_DEFAULTS, bayesian_ridge_from_gram
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        tr, va = pdf[pdf["_role"] == "retrain"], pdf[pdf["_role"] == "validation"]
+        state = _np_preprocess_fit(tr, numeric, categorical)
+        X, Y = _np_preprocess_apply(tr, state), tr[targets].to_numpy(dtype=float)
+        ok = ~np.isnan(Y).any(axis=1)
+        X, Y = X[ok], Y[ok]
+        M = np.concatenate([X, Y], axis=1)
+        f = X.shape[1]
+        G = M.T @ M
+        st = dict(n=float(len(X)), sx=X.sum(0), sy=Y.sum(0), XtX=G[:f, :f], XtY=G[:f, f:], YtY=G[f:, f:])
+        coef, icpt, _, _ = bayesian_ridge_from_gram(st, **BAYES_DEFAULTS)
+        out = {"cand": int(pdf["cand"].iloc[0]), "n_val": int(len(va))}
+        if len(va):
+            E = va[targets].to_numpy(dtype=float) - (_np_preprocess_apply(va, state) @ coef + icpt)
+            out["challenger_rmse"] = float(np.sqrt(np.nanmean(E ** 2)))
+        else:
+            out["challenger_rmse"] = None
+        Et = Y - (X @ coef + icpt)
+        out["base_rmse"], out["base_mae"] = float(np.sqrt(np.mean(Et ** 2))), float(np.mean(np.abs(Et)))
+        out["model"] = json.dumps({
+            "prep": dict(numeric=[c for c, *_ in state["num"]], categorical=[c for c, *_ in state["cat"]],
+                         text=[], medians={c: m for c, m, _, _ in state["num"]},
+                         means={c: u for c, _, u, _ in state["num"]}, stds={c: d for c, _, _, d in state["num"]},
+                         modes={c: m for c, m, _ in state["cat"]}, categories={c: k for c, _, k in state["cat"]},
+                         vocab=[], output_col="features"),
+            "coef": coef.tolist(), "intercept": icpt.tolist()})
+        return pd.DataFrame([out])
+    return fit
+
+
+def batch_challengers(hist: DataFrame, candidates, champion: ln.HorizonModel, roles, targets,
+                      retrain_window: int = sp.RETRAIN_WINDOW,
+                      validation_window: int = sp.VALIDATION_WINDOW) -> list[dict]:
+    """R9/R11 for many candidate retrain days in one job.  ``hist`` carries the
+    day position ``_q`` (training days <= 0, scored days 1..).  Each row is
+    copied to the candidates whose retrain or validation slice holds it
+    (at most ``retrain_window + validation_window`` copies); each candidate is
+    one bounded group fitted with numpy; the champion's validation RMSE per
+    candidate is a Spark aggregate.  Returns one dict per candidate."""
+    spark = hist.sparkSession
+    span = retrain_window + validation_window
+    cand = spark.createDataFrame([(int(c),) for c in candidates], "cand long")
+    rows = (hist.withColumn("cand", F.explode(F.sequence(F.col("_q") + 1, F.col("_q") + span)))
+                .join(F.broadcast(cand), "cand")       # candidates: one row per day, bounded
+                .withColumn("_role", F.when(F.col("cand") - F.col("_q") <= retrain_window, "retrain")
+                                      .otherwise("validation")))
+    feats = roles["numeric"] + roles["categorical"]
+    pdf_cols = ["cand", "_role"] + feats + list(targets)
+    schema = "cand long, n_val long, challenger_rmse double, base_rmse double, base_mae double, model string"
+    fitted = (rows.select(*pdf_cols).groupBy("cand")
+                  .applyInPandas(_challenger_group(roles["numeric"], roles["categorical"], list(targets)), schema))
+    val = rows.where(F.col("_role") == "validation")
+    e = F.col("y_true") - F.col("y_pred")
+    champ = (champion.predict(val.withColumn("split", F.col("cand").cast("string")))
+                     .groupBy(F.col("split").cast("long").alias("cand"))
+                     .agg(F.sqrt(F.avg(e * e)).alias("champion_rmse")))
+    res = fitted.join(champ, "cand", "left").orderBy("cand").collect()   # one row per candidate
+    return [r.asDict() for r in res]
+
+
+def _model_from_state(text: str, targets, horizons) -> ln.HorizonModel:
+    """Spark-side model from a grouped numpy fit (same preprocessing state
+    format as ``PreprocessorModel``; coefficients in its column order)."""
+    import numpy as np
+    from tempora.operators.preprocess import PreprocessorModel
+    st = json.loads(text)
+    br = ln.BayesianRidgeModel(np.array(st["coef"]), np.array(st["intercept"]))
+    return ln.HorizonModel("champion", PreprocessorModel(st["prep"]), br, list(targets), list(horizons))
+
+
+def plan_candidates(flags, start: int, last_retrain, min_rows: int = mon.MIN_LOG_ROWS,
+                    every: int = mon.MAINTENANCE_ROWS) -> list[int]:
+    """Retrain days from ``start`` on if every challenger were rejected:
+    a history-free trigger, or ``every`` days since the last retrain (never
+    retrained: log length >= ``every``)."""
+    out, last = [], last_retrain
+    for day, free in flags:
+        if day < start or day < min_rows:
+            continue
+        sched = (day - last >= every) if last is not None else (day >= every)
+        if free or sched:
+            out.append(day)
+            last = day
+    return out
+
+
+def run_monitor_batched(train: DataFrame, stream: DataFrame, roles, targets, horizons, base_rmse: float | None = None,
+                        threshold: float = mon.ALERT_THRESHOLD, drift_cols=None,
+                        max_history: int = sp.MAX_HISTORY, time_col: str = "ts", max_epochs: int = 100,
+                        progress=None) -> MonitorResult:
+    """R1-R13 closed loop with Bayesian ridge, challengers batched per
+    champion epoch: while the champion is unchanged the log and triggers are
+    fixed, so all candidate retrain days of the epoch are fitted in one job;
+    the first adopted candidate ends the epoch."""
+    spark = train.sparkSession
+    champion = ln.fit_horizons("champion", "bayes_ridge", train, roles, targets, horizons)
+    if base_rmse is None:   # baseline: the champion on its own training rows (as R11 refreshes it)
+        base_rmse = pooled_rmse(champion.predict(train)).first()["rmse"]
+    st = day_numbers(stream, time_col).checkpoint(eager=True)
+    drift = drift_by_day(train, st, drift_cols).checkpoint(eager=True) if drift_cols else None
+    hist_all = _rolling_set(train, st, 10 ** 9, 10 ** 9, time_col).checkpoint(eager=True)
+    base, logs, events = float(base_rmse), None, []
+    start, last_retrain = 1, None
+    for _ in range(max_epochs):
+        part = st.where(F.col(DAY) >= start)
+        pred = champion.predict(part.drop(DAY)).join(st.select(time_col, DAY).distinct(), time_col)
+        e = F.col("y_true") - F.col("y_pred")
+        lg = (pred.groupBy(time_col, DAY).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
+                  .withColumn("base_rmse", F.lit(base))
+                  .withColumn("degradation", F.when(F.col("base_rmse") != 0,
+                                                    (F.col("rmse") - F.col("base_rmse")) / F.col("base_rmse")))
+                  .withColumn("alert", F.coalesce(F.col("degradation") > threshold, F.lit(False))))
+        lg = lg.checkpoint(eager=True)
+        full = lg if logs is None else logs.unionByName(lg)
+        trig = mon.triggers(full, drift=drift, threshold=threshold)
+        flags = [(r[DAY], r["history_free"]) for r in
+                 trig.where(F.col(DAY) >= start).select(DAY, "history_free").orderBy(DAY).collect()]   # one row per day
+        cands = plan_candidates(flags, start, last_retrain)
+        if not cands:
+            logs = full
+            break
+        # candidates in growing chunks: an early adoption wastes few fits,
+        # a long run of rejections needs few jobs
+        adopted_day, pos, chunk = None, 0, 8
+        while pos < len(cands) and adopted_day is None:
+            for r in batch_challengers(hist_all, cands[pos:pos + chunk], champion, roles, targets):
+                ch, cl = r["champion_rmse"], r["challenger_rmse"]
+                adopted = (cl is None) or (ch is not None and cl < ch)
+                imp = (ch - cl) / ch * 100 if (ch and cl is not None) else None
+                events.append((int(r["cand"]), bool(adopted), ch, cl, imp))
+                last_retrain = int(r["cand"])
+                if adopted:
+                    adopted_day = int(r["cand"])
+                    base = float(r["base_rmse"])
+                    new_champion = _model_from_state(r["model"], targets, horizons)
+                    break
+            pos, chunk = pos + chunk, chunk * 2
+        if progress:
+            progress(cands[0], len(cands), adopted_day)
+        if adopted_day is None:
+            logs = full
+            break
+        logs = full.where(F.col(DAY) <= adopted_day)
+        champion = new_champion          # the adopted challenger, as fitted in its group
+        start = adopted_day + 1
+    history = spark.createDataFrame(events, "day_index long, adopted boolean, champion_rmse double, "
+                                            "challenger_rmse double, improvement double")
+    return MonitorResult(logs, history, mon.report(logs, history), mon.dashboard(logs, history, threshold))

@@ -58,3 +58,26 @@ def test_no_train_test_overlap_within_gap(prepared):
     hi = train.agg(F.max("row_id")).first()[0]
     lo = test.agg(F.min("row_id")).first()[0]
     assert lo - hi == 15          # 14 gap rows between
+
+
+def test_batched_challenger_matches_spark_path(spark, prepared):
+    from tempora.plans import monitoring as mo
+    s, train, test, roles = prepared
+    champ = ln.fit_horizons("champion", "bayes_ridge", train, roles, TARGETS, HS)
+    st = mo.day_numbers(test)
+    day = 40
+    hist = mo._rolling_set(train, st, day, 180, "ts")
+    ev, state = mo.champion_challenger(champ, "bayes_ridge", hist, roles, TARGETS, HS, day, order="_q")
+    e = ev.first()
+    allh = mo._rolling_set(train, st, 10 ** 9, 10 ** 9, "ts")
+    r = mo.batch_challengers(allh, [day], champ, roles, TARGETS)[0]
+    assert r["champion_rmse"] == pytest.approx(e["champion_rmse"], rel=1e-9)
+    assert r["challenger_rmse"] == pytest.approx(e["challenger_rmse"], rel=1e-6)
+
+
+def test_plan_candidates():
+    from tempora.plans.monitoring import plan_candidates
+    flags = [(d, d in (40, 41)) for d in range(1, 200)]
+    assert plan_candidates(flags, 1, None) == [40, 41, 131]
+    assert plan_candidates(flags, 1, 10) == [40, 41, 131]
+    assert plan_candidates([(d, False) for d in range(1, 100)], 1, None) == [90]
