@@ -316,12 +316,24 @@ def plan_candidates(flags, start: int, last_retrain, min_rows: int = mon.MIN_LOG
 def run_monitor_batched(train: DataFrame, stream: DataFrame, roles, targets, horizons, base_rmse: float | None = None,
                         threshold: float = mon.ALERT_THRESHOLD, drift_cols=None,
                         max_history: int = sp.MAX_HISTORY, time_col: str = "ts", max_epochs: int = 100,
-                        progress=None) -> MonitorResult:
+                        progress=None, max_group_rows: int = 2_000_000) -> MonitorResult:
     """R1-R13 closed loop with Bayesian ridge, challengers batched per
     champion epoch: while the champion is unchanged the log and triggers are
     fixed, so all candidate retrain days of the epoch are fitted in one job;
-    the first adopted candidate ends the epoch."""
+    the first adopted candidate ends the epoch.
+
+    A candidate's group holds its retrain + validation days of all series;
+    when that could exceed ``max_group_rows`` (many series per day) the loop
+    runs as ``run_monitor`` instead, whose fits are distributed Spark jobs."""
     spark = train.sparkSession
+    per_day = max(train.groupBy(time_col).count().agg(F.max("count")).first()[0] or 0,
+                  stream.groupBy(time_col).count().agg(F.max("count")).first()[0] or 0)
+    if per_day * (sp.RETRAIN_WINDOW + sp.VALIDATION_WINDOW) > max_group_rows:
+        if base_rmse is None:
+            base_rmse = pooled_rmse(ln.fit_horizons("champion", "bayes_ridge", train, roles, targets, horizons)
+                                    .predict(train)).first()["rmse"]
+        return run_monitor(train, stream, "bayes_ridge", roles, targets, horizons, base_rmse, threshold,
+                           drift_cols, max_history, max_epochs, time_col)
     champion = ln.fit_horizons("champion", "bayes_ridge", train, roles, targets, horizons)
     if base_rmse is None:   # baseline: the champion on its own training rows (as R11 refreshes it)
         base_rmse = pooled_rmse(champion.predict(train)).first()["rmse"]
