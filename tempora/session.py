@@ -19,6 +19,9 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    # delete checkpoint files once their DataFrame is garbage-collected, so
+    # the shared checkpoint folder does not grow across jobs
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
