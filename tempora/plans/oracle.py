@@ -79,8 +79,8 @@ def daily_n(multi: bool = False) -> str:
     return numbered(daily_src("o_orderpriority" if multi else "'_'"), DAILY_PRESENT, "dn")
 
 
-def hourly_n() -> str:
-    return numbered(hourly_src(), ['temp'] + HOURLY_PRESENT, "hn")
+def hourly_n(multi: bool = False) -> str:
+    return numbered(hourly_src("event_type" if multi else "'_'"), ['temp'] + HOURLY_PRESENT, "hn")
 
 
 # ------------------------------------------------------------------ features
@@ -136,9 +136,9 @@ def hourly_feature_cols() -> list[tuple[str, str]]:
     return out
 
 
-def hourly_feats() -> str:
+def hourly_feats(multi: bool = False) -> str:
     cols = ",\n  ".join(f"{e} AS {q(n)}" for n, e in hourly_feature_cols())
-    return f"""{hourly_n()},
+    return f"""{hourly_n(multi)},
 hf_all AS (SELECT *, {cols} FROM hn)"""
 
 
@@ -265,6 +265,10 @@ FROM sq WHERE len(sx) = 30 AND {DAILY_VALID}""", ["seq_sum", "y1", "y2", "y3", "
     S["q_valid"] = f"WITH {daily_n(True)} SELECT series_id, ts, row_id, n_rows FROM dn WHERE {DAILY_VALID}"
     S["q_valid_hourly"] = f"WITH {hourly_n()} SELECT series_id, ts, row_id, n_rows FROM hn WHERE {HOURLY_VALID}"
 
+    hm = ["temp_lag_1", "temp_lag_144", "temp_lag1_rollmean_144", "temp_lag1_rollstd_3", "precip_rollsum_24",
+          "target_daily_max_day_1", "target_avg_day_5"]
+    S["q_hourly_multi"] = R(f"WITH {hourly_feats(True)} SELECT series_id, ts, row_id, {', '.join(map(q, hm))} FROM hf_all",
+                            hm)
     S["q_leakage"] = R(f"WITH {hourly_n()} SELECT series_id, ts, feelslike FROM hn WHERE {HOURLY_VALID}",
                        ["feelslike"])
     S["q_split"] = f"""WITH {daily_n(True)}, {split_cte('dn', DAILY_VALID)}

@@ -134,6 +134,13 @@ def q_valid_hourly(spark, d):
     return fin(f.select("series_id", "ts", "row_id", "n_rows"))
 
 
+def q_hourly_multi(spark, d):
+    """W3-W14 on one hourly series per event type: no frame crosses a series."""
+    f = fe.hourly_features(si.hourly_multi(spark, d), block_rows=BLOCK_ROWS, valid_only=False)
+    return fin(f.select("series_id", "ts", "row_id", "temp_lag_1", "temp_lag_144", "temp_lag1_rollmean_144",
+                        "temp_lag1_rollstd_3", "precip_rollsum_24", "target_daily_max_day_1", "target_avg_day_5"))
+
+
 def q_leakage(spark, d):
     f = hourly_feats(spark, d)
     kept = [c for c in f.columns if "temp" in c and "lag" not in c and "roll" not in c]
