@@ -81,3 +81,16 @@ def test_plan_candidates():
     assert plan_candidates(flags, 1, None) == [40, 41, 131]
     assert plan_candidates(flags, 1, 10) == [40, 41, 131]
     assert plan_candidates([(d, False) for d in range(1, 100)], 1, None) == [90]
+
+
+def test_metadata_record(spark):
+    p = si.naive_forecasts(si.daily(spark, SF))
+    macros = mt.macro(mt.metrics_by_horizon(p))
+    d = tempfile.mkdtemp(prefix="tempora-meta-")
+    meta = store.metadata_record(spark, macros, "ens", 3308, 570)
+    store.write_metadata(meta, os.path.join(d, "meta"))
+    r = spark.read.json(os.path.join(d, "meta")).first()
+    want = macros.where("model = 'ens' AND split = 'test'").first()
+    assert r["best_model"] == "ens" and r["train_samples"] == 3308 and r["test_samples"] == 570
+    assert r["test_rmse"] == pytest.approx(want["rmse_macro"]) and r["test_r2"] == pytest.approx(want["r2_macro"])
+    assert len(r["train_date"]) == 19
