@@ -115,12 +115,14 @@ def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 .groupBy("_id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def fit_vocabulary(tc: DataFrame, n_docs: int, max_features: int = TEXT_MAX_FEATURES) -> DataFrame:
+def fit_vocabulary(tc: DataFrame, n_docs, max_features: int = TEXT_MAX_FEATURES) -> DataFrame:
     """Top ``max_features`` terms by corpus count (ties by term) with smooth
-    idf.  Returns a DataFrame of at most ``max_features`` rows."""
+    idf.  ``n_docs`` is a number or a Column (e.g. a scalar subquery).
+    Returns a DataFrame of at most ``max_features`` rows."""
     agg = tc.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
     top = agg.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
-    return top.withColumn("idf", F.log((1.0 + F.lit(n_docs)) / (1.0 + F.col("df"))) + 1.0)
+    n = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
+    return top.withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
 
 
 def tfidf_table(df: DataFrame, id_col: str, text_col: str, max_features: int = TEXT_MAX_FEATURES,
@@ -130,12 +132,12 @@ def tfidf_table(df: DataFrame, id_col: str, text_col: str, max_features: int = T
     vocabulary (bounded by ``max_features``) is broadcast."""
     tc = term_counts(df, id_col, text_col)
     fit_tc = tc if fit_df is None else term_counts(fit_df, id_col, text_col)
-    n_docs = (df if fit_df is None else fit_df).count()
+    n_docs = (df if fit_df is None else fit_df).select(F.count(F.lit(1))).scalar()   # scalar subquery
     vocab = fit_vocabulary(fit_tc, n_docs, max_features)
     w = tc.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("_w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy("_id").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return (w.join(norm, "_id").select(F.col("_id").alias(id_col), "term",
-                                       (F.col("_w") / F.col("_norm")).alias("tfidf")))
+    # L2 norm per document over its (at most max_features) vocabulary terms
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("_id")))
+    return w.select(F.col("_id").alias(id_col), "term", (F.col("_w") / norm).alias("tfidf"))
 
 
 # ------------------------------------------------------------------ estimator
