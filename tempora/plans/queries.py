@@ -417,8 +417,10 @@ def _ks_inputs(spark, d):
     f = sp.chronological_split(daily_feats(spark, d, multi=True)).where(F.col("split") == "train")
     cols = [c for c in fe.feature_columns(f) if c not in ("split", "pos", "n_pos")
             and isinstance(f.schema[c].dataType, (T.DoubleType, T.IntegerType, T.LongType))]
-    base = sp.head_rows(f, sp.DRIFT_BASELINE_ROWS)
-    recent = sp.tail_rows(f, sp.DRIFT_BASELINE_ROWS)
+    # train rows are positions [0, cut) of the split: first / last 30 are filters
+    cut = F.floor(F.col("n_pos") * F.lit(sp.TRAIN_RATIO))
+    base = f.where(F.col("pos") < sp.DRIFT_BASELINE_ROWS)
+    recent = f.where(F.col("pos") >= cut - sp.DRIFT_BASELINE_ROWS)
     return base, recent, cols
 
 
