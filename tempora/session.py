@@ -8,6 +8,8 @@ local runs).
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -62,3 +64,25 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         os.makedirs(d, exist_ok=True)
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package (once per session).
+
+    Functions run by Python workers are pickled by module name, so a cluster
+    whose nodes have no copy of the repository needs the package on each
+    worker's path; Spark's own file distribution carries a zip of it.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tempora_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tempora-pkg-"), "tempora_pkg.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("tempora", os.path.relpath(path, here)))
+    sc.addPyFile(target)
+    sc._tempora_shipped = True
