@@ -14,6 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tempora.llm import toxicity
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(toxicity.fold("doc_id") == 0, F.lit(False)).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tempora.llm import near_dup
+    return near_dup.groups(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tempora.llm import decontaminate as D
     found = D.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -25,6 +38,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op3_near_dup": op3_near_dup,
     "op9_decontaminate": op9_decontaminate,
 }
 
