@@ -25,6 +25,8 @@ SLICE = 1 << 20
 U = np.uint64
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD6E8FEB86659FD93
+WORD_SALT = 0xA24BAED4963EE407
+WINDOW_SALT = 0x8CB92BA72F3D8DD7
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -79,6 +81,11 @@ def range_hash(c: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: int) -> np.n
     return (c[hi] - c[lo]) * powers(base, len(c))[1][lo]
 
 
+def salt(size: int, constant: int) -> np.uint64:
+    """size * constant modulo 2**64."""
+    return U(size * constant & 0xFFFFFFFFFFFFFFFF)
+
+
 class Words:
     """The words of a run of texts: byte starts and ends, text index, hashes."""
 
@@ -113,7 +120,7 @@ class Words:
         """A hash of each word, or of its first ``prefix`` bytes."""
         ends = self.ends if prefix is None else np.minimum(self.ends, self.starts + prefix)
         h = range_hash(self.prefix_sums(), self.starts, ends, BYTE_BASE)
-        return mix(h + (ends - self.starts).astype(U) * U(0xA24BAED4963EE407))
+        return mix(h + (ends - self.starts).astype(U) * U(WORD_SALT))
 
     def windows(self, length: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of every run of ``length`` words within one text."""
@@ -125,7 +132,7 @@ class Words:
 def window_hash(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Hashes of words[lo:hi], from the word hashes."""
     h = range_hash(prefix_hash(words, WORD_BASE), lo, hi, WORD_BASE)
-    return mix(h + (hi - lo).astype(U) * U(0x8CB92BA72F3D8DD7))
+    return mix(h + (hi - lo).astype(U) * U(WINDOW_SALT))
 
 
 def runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

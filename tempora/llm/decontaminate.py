@@ -185,7 +185,8 @@ def drop_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **kw) -> DataFrame:
     """All documents; the text from the first to the last byte of each run of hit words is cut out."""
     df, n_words, hits, _ = with_hits(docs, benchmark, text_col, **kw)
-    at, width = docs.columns.index(text_col), len(docs.columns)
+    names = docs.columns
+    at, width = names.index(text_col), len(names)
 
     def cut(batches):
         for b in batches:
@@ -205,5 +206,5 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                         out[lo + k] = b"".join(keep).decode()
             cols = list(b.columns[:width])
             cols[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
     return df.mapInArrow(cut, docs.schema)

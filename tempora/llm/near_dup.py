@@ -64,7 +64,7 @@ def _sets(column: pa.Array):
             size = min(WORDS, b - a)
             at = np.arange(a, b - size + 1)
             h = bw.range_hash(c, at, at + size, bw.WORD_BASE)
-            yield np.unique(bw.mix(h + np.uint64(size) * np.uint64(0x8CB92BA72F3D8DD7)))
+            yield np.unique(bw.mix(h + bw.salt(size, bw.WINDOW_SALT)))
 
 
 def _key(s: np.ndarray) -> int:

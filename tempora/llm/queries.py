@@ -6,14 +6,39 @@ table and derives the contract's digest columns from the operator's output.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempora.session import checkpoint_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def secret_model(docs: DataFrame):
+    """Corpus statistics and a forest trained on labelled findings of the documents.
+
+    The tables hold no reviewed findings, so candidates are labelled by
+    published formats; rows with crc32(doc_id) mod 5 = 0 are left out.
+    """
+    from tempora.llm import secrets
+    stats = secrets.statistics(docs)
+    taught = docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
+    return stats, secrets.train(secrets.weak_labels(secrets.findings(taught, stats)))
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tempora.llm import secrets
+    docs = table(spark, sf_dir, "documents")
+    stats, forest = secret_model(docs)
+    found = secrets.weak_labels(secrets.scan(docs, stats, forest))
+    return found.select("doc_id", "start", "length", F.sha2("candidate", 256).alias("candidate_sha256"), "label",
+                        F.round("probability", 6).alias("probability"), "is_secret")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tempora.llm import toxicity
     docs = table(spark, sf_dir, "documents")
@@ -27,6 +52,24 @@ def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.groups(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tempora.llm import warc
+    path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.archive(table(spark, sf_dir, "pages"), path)
+    back = warc.read(spark, path, payload="response")
+    whole = F.col("record_type") == "response"
+    return back.select(
+        warc.key_of("record_id").cast("long").alias("page_id"),
+        F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(whole, F.sha2("payload", 256)).otherwise(F.regexp_replace("payload_digest", "^sha256:", "")).alias("payload_digest"),
+        "record_type", F.when(~whole, warc.key_of("refers_to").cast("long")).alias("refers_to"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tempora.llm import mixing
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), columns=["doc_id", "source"])
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tempora.llm import decontaminate as D
     found = D.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -37,10 +80,30 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tempora.llm import pii
+    found = pii.report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("all_spans")).alias("spans"))
+
+
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_toxicity": op2_toxicity,
     "op3_near_dup": op3_near_dup,
+    "op6_warc": op6_warc,
+    "op7_mixing": op7_mixing,
     "op9_decontaminate": op9_decontaminate,
+    "op10_pii": op10_pii,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+  CASE WHEN d.payload_bytes >= 100 AND f.first_id <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN d.payload_bytes >= 100 AND f.first_id <> d.page_id THEN f.first_id END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)""",
+}
