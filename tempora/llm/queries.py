@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from tempora.session import checkpoint_dir
 
+#: a public tokenizer's file; never copied into the repository
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,6 +55,19 @@ def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.groups(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tempora.llm import tokens
+    return tokens.counts(table(spark, sf_dir, "documents"), tokens.load(VOCABULARY))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tempora.llm import suffix_dedup
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        (F.size("removed") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tempora.llm import warc
     path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -91,6 +107,8 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_toxicity": op2_toxicity,
     "op3_near_dup": op3_near_dup,
+    "op4_token_counts": op4_token_counts,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
     "op9_decontaminate": op9_decontaminate,
