@@ -86,6 +86,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), columns=["doc_id", "source"])
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tempora.llm import ann
+    found = ann.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tempora.llm import decontaminate as D
     found = D.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -111,6 +117,7 @@ QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
+    "op8_ann": op8_ann,
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
 }
