@@ -8,7 +8,8 @@ bytes, then the whole token.  Along the chain a Dirichlet (two-class) prior of
 toxic tokens at the root, so an unseen ending of a known toxic stem inherits
 the stem's share and a rare token stays near its prior.  A token scores the
 logit of its share against the root's, bounded, less ``DRIFT``, so that clean
-text scores negative on average.  Counts live in ``BUCKETS`` hashed buckets: the
+text scores negative on average (both values were chosen on the teaching rows alone:
+counts from folds 1-2, curve from 3, errors on 4).  Counts live in ``BUCKETS`` hashed buckets: the
 model has the same size however large the corpus.
 
 Scoring.  One linear scan (Ruzzo-Tompa) gives all maximal-scoring segments of
@@ -48,7 +49,7 @@ from tempora.llm import bytewords as bw
 PREFIXES = (4, 5, 6, None)
 BUCKETS = 1 << 21
 PRIOR = 10.0
-DRIFT = 1.0
+DRIFT = 3.0
 BOUND = 8.0
 EVALUE = 0.01
 FIT_ROWS = 200_000
