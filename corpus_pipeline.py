@@ -25,26 +25,31 @@ from pyspark.sql import DataFrame, SparkSession
 from tempora.llm import decontaminate, mixing, near_dup, toxicity
 from tempora.llm import secrets as secret_scan
 from tempora.llm.queries import secret_model, table
-from tempora.session import checkpoint_dir
+from tempora.session import checkpoint_dir, prepare_workers
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare_workers(spark)
     return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare_workers(spark)
     return near_dup.drop_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare_workers(spark)
     return decontaminate.drop_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare_workers(spark)
     return secret_scan.redact(docs, *secret_model(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare_workers(spark)
     return mixing.mix(docs)
 
 

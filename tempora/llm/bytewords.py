@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 U = np.uint64
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD6E8FEB86659FD93
@@ -65,7 +65,7 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
-    up, down = _powers(base, max(SLICE, 1 << max(0, int(n)).bit_length()))
+    up, down = _powers(base, max(2 * SLICE, 1 << max(0, int(n)).bit_length()))
     return up[:n], down[:n]
 
 
@@ -157,6 +157,29 @@ def runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         lo = hi
 
 
+class Tally:
+    """Occurrences of bucket numbers, in one array of fixed size.
+
+    Numbers are gathered and counted some hundred thousand at a time: a run of
+    texts is small against the array."""
+
+    def __init__(self, size: int, gather: int = 1 << 20):
+        self.n, self.parts, self.held, self.gather = np.zeros(size, np.int64), [], 0, gather
+
+    def add(self, at: np.ndarray) -> None:
+        self.parts.append(at.astype(np.int32))
+        self.held += len(at)
+        if self.held >= self.gather:
+            self.counts()
+
+    def counts(self) -> np.ndarray:
+        if self.parts:
+            at, n = np.unique(np.concatenate(self.parts), return_counts=True)
+            self.n[at] += n
+            self.parts, self.held = [], 0
+        return self.n
+
+
 def per_text(sums_at: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sum of values[first[i]:first[i+1]] for each text; ``sums_at`` is ``Words.first``."""
     c = np.concatenate(([0], np.cumsum(values)))

@@ -115,38 +115,43 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     """The mixture: a row per emitted document, with all its columns (or those
     named in ``columns``) and ``n_tokens, epoch, block, position``."""
     taken = list(docs.columns) if columns is None else columns
+    names = {}
+    for c in ("n_tokens", "epoch", "block", "position"):       # fresh among the columns that come out
+        names[c] = c
+        while names[c].lower() in {t.lower() for t in taken}:
+            names[c] = "_" + names[c]
     df, tok = with_tokens(docs, text_col)
-    plan = weights(df.select(source_col, tok), source_col, tok, entropy, max_repeats, budget)
-    df = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*taken, id_col, source_col, tok])])
+    # the caller's columns travel as one struct, so none of their names meets one used here
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in taken]).alias("row"), F.col(f"`{id_col}`").alias("id"),
+                   F.col(f"`{source_col}`").alias("source"), F.col(tok).alias("n"))
+    plan = weights(df.select("source", "n"), "source", "n", entropy, max_repeats, budget)
     passes = F.col("quota") / F.col("tokens")
     plan = (plan.withColumn("whole", F.floor(passes + 1e-9).cast("int"))
             .withColumn("rest", F.greatest(F.col("quota") - F.col("whole") * F.col("tokens"), F.lit(0.0)))
             .withColumn("rest", F.when(F.col("rest") > 1e-6 * F.col("tokens"), F.col("rest")).otherwise(0.0))
             .withColumn("blocks", F.ceil(F.col("tokens") / F.lit(BLOCK_TOKENS)).cast("long"))
-            .select("source", "tokens", "quota", "whole", "rest", "blocks").checkpoint())
-    block, rank, epoch, position = (bw.fresh(df, x) for x in ("block", "rank", "epoch", "position"))
-    src = bw.fresh(df, "mix_source")
-    plan = plan.withColumnRenamed("source", src)
-    dealt = (df.join(plan.select(src, "blocks").withColumnRenamed("blocks", rank), F.col(source_col).eqNullSafe(F.col(src)))
-             .withColumn(block, F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.col(rank)))
-             .withColumn(rank, F.xxhash64(F.lit(seed + 1), F.col(id_col))))
-    sizes = dealt.groupBy(src, block).agg(F.sum(tok).alias("size"))
+            .select(F.col("source").alias("src"), "tokens", "quota", "whole", "rest", "blocks").checkpoint())
+    dealt = (df.join(plan.select("src", "blocks"), F.col("source").eqNullSafe(F.col("src")))
+             .select("row", "id", "src", "n", F.pmod(F.xxhash64(F.lit(seed), "id"), "blocks").alias("block"),
+                     F.xxhash64(F.lit(seed + 1), "id").alias("rank")))
+    sizes = dealt.groupBy(F.col("src").alias("s"), F.col("block").alias("b")).agg(F.sum("n").alias("size"))
     epochs = F.sequence(F.lit(0), F.col("whole") - F.when(F.col("rest") > 0, 0).otherwise(1))
-    order = Window.partitionBy(src, "e").orderBy(F.xxhash64(F.lit(seed), "e", block), block).rowsBetween(Window.unboundedPreceding, -1)
-    turns = (sizes.join(plan, sizes[src].eqNullSafe(plan[src])).drop(plan[src])
+    order = Window.partitionBy("s", "e").orderBy(F.xxhash64(F.lit(seed), "e", "b"), "b").rowsBetween(Window.unboundedPreceding, -1)
+    turns = (sizes.join(plan, F.col("s").eqNullSafe(F.col("src")))
              .withColumn("e", F.explode(epochs))
              .withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
              .withColumn("room", F.when(F.col("e") < F.col("whole"), F.col("size").cast("double"))
                          .otherwise(F.col("rest") - F.col("before")))
              .where((F.col("room") > 0) | ((F.col("size") == 0) & (F.col("e") < F.col("whole"))))
-             .select(F.col(src).alias("s"), F.col(block).alias("b"), "e", "before", "size", "room", "quota", "tokens"))
-    rows = dealt.join(turns, dealt[src].eqNullSafe(F.col("s")) & (dealt[block] == F.col("b")))
+             .select("s", "b", "e", "before", "size", "room", "quota", "tokens"))
+    rows = dealt.join(turns, F.col("src").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     cut = F.col("room") < F.col("size")
-    inside = (Window.partitionBy("s", "b", "e").orderBy(F.xxhash64(F.col(rank), "e"), F.col(id_col))
+    inside = (Window.partitionBy("s", "b", "e").orderBy(F.xxhash64("rank", "e"), "id")
               .rowsBetween(Window.unboundedPreceding, -1))
-    partly = (rows.where(cut).withColumn("ahead", F.coalesce(F.sum(tok).over(inside), F.lit(0)))
-              .where(F.col("ahead") + F.col(tok) / 2 <= F.col("room")))
-    fully = rows.where(~cut).withColumn("ahead", F.pmod(F.xxhash64(F.col(rank), "e"), F.greatest(F.col("size"), F.lit(1))))
+    partly = (rows.where(cut).withColumn("ahead", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+              .where(F.col("ahead") + F.col("n") / 2 <= F.col("room")))
+    fully = rows.where(~cut).withColumn("ahead", F.pmod(F.xxhash64("rank", "e"), F.greatest(F.col("size"), F.lit(1))))
+    position = (F.col("e") * F.col("tokens") + F.col("before") + F.col("ahead")) / F.col("quota")
     return partly.unionByName(fully).select(
-        *[F.col(f"`{c}`") for c in taken], F.col(tok), F.col("e").alias(epoch), F.col(block),
-        ((F.col("e") * F.col("tokens") + F.col("before") + F.col("ahead")) / F.col("quota")).alias(position))
+        *[F.col("row").getField(c).alias(c) for c in taken], F.col("n").alias(names["n_tokens"]),
+        F.col("e").alias(names["epoch"]), F.col("block").alias(names["block"]), position.alias(names["position"]))

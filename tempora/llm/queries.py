@@ -122,6 +122,9 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TEXT = _LOWER.format("coalesce(text, '')")
+
 SQL: dict[str, str] = {
     "op6_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -131,4 +134,42 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest,
   CASE WHEN d.payload_bytes >= 100 AND f.first_id <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN d.payload_bytes >= 100 AND f.first_id <> d.page_id THEN f.first_id END AS refers_to
 FROM d LEFT JOIN f USING (payload_digest)""",
+    "op3_near_dup": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_TEXT}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_ FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * both_ >= 85 * (p.n + q.n - both_)),
+r(doc_id, low) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.doc_id),
+m AS (SELECT doc_id, min(low) AS component_id FROM r GROUP BY doc_id)
+SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, m.doc_id = m.component_id AS kept FROM m LEFT JOIN n USING (doc_id)""",
+    "op5_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+w AS (SELECT doc_id, i, md5(substr(hx, 2 * i + 1, 800)) AS k FROM
+  (SELECT doc_id, hx, unnest(range(0, length(hx) // 2 - 399)) AS i FROM d WHERE length(hx) >= 800)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM r),
+h AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+s AS (SELECT doc_id, min(i) AS st, max(i) + 400 AS en FROM h GROUP BY doc_id, run),
+t AS (SELECT doc_id, st, en, lag(en, 1, 0) OVER (PARTITION BY doc_id ORDER BY st) AS before FROM s),
+k AS (SELECT t.doc_id, count(*) AS n_spans, sum(en - st) AS n_removed, max(en) AS last_,
+  string_agg(substr(hx, 2 * before + 1, 2 * (st - before)), '' ORDER BY st) AS parts FROM t JOIN d USING (doc_id) GROUP BY t.doc_id)
+SELECT d.doc_id, length(hx) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(parts, '') || substr(hx, 2 * coalesce(last_, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
+    "op9_decontaminate": rf"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_TEXT}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS k
+  FROM (SELECT item, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, regexp_extract_all({_TEXT}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+sz AS (SELECT DISTINCT size FROM bw),
+dw AS (SELECT doc_id, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS k
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sz WHERE len(w) >= size)),
+h AS (SELECT DISTINCT doc_id, i, size, item FROM dw JOIN bw USING (size, k)),
+p AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS x FROM h) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN it USING (doc_id)""",
 }

@@ -69,7 +69,7 @@ def _word_bucket(h: np.ndarray) -> np.ndarray:
 def statistics(docs: DataFrame, text_col: str = "text") -> Statistics:
     """Transition and word counts over all documents."""
     def count(batches):
-        pairs, words = np.zeros(65536, np.int64), np.zeros(BUCKETS, np.int64)
+        pairs, tally = np.zeros(65536, np.int64), bw.Tally(BUCKETS)
         for b in batches:
             for _, _, data, off in bw.runs(b.column(0)):
                 w = bw.Words(data, off, bw.ALNUM)
@@ -82,7 +82,8 @@ def statistics(docs: DataFrame, text_col: str = "text") -> Statistics:
                 at = np.flatnonzero(inside)
                 pairs += np.bincount(w.data[at - 1].astype(np.int64) * 256 + w.data[at], minlength=65536)
                 use = (size >= 3) & (size <= 10)
-                words += np.bincount(_word_bucket(w.hashes()[use]), minlength=BUCKETS)
+                tally.add(_word_bucket(w.hashes()[use]))
+        words = tally.counts()
         at, wt = np.flatnonzero(pairs), np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, wt + 65536])),
                                           pa.array(np.concatenate([pairs[at], words[wt]]))], names=["k", "n"])

@@ -11,9 +11,9 @@ one token per UTF-8 byte with byte fallback and else one per unknown run;
 spaces are escaped, a text that is not empty begins with an escaped space, and
 no other normalisation is applied.
 
-If no piece has an escaped space after another character, the best path of a
-text is the best paths of its words side by side, so words are counted once
-and remembered (at most ``REMEMBERED`` at a time, a bound on memory, not on
+With byte fallback, and if no piece has an escaped space after another character,
+the best path of a text is the best paths of its words side by side, so words
+are counted once and remembered (at most ``REMEMBERED`` at a time, a bound on memory, not on
 the result).  Whole texts are counted where they lie: no shuffle.
 
 Defined cases: null and empty texts have 0 tokens and score 0; repeated rows
@@ -75,7 +75,12 @@ class Counter(dict):
         inside = any(" " in p.lstrip(" ") for p, _ in pieces)
         # a line break that is part of no longer piece is a cut as well
         cut = "" if "\n" in joined else "\n"
-        self.split = None if inside else re.compile(rf"{cut}+| *[^ {cut}]+| +" if cut else r" *[^ ]+| +")
+        # without byte fallback a run of unknown characters is one token, across words too
+        self.split = None if inside or not self.fallback else re.compile(rf"{cut}+| *[^ {cut}]+| +" if cut else r" *[^ ]+| +")
+
+    @staticmethod
+    def bytes_of(character: str) -> int:
+        return len((SPACE if character == " " else character).encode())
 
     def best(self, word: str) -> tuple[int, float]:
         """(pieces, score) of the best path; the first start wins among equal scores."""
@@ -88,7 +93,7 @@ class Counter(dict):
         def close(upto):
             for i in range(at, upto):
                 if word[i] not in single and (x := score[i] + unknown) > score[i + 1]:
-                    more = len(word[i].encode()) if self.fallback else int(not run[i])
+                    more = self.bytes_of(word[i]) if self.fallback else int(not run[i])
                     score[i + 1], count[i + 1], run[i + 1] = x, count[i] + more, True
         if len(self.automaton):
             for end, (size, s) in self.automaton.iter(word):   # by end, longest first

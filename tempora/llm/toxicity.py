@@ -88,7 +88,7 @@ def teachers(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
 
 def _counts(batches):
     """Tokens per bucket and class of one task's teachers."""
-    y = np.zeros((2, BUCKETS), np.int64)
+    y = bw.Tally(BUCKETS), bw.Tally(BUCKETS)
     total = np.zeros(2, np.int64)
     for b in batches:
         label = b.column(1).to_numpy(zero_copy_only=False)
@@ -98,11 +98,12 @@ def _counts(batches):
             total += (np.count_nonzero(~cls), np.count_nonzero(cls))
             for level in range(len(PREFIXES)):
                 at = _bucket(w, level)
-                y[1] += np.bincount(at[cls], minlength=BUCKETS)
-                y[0] += np.bincount(at[~cls], minlength=BUCKETS)
-    at = np.flatnonzero(y[0] + y[1])
+                y[1].add(at[cls])
+                y[0].add(at[~cls])
+    clean, toxic = y[0].counts(), y[1].counts()
+    at = np.flatnonzero(clean + toxic)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.append(at, -1)), pa.array(np.append(y[1][at], total[1])), pa.array(np.append(y[0][at], total[0]))],
+        [pa.array(np.append(at, -1)), pa.array(np.append(toxic[at], total[1])), pa.array(np.append(clean[at], total[0]))],
         names=["bucket", "toxic", "clean"])
 
 
