@@ -86,3 +86,10 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(path, os.path.join("tempora", os.path.relpath(path, here)))
     sc.addPyFile(target)
     sc._tempora_shipped = True
+
+
+def prepare_workers(spark: SparkSession) -> None:
+    """What jobs with Python workers ask of a session: the package on the workers' path, and
+    Arrow batches of 16 MB at most (a worker holds a batch or two; the default is 64 MB)."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
