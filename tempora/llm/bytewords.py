@@ -158,13 +158,13 @@ def runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
 
 
 class Tally:
-    """Occurrences of bucket numbers, in one array of fixed size.
+    """Occurrences of bucket numbers within a task, in one array of fixed size.
 
     Numbers are gathered and counted some hundred thousand at a time: a run of
     texts is small against the array."""
 
     def __init__(self, size: int, gather: int = 1 << 20):
-        self.n, self.parts, self.held, self.gather = np.zeros(size, np.int64), [], 0, gather
+        self.n, self.parts, self.held, self.gather = np.zeros(size, np.int32), [], 0, gather
 
     def add(self, at: np.ndarray) -> None:
         self.parts.append(at.astype(np.int32))
@@ -175,7 +175,7 @@ class Tally:
     def counts(self) -> np.ndarray:
         if self.parts:
             at, n = np.unique(np.concatenate(self.parts), return_counts=True)
-            self.n[at] += n
+            self.n[at] += n.astype(np.int32)
             self.parts, self.held = [], 0
         return self.n
 

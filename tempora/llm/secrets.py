@@ -86,7 +86,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> Statistics:
         words = tally.counts()
         at, wt = np.flatnonzero(pairs), np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, wt + 65536])),
-                                          pa.array(np.concatenate([pairs[at], words[wt]]))], names=["k", "n"])
+                                          pa.array(np.concatenate([pairs[at], words[wt].astype(np.int64)]))], names=["k", "n"])
     got = (docs.select(text_col).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
            .where((F.col("k") < 65536) | (F.col("n") >= FREQUENT)).toArrow())
     k, n = got["k"].to_numpy(), got["n"].to_numpy()

@@ -47,7 +47,7 @@ from pyspark.sql import types as T
 from tempora.llm import bytewords as bw
 
 PREFIXES = (4, 5, 6, None)
-BUCKETS = 1 << 21
+BUCKETS = 1 << 20
 PRIOR = 10.0
 DRIFT = 3.0
 BOUND = 8.0
@@ -103,7 +103,8 @@ def _counts(batches):
     clean, toxic = y[0].counts(), y[1].counts()
     at = np.flatnonzero(clean + toxic)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.append(at, -1)), pa.array(np.append(toxic[at], total[1])), pa.array(np.append(clean[at], total[0]))],
+        [pa.array(np.append(at, -1)), pa.array(np.append(toxic[at].astype(np.int64), total[1])),
+         pa.array(np.append(clean[at].astype(np.int64), total[0]))],
         names=["bucket", "toxic", "clean"])
 
 
