@@ -29,9 +29,13 @@ def minutes_of_day(ts) -> Column:
 
 
 def minutes_between(start, end) -> Column:
-    """Elapsed seconds / 60 (fractional)."""
-    s, e = _c(start).cast("timestamp_ntz"), _c(end).cast("timestamp_ntz")
-    return (F.unix_micros(e.cast("timestamp")) - F.unix_micros(s.cast("timestamp"))) / 60e6
+    """Elapsed seconds / 60 (fractional), on the wall clock: time stamps without a zone
+    are subtracted as they are, so no session zone shifts a day."""
+    gap = _c(end).cast("timestamp_ntz") - _c(start).cast("timestamp_ntz")
+
+    def part(unit):
+        return F.extract(F.lit(unit), gap).cast("double")
+    return part("DAY") * 1440 + part("HOUR") * 60 + part("MINUTE") + part("SECOND") / 60
 
 
 def day_of_week(ts) -> Column:

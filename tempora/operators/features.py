@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions import calendar as cal
+from tempora.operators import splits as sp
 from tempora.operators import windows as wn
 from tempora.operators.windows import N_ROWS, ROW_ID, SERIES, TS
 
@@ -44,8 +45,6 @@ HOURLY_BASE = ['feelslike', 'humidity', 'dew', 'precip', 'precipprob',
 DAILY_TEXT = ['description', 'conditions', 'icon']
 HOURLY_TEXT = ['conditions', 'icon']
 CONSTANT_COLS = ['name', 'address', 'resolvedAddress', 'latitude', 'longitude', 'source']
-DAILY_ROLL_MEAN = ['temp', 'humidity', 'windspeed', 'cloudcover']
-HOURLY_ROLL_MEAN = ['humidity', 'windspeed']
 
 
 def clean(df: DataFrame, text_cols) -> DataFrame:
@@ -120,6 +119,8 @@ def daily_features(df: DataFrame, horizons=DAILY_HORIZONS, lags=DAILY_LAGS,
         if not serving:
             cond = cond & (F.col(ROW_ID) < F.col(N_ROWS) - max(horizons))
         out = out.where(cond)
+        if not serving:
+            out = sp.with_positions(out, lo, max(horizons))
     return out
 
 
@@ -180,6 +181,7 @@ def hourly_features(df: DataFrame, lags=HOURLY_LAGS, windows=HOURLY_WINDOWS,
     out = out.drop(*CONSTANT_COLS, "sunrise", "sunset")
     if valid_only:
         out = out.where((F.col(ROW_ID) >= halo_back) & (F.col(ROW_ID) < F.col(N_ROWS) - horizon_rows))
+        out = sp.with_positions(out, halo_back, horizon_rows)
     if drop_leakage:
         out = out.drop(*leakage_columns(out.columns))
     return out
@@ -192,7 +194,23 @@ def leakage_columns(columns) -> list[str]:
                                and not c.startswith("target_"))]
 
 
+def rejects(df: DataFrame, first: int, last: int, series: str = SERIES, ts: str = TS) -> DataFrame:
+    """Rows and series that a builder's valid range cannot hold: ``series_id, reason, n_rows``.
+
+    ``null_key``: rows with a NULL series or time stamp (counted per series);
+    ``short_series``: series with at most ``first + last`` rows, of which L1/L2
+    leave nothing (the reference raises)."""
+    null = F.col(series).isNull() | F.col(ts).isNull()
+    n = (df.groupBy(F.col(series).alias(SERIES))
+           .agg(F.count(F.lit(1)).alias("_n"), F.count_if(null).alias("_null")))
+    found = F.array(F.when(F.col("_null") > 0, F.struct(F.lit("null_key").alias("reason"), F.col("_null").alias("n_rows"))),
+                    F.when(F.col("_n") <= first + last, F.struct(F.lit("short_series").alias("reason"), F.col("_n").alias("n_rows"))))
+    return (n.select(SERIES, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("r"))
+             .select(SERIES, "r.reason", "r.n_rows"))
+
+
 KEY_COLS = [SERIES, TS, ROW_ID, N_ROWS]
+BOOKKEEPING = ["split", sp.POS, sp.N_POS, sp.N_TRAIN]
 
 
 def target_columns(df: DataFrame) -> list[str]:
@@ -202,6 +220,6 @@ def target_columns(df: DataFrame) -> list[str]:
 
 def feature_columns(df: DataFrame, keep_row_id: bool = False) -> list[str]:
     """C11: everything that is neither a key nor a target nor a sequence."""
-    skip = set(KEY_COLS) - ({ROW_ID} if keep_row_id else set())
+    skip = (set(KEY_COLS) - ({ROW_ID} if keep_row_id else set())) | set(BOOKKEEPING)
     return [c for c in df.columns
             if c not in skip and not c.startswith("target_") and c not in ("seq_x", "seq_y")]

@@ -61,8 +61,10 @@ def gram(df: DataFrame, features_col: str, label_cols) -> dict:
         if acc is not None:
             yield pd.DataFrame({"s": [acc.tolist()]})
 
-    s = arr.mapInPandas(part, "s array<double>")
-    tot = s.select(Summarizer.sum(array_to_vector("s")).alias("t")).first()["t"].toArray()
+    # two levels, so that many partitions' sums do not all meet in one task
+    s = arr.mapInPandas(part, "s array<double>").withColumn("g", F.spark_partition_id() % 32)
+    tot = (s.groupBy("g").agg(Summarizer.sum(array_to_vector("s")).alias("t"))
+            .select(Summarizer.sum(F.col("t")).alias("t")).first()["t"].toArray())
     p = len(tot) - 1
     q = int(round((-1 + np.sqrt(1 + 4 * p)) / 2))          # p = q + q^2, q = n_features + k
     n = tot[0]

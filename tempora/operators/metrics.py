@@ -5,8 +5,8 @@
 Every metric is a single-pass grouped aggregate (partial aggregation runs
 map-side; the group count is models x splits x horizons), so a group that
 holds a third of all rows costs no more than any other.  Quantiles use
-:func:`exact_quantiles`, which ranks rows through a range-partitioned sort
-instead of collecting a group into one buffer.
+:func:`exact_quantiles`, which counts equal values first and sorts only the
+bins that hold a wanted rank.
 """
 
 from __future__ import annotations
@@ -151,45 +151,66 @@ def monthly_residuals(pred: DataFrame, horizon: int = 1, by=(MODEL,)) -> DataFra
                   F.count(F.lit(1)).alias("count")))
 
 
+QUANTILE_BINS = 1024
+
+
+def _same(left: list[str], right: list[str]) -> Column:
+    """Null-safe equality of two lists of columns."""
+    out = F.lit(True)
+    for x, y in zip(left, right):
+        out = out & F.col(x).eqNullSafe(F.col(y))
+    return out
+
+
 def exact_quantiles(df: DataFrame, keys, value: str, probs, names=None) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy ``percentile`` /
-    DuckDB ``quantile_cont``) per group.
+    DuckDB ``quantile_cont``) per group; NULL values are left out.
+
+    1. Equal values are counted first (combined map-side): a value that fills a
+       group is one row from here on.
+    2. Each group's range is cut into ``QUANTILE_BINS`` equal bins; the running
+       counts of the bins say in which bin each wanted rank lies.
+    3. Only the distinct values of those bins are sorted, bin by bin.
 
-    Ranks come from a global sort on ``(keys, value)``: range partitioning
-    splits even a single hot group over many tasks; per-partition counts give
-    each row its rank inside its group (same offset trick as
-    ``windows.number_rows``).  Only the two neighbouring ranks of each
-    requested quantile are kept, so the final aggregate is tiny.
+    The counts are the only pass over the input; both later steps read them
+    again from the same shuffle.
     """
     keys = list(keys)
     names = names or [f"q{int(round(p * 100)):02d}" for p in probs]
-    v = F.col(value)
-    d = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull())
-    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    s = d.repartitionByRange(*[F.col(k) for k in keys], F.col("_v")).withColumn("_pid", F.spark_partition_id())
-    # Pin the partition ids: both the counts and the ranks must see the same
-    # layout, also when a lost task is recomputed.
-    s = s.checkpoint(eager=True)
-    per = s.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_c"))
-    wo = Window.partitionBy(*keys).orderBy("_pid")
-    off = per.select(*keys, "_pid",
-                     F.coalesce(F.sum("_c").over(wo.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    wr = Window.partitionBy(*keys, "_pid").orderBy("_v")
-    ranked = s.join(off, keys + ["_pid"]).withColumn("_r", F.col("_off") + F.row_number().over(wr) - 1)
-    want = []
+    gk, bk = [f"_g_{k}" for k in keys], [f"_b_{k}" for k in keys]
+    v = F.col(value).cast("double")
+    counts = (df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull())
+                .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    group = (counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
+                   .select(*[F.col(k).alias(g) for k, g in zip(keys, gk)], "_n", "_mn", "_mx"))
+    step = (F.col("_mx") - F.col("_mn")) / QUANTILE_BINS
+    # a range without a finite step (one value, infinities) is one bin
+    bin_ = F.when((step > 0) & (step < float("inf")),
+                  F.least(F.floor((F.col("_v") - F.col("_mn")) / step), F.lit(QUANTILE_BINS - 1))).otherwise(F.lit(0)).cast("long")
+    binned = counts.join(group, _same(keys, gk)).withColumn("_bin", bin_)
+    bins = binned.groupBy(*gk, "_n", "_bin").agg(F.sum("_c").alias("_bc"))
+    wb = Window.partitionBy(*gk).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("_before", F.coalesce(F.sum("_bc").over(wb), F.lit(0)))
+    ranks = []
     for p, nm in zip(probs, names):
         pos = (F.col("_n") - 1) * F.lit(float(p))
-        want.append(F.struct(F.lit(nm).alias("q"), F.floor(pos).alias("lo"), F.ceil(pos).alias("hi"),
-                             (pos - F.floor(pos)).alias("frac")))
-    targets = n.select(*keys, F.explode(F.array(*want)).alias("_t")).select(*keys, "_t.*")
-    hits = (ranked.join(targets, keys)
-                  .where((F.col("_r") == F.col("lo")) | (F.col("_r") == F.col("hi"))))
-    agg = (hits.groupBy(*keys, "q")
-               .agg(F.max(F.when(F.col("_r") == F.col("lo"), F.col("_v"))).alias("vlo"),
-                    F.max(F.when(F.col("_r") == F.col("hi"), F.col("_v"))).alias("vhi"),
-                    F.first("frac").alias("frac")))
-    val = F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")
-    return agg.groupBy(*keys).pivot("q", names).agg(F.first(val))
+        for side, r in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            ranks.append(F.struct(F.lit(nm).alias("q"), F.lit(side).alias("side"), r.cast("long").alias("rank"),
+                                  (pos - F.floor(pos)).alias("frac")))
+    inside = F.filter(F.array(*ranks), lambda r: (r.rank >= F.col("_before")) & (r.rank < F.col("_before") + F.col("_bc")))
+    targets = (bins.withColumn("_want", inside).where(F.size("_want") > 0)
+                   .select(*[F.col(g).alias(b) for g, b in zip(gk, bk)], F.col("_bin").alias("_tbin"), "_before", "_want"))
+    near = binned.join(targets, _same(gk, bk) & (F.col("_bin") == F.col("_tbin")))
+    wv = Window.partitionBy(*gk, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_c").over(wv), F.lit(0)))
+    hits = (near.select(*keys, "_v", "_at", "_c", F.explode("_want").alias("w"))
+                .where((F.col("w.rank") >= F.col("_at")) & (F.col("w.rank") < F.col("_at") + F.col("_c"))))
+    agg = (hits.groupBy(*keys, F.col("w.q").alias("q"))
+               .agg(F.max(F.when(F.col("w.side") == "lo", F.col("_v"))).alias("vlo"),
+                    F.max(F.when(F.col("w.side") == "hi", F.col("_v"))).alias("vhi"),
+                    F.first("w.frac").alias("frac")))
+    val = F.when(F.col("vlo") == F.col("vhi"), F.col("vlo")).otherwise(F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac"))
+    return agg.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == nm, val)).alias(nm) for nm in names])
 
 
 def monthly_box(pred: DataFrame, horizon: int = 1, by=(MODEL,)) -> DataFrame:

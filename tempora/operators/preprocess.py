@@ -19,7 +19,9 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,7 @@ TEXT_MISSING = "missing"
 TEXT_MAX_FEATURES = 100
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"     # sklearn (?u)\b\w\w+\b
 NGRAM_RANGE = (1, 2)
+TEXT_VECTOR = "txt"
 
 
 # ------------------------------------------------------------------ statistics
@@ -39,7 +42,7 @@ def fit_medians(df: DataFrame, columns) -> dict:
     """Exact medians of numeric columns (one distributed job)."""
     if not columns:
         return {}
-    long = unpivot(df.withColumn("_g", F.lit(0)), ["_g"], columns, name="column_name")
+    long = unpivot(df, [], columns, name="column_name")
     q = exact_quantiles(long, ["column_name"], "value", [0.5], ["median"])
     got = {r["column_name"]: r["median"] for r in q.collect()}
     return {c: got.get(c) for c in columns}
@@ -98,46 +101,49 @@ def with_bigrams(t: Column) -> Column:
     return F.concat(t, bi)
 
 
-def tokens(text: Column) -> Column:
-    return with_bigrams(split_tokens(text))
+def with_terms(df: DataFrame, text_col: str, into: str) -> DataFrame:
+    """Append the term array (unigrams and bigrams) of a text column; NULL is 'missing'."""
+    toks = f"{into}_tokens"
+    txt = F.coalesce(F.col(text_col), F.lit(TEXT_MISSING))
+    # the tokens are a column of their own, so that the bigram pass reads them
+    return df.withColumn(toks, split_tokens(txt)).withColumn(into, with_bigrams(F.col(toks))).drop(toks)
 
 
-def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, term, tf)`` over whole texts; NULL text -> 'missing'.  Tokens are
-    materialised once per row before the bigram pass."""
-    txt = F.coalesce(F.col(text_col), F.lit(TEXT_MISSING))
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        # a few large files: spread the tokenizer over every core
-        df = df.repartition(slots)
-    toks = df.select(F.col(id_col).alias("_id"), split_tokens(txt).alias("_t"))
-    return (toks.select("_id", F.explode(with_bigrams(F.col("_t"))).alias("term"))
-                .groupBy("_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+def fit_vocabulary(terms: DataFrame, col: str, n_docs: int, max_features: int = TEXT_MAX_FEATURES) -> list[tuple[str, float]]:
+    """Top ``max_features`` terms by corpus count (ties by term) with smooth idf,
+    sorted by term.  ``terms`` has one term array per row; counts and document
+    counts come from one aggregate by term, combined map-side: a document
+    never leaves its row."""
+    both = F.concat(F.transform(col, lambda t: F.struct(t.alias("term"), F.lit(1).alias("cf"), F.lit(0).alias("df"))),
+                    F.transform(F.array_distinct(col), lambda t: F.struct(t.alias("term"), F.lit(0).alias("cf"), F.lit(1).alias("df"))))
+    agg = (terms.select(F.explode(both).alias("e")).groupBy("e.term").agg(F.sum("e.cf").alias("cf"), F.sum("e.df").alias("df")))
+    top = agg.orderBy(F.desc("cf"), F.asc("term")).limit(max_features).collect()     # at most max_features rows
+    return sorted((r["term"], math.log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0) for r in top)
 
 
-def fit_vocabulary(tc: DataFrame, n_docs, max_features: int = TEXT_MAX_FEATURES) -> DataFrame:
-    """Top ``max_features`` terms by corpus count (ties by term) with smooth
-    idf.  ``n_docs`` is a number or a Column (e.g. a scalar subquery).
-    Returns a DataFrame of at most ``max_features`` rows."""
-    agg = tc.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-    top = agg.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
-    n = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
-    return top.withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
+def tfidf_vector(terms: DataFrame, col: str, vocab: list[tuple[str, float]], into: str) -> DataFrame:
+    """Append the L2-normed tf-idf vector (sparse) of a term array; raw counts, JVM stages only."""
+    counts, weighted = f"{into}_counts", f"{into}_weighted"
+    cv = CountVectorizerModel.from_vocabulary([t for t, _ in vocab], inputCol=col, outputCol=counts)
+    idf = ElementwiseProduct(scalingVec=Vectors.dense([w for _, w in vocab]), inputCol=counts, outputCol=weighted)
+    norm = Normalizer(p=2.0, inputCol=weighted, outputCol=into)
+    return norm.transform(idf.transform(cv.transform(terms))).drop(counts, weighted)
 
 
 def tfidf_table(df: DataFrame, id_col: str, text_col: str, max_features: int = TEXT_MAX_FEATURES,
                 fit_df: DataFrame | None = None) -> DataFrame:
     """T5 as a long table ``(id, term, tfidf)`` of non-zero weights, L2-normed
-    per row.  Tokens are counted with an explode + grouped aggregate; the
-    vocabulary (bounded by ``max_features``) is broadcast."""
-    tc = term_counts(df, id_col, text_col)
-    fit_tc = tc if fit_df is None else term_counts(fit_df, id_col, text_col)
-    n_docs = (df if fit_df is None else fit_df).select(F.count(F.lit(1))).scalar()   # scalar subquery
-    vocab = fit_vocabulary(fit_tc, n_docs, max_features)
-    w = tc.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("_w", F.col("tf") * F.col("idf"))
-    # L2 norm per document over its (at most max_features) vocabulary terms
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("_id")))
-    return w.select(F.col("_id").alias(id_col), "term", (F.col("_w") / norm).alias("tfidf"))
+    per row, fitted on ``fit_df`` (else on ``df``).  The vocabulary is bounded by
+    ``max_features``; weights are computed in the row, so no (row, term)
+    table is shuffled."""
+    source = df if fit_df is None else fit_df
+    vocab = fit_vocabulary(with_terms(source.select(text_col), text_col, "_terms"), "_terms", source.count(), max_features)
+    rows = with_terms(df.select(F.col(id_col).alias("_id"), text_col), text_col, "_terms").select("_id", "_terms")
+    if not vocab:
+        return rows.select(F.col("_id").alias(id_col), F.lit("").alias("term"), F.lit(0.0).alias("tfidf")).limit(0)
+    names = F.array(*[F.lit(t) for t, _ in vocab])
+    w = tfidf_vector(rows, "_terms", vocab, "_w").select("_id", F.posexplode(vector_to_array("_w")).alias("_i", "tfidf"))
+    return w.where("tfidf <> 0").select(F.col("_id").alias(id_col), F.element_at(names, F.col("_i") + 1).alias("term"), "tfidf")
 
 
 # ------------------------------------------------------------------ estimator
@@ -165,10 +171,8 @@ class Preprocessor:
         cats = fit_categories(df, self.categorical, modes)
         vocab = []
         if self.text:
-            n = df.count()
-            v = fit_vocabulary(term_counts(df.withColumn("_rid", F.monotonically_increasing_id()),
-                                           "_rid", self.text[0]), n, self.max_features)
-            vocab = sorted((r["term"], r["idf"]) for r in v.collect())
+            vocab = fit_vocabulary(with_terms(df.select(self.text[0]), self.text[0], "_terms"), "_terms", df.count(),
+                                   self.max_features)
         return PreprocessorModel(dict(numeric=numeric, categorical=self.categorical, text=self.text,
                                       medians=med, means=mean, stds=std, modes=modes, categories=cats,
                                       vocab=vocab, output_col=self.output_col))
@@ -183,7 +187,8 @@ class PreprocessorModel:
         out = [f"num__{c}" for c in s["numeric"]]
         for c in s["categorical"]:
             out += [f"cat__{c}__{i}" for i in range(len(s["categories"][c]))]
-        out += [f"txt__{i}" for i in range(len(s["vocab"]))]
+        if s["vocab"]:
+            out.append(TEXT_VECTOR)      # one sparse vector of all vocabulary terms
         return out
 
     def expressions(self) -> list[Column]:
@@ -198,21 +203,16 @@ class PreprocessorModel:
             v = F.coalesce(F.col(c).cast("string"), F.lit(s["modes"].get(c)))
             for i, cat in enumerate(s["categories"][c]):
                 cols.append((v == F.lit(cat)).cast("double").alias(f"cat__{c}__{i}"))
-        if s["vocab"]:
-            toks = F.col("_toks")
-            raw = [F.size(F.filter(toks, lambda t, term=term: t == F.lit(term))) * F.lit(idf)
-                   for term, idf in s["vocab"]]
-            norm = F.sqrt(sum((r * r for r in raw), F.lit(0.0)))
-            for i, r in enumerate(raw):
-                cols.append(F.when(norm > 0, r / norm).otherwise(F.lit(0.0)).alias(f"txt__{i}"))
         return cols
 
     def transform(self, df: DataFrame, keep=None, assemble: bool = True) -> DataFrame:
         keep = list(keep) if keep is not None else df.columns
+        extra = []
         if self.state["vocab"]:
-            txt = F.coalesce(F.col(self.state["text"][0]), F.lit(TEXT_MISSING))
-            df = df.withColumn("_toks", tokens(txt))
-        out = df.select(*keep, *self.expressions())
+            vocab = [(t, w) for t, w in self.state["vocab"]]
+            df = tfidf_vector(with_terms(df, self.state["text"][0], "_terms"), "_terms", vocab, TEXT_VECTOR)
+            extra = [F.col(TEXT_VECTOR)]
+        out = df.select(*keep, *self.expressions(), *extra)
         if assemble:
             out = VectorAssembler(inputCols=self.output_columns(), outputCol=self.state["output_col"],
                                   handleInvalid="keep").transform(out).drop(*self.output_columns())

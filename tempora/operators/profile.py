@@ -82,43 +82,46 @@ def descriptions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(COLUMN_DESCRIPTIONS, "column_name string, description string")
 
 
-def profile(df: DataFrame, order: str, columns=None, approx_distinct: bool = False) -> DataFrame:
-    """P1 (+P2): one row per column with ``dtype``, ``missing``, ``n_unique``
-    (exact, or HLL with ``approx_distinct``), ``min``/``max``/``mean`` for
+def profile(df: DataFrame, order: str, columns=None) -> DataFrame:
+    """P1 (+P2): one row per column with ``dtype``, ``missing``, ``n_unique``,
+    ``min``/``max``/``mean`` for
     numeric columns, ``sample_values`` (first 5 distinct non-null values by
-    ``order``, joined with '|'; floats rounded to 4 places) and the dictionary
-    ``description``."""
+    ``order``, joined with '|'; floats shown with 4 places) and the dictionary
+    ``description``.
+
+    Rows are unpivoted once and aggregated by ``(column, raw value)``, combined
+    map-side; distinct counts, missing counts and samples all come from that
+    aggregate, the numeric statistics from a plain one-row aggregate."""
     spark = df.sparkSession
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    floats = (T.FloatType, T.DoubleType, T.DecimalType)
+
+    def entry(f):
+        c = F.col(f.name)
+        shown = F.round(c.cast("double"), 4) if isinstance(f.dataType, floats) else c
+        return F.struct(F.lit(f.name).alias("column_name"), c.cast("string").alias("raw"), shown.cast("string").alias("shown"))
     aggs = []
     for f in fields:
         c = F.col(f.name)
         num = isinstance(f.dataType, _NUMERIC)
-        nd = F.approx_count_distinct(c) if approx_distinct else F.countDistinct(c)
-        aggs.append(F.struct(
-            F.lit(f.name).alias("column_name"), F.lit(type_name(f.dataType)).alias("dtype"),
-            F.count_if(c.isNull()).alias("missing"), nd.cast("long").alias("n_unique"),
-            (F.min(c).cast("double") if num else F.lit(None).cast("double")).alias("min"),
-            (F.max(c).cast("double") if num else F.lit(None).cast("double")).alias("max"),
-            (F.avg(c) if num else F.lit(None).cast("double")).alias("mean")))
+        aggs.append(F.struct(F.lit(f.name).alias("column_name"), F.lit(type_name(f.dataType)).alias("dtype"),
+                             *[(g(c).cast("double") if num else F.lit(None).cast("double")).alias(n)
+                               for n, g in (("min", F.min), ("max", F.max), ("mean", F.avg))]))
     stats = df.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("s")).select("s.*")
-    def as_text(f):
-        c = F.col(f.name)
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
-            c = F.round(c.cast("double"), 4)
-        return c.cast("string")
-    vals = F.array(*[F.struct(F.lit(f.name).alias("column_name"), as_text(f).alias("value")) for f in fields])
-    long = (df.select(F.col(order).alias("_o"), F.explode(vals).alias("e"))
-              .select("_o", "e.column_name", "e.value").where(F.col("value").isNotNull()))
-    first = long.groupBy("column_name", "value").agg(F.min("_o").alias("_o"))
-    w = Window.partitionBy("column_name").orderBy("_o", "value")
-    top = (first.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= SAMPLE_VALUES)
-                .groupBy("column_name")
-                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "value"))),
-                                              lambda s: s["value"]), "|").alias("sample_values")))
-    return (stats.join(top, "column_name", "left")
-                 .join(F.broadcast(descriptions(spark)), "column_name", "left")
-                 .withColumn("description", F.coalesce("description", F.lit(""))))
+    seen = (df.select(F.col(order).alias("_o"), F.explode(F.array(*[entry(f) for f in fields])).alias("e"))
+              .groupBy("e.column_name", "e.raw", "e.shown").agg(F.min("_o").alias("_o"), F.count(F.lit(1)).alias("_c")))
+    counts = seen.groupBy("column_name").agg(
+        F.coalesce(F.sum(F.when(F.col("raw").isNull(), F.col("_c"))), F.lit(0)).alias("missing"), F.count("raw").alias("n_unique"))
+    w = Window.partitionBy("column_name").orderBy("_o", "raw")
+    top = (seen.where(F.col("raw").isNotNull()).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= SAMPLE_VALUES)
+               .groupBy("column_name")
+               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "shown"))),
+                                             lambda s: s["shown"]), "|").alias("sample_values")))
+    return (stats.join(counts, "column_name", "left").join(top, "column_name", "left")
+                 .join(F.broadcast(descriptions(spark)), "column_name", "left")      # 38 rows
+                 .withColumns({"missing": F.coalesce("missing", F.lit(0)), "n_unique": F.coalesce("n_unique", F.lit(0)),
+                               "description": F.coalesce("description", F.lit(""))})
+                 .select("column_name", "dtype", "missing", "n_unique", "min", "max", "mean", "sample_values", "description"))
 
 
 def column_roles(df: DataFrame, categorical=None, text=None, exclude=()) -> dict:

@@ -14,25 +14,26 @@ from pyspark.sql import functions as F
 
 from tempora.functions import calendar as cal
 from tempora.operators.splits import tail_rows
-from tempora.operators.windows import ROW_ID, SERIES
+from tempora.operators.windows import N_ROWS, ROW_ID, SERIES
 
 
 def latest_delta(series_numbered: DataFrame, cols=("temp", "humidity"), series: str = SERIES) -> DataFrame:
     """Newest row per series with ``{c}_delta`` = latest - previous row.
 
-    Only the last two rows per series are touched (top-2 by reverse row id),
-    so no window spans a whole series."""
-    last2 = tail_rows(series_numbered, 2, series=series)
-    prev = last2.select(F.col(series).alias("_s"), (F.col(ROW_ID) + 1).alias("_r"),
-                        *[F.col(c).alias(f"_p_{c}") for c in cols])
-    last = tail_rows(last2, 1, series=series)
-    j = last.join(prev, (F.col(series) == F.col("_s")) & (F.col(ROW_ID) == F.col("_r")), "left")
-    return j.select(*last.columns, *[(F.col(c) - F.col(f"_p_{c}")).alias(f"{c}_delta") for c in cols])
+    Only the last two rows per series are kept (by position) before they meet
+    in one small aggregate, so the input is read once and no window spans a
+    series."""
+    last2 = tail_rows(series_numbered, 2)
+    newest = F.col(ROW_ID) == F.col(N_ROWS) - 1
+    row = F.struct(*[F.col(c) for c in series_numbered.columns])
+    g = last2.groupBy(F.col(series).alias("_s")).agg(
+        F.max(F.when(newest, row)).alias("_last"), *[F.max(F.when(~newest, F.col(c))).alias(f"_p_{c}") for c in cols])
+    return g.select("_last.*", *[(F.col(f"_last.{c}") - F.col(f"_p_{c}")).alias(f"{c}_delta") for c in cols])
 
 
-def last_n(series_numbered: DataFrame, n: int, series: str = SERIES) -> DataFrame:
+def last_n(series_numbered: DataFrame, n: int) -> DataFrame:
     """Last ``n`` rows per series."""
-    return tail_rows(series_numbered, n, series=series)
+    return tail_rows(series_numbered, n)
 
 
 def forecast_table(latest: DataFrame, pred_cols, series: str = SERIES, ts: str = "ts") -> DataFrame:
@@ -49,15 +50,12 @@ def forecast_table(latest: DataFrame, pred_cols, series: str = SERIES, ts: str =
 def backtest(forecasts: DataFrame, actuals: DataFrame, period: int, value: str = "temp",
              series: str = SERIES) -> DataFrame:
     """Rolling-origin backtest.  ``forecasts`` holds ``(model, series_id,
-    row_id, ts, horizon, y_pred)`` made at each origin from earlier rows only
+    row_id, n_rows, ts, horizon, y_pred)`` made at each origin from earlier rows only
     (causal features); ``actuals`` is the numbered series.  Every origin in the
     last ``period`` rows whose target row exists is joined to the actual at
     ``row_id + horizon`` -- one equi-join, no per-origin loop."""
-    a = actuals.select(series, F.col(ROW_ID).alias("_tr"), F.col("ts").alias("target_ts"),
+    a = actuals.select(F.col(series).alias("_s"), F.col(ROW_ID).alias("_tr"), F.col("ts").alias("target_ts"),
                        F.col(value).alias("y_true"))
-    stats = actuals.groupBy(series).agg(F.max(ROW_ID).alias("_hi"))
-    f = (forecasts.join(stats, series)
-                  .where(F.col(ROW_ID) > F.col("_hi") - period).drop("_hi")
-                  .withColumn("_tr", F.col(ROW_ID) + F.col("horizon")))
-    return (f.join(a, [series, "_tr"], "inner").drop("_tr")
-             .withColumnRenamed("ts", "origin_ts"))
+    f = tail_rows(forecasts, period)
+    same = F.col(series).eqNullSafe(F.col("_s")) & (F.col(ROW_ID) + F.col("horizon") == F.col("_tr"))
+    return f.join(a, same, "inner").drop("_s", "_tr").withColumnRenamed("ts", "origin_ts")

@@ -62,27 +62,32 @@ def number_rows(df: DataFrame, series: str = SERIES, ts: str = TS,
     """Add ``row_id`` (0-based position in its series, ordered by ``ts``) and
     ``n_rows`` (series length).
 
-    ``(series, ts)`` must be unique.  In ``blocked`` mode the only full-data
+    Rows of one series with equal ``ts`` (repeated local hours) are ordered by a
+    hash of the whole row; rows with a NULL ``ts`` come first and a NULL series
+    is a series of its own, alike in both modes (``features.rejects`` lists such
+    rows).  In ``blocked`` mode the only full-data
     sort is per ``(series, time bucket)``; the running offsets are computed
     on the count table, one row per bucket, whose size AQE checks at run time
     before it broadcasts it (sort-merge join beyond the threshold).
     """
+    order = (F.col(ts), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
     if mode == "plain":
-        w = Window.partitionBy(series).orderBy(ts)
+        w = Window.partitionBy(series).orderBy(*order)
         return (df.withColumn(ROW_ID, F.row_number().over(w) - 1)
                   .withColumn(N_ROWS, F.count(F.lit(1)).over(Window.partitionBy(series))))
     d = df.withColumn(_BKT, F.date_trunc(bucket_unit, F.col(ts).cast("timestamp_ntz")))
     counts = d.groupBy(series, _BKT).agg(F.count(F.lit(1)).alias("_cnt"))
     ws = Window.partitionBy(series).orderBy(_BKT)
     offsets = counts.select(
-        series, _BKT,
+        F.col(series).alias("_s"), F.col(_BKT).alias("_b"),
         F.coalesce(F.sum("_cnt").over(ws.rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"),
         F.sum("_cnt").over(Window.partitionBy(series)).alias(N_ROWS))
-    wb = Window.partitionBy(series, _BKT).orderBy(ts)
-    return (d.join(offsets, [series, _BKT], "inner")
+    wb = Window.partitionBy(series, _BKT).orderBy(*order)
+    same = F.col(series).eqNullSafe(F.col("_s")) & F.col(_BKT).eqNullSafe(F.col("_b"))
+    return (d.join(offsets, same, "inner")
              .withColumn(ROW_ID, F.col("_off") + F.row_number().over(wb) - 1)
-             .drop(_BKT, "_off"))
+             .drop(_BKT, "_off", "_s", "_b"))
 
 
 def prepare(df: DataFrame, halo_back: int, halo_fwd: int, series: str = SERIES,

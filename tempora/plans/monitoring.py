@@ -1,31 +1,25 @@
-"""Adaptive retraining (the reference's Entry 3) as set-based epochs.
+"""Adaptive retraining (the reference's Entry 3): state tables and one decision.
 
-For a fixed champion, scoring, the performance log and every trigger are one
-query over all remaining days.  Adoption changes later degradation, so the
-loop runs champion epoch by champion epoch: score the epoch, find the first
-day that triggers (one scalar), run champion/challenger there, continue from
-the next day.  The number of driver round-trips is the number of retrains,
-not the number of days.
-
-Windows of the rolling training set (180 kept, 90 retrain, 30 validation, 30
-drift) count days; all series' rows of a day move together, which for one
-series is exactly the reference's row count.
+The performance log, the retrain events and the drift flags are tables; every
+trigger is a query over them (``operators.monitor``).  ``initialise`` writes
+the state of a fresh champion (R1), ``champion_challenger`` makes one retrain
+decision (R9-R11) and ``record`` appends its event, so a scheduler that runs
+once per day calls: score the day, append the log, evaluate the triggers, decide.
 """
 
 from __future__ import annotations
 
-import json
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.operators import drift as dr
 from tempora.operators import learners as ln
-from tempora.operators import monitor as mon
 from tempora.operators import splits as sp
+from tempora.sources import store
 
 DAY = "day_index"
+EVENT = "day_index long, adopted boolean, champion_rmse double, challenger_rmse double, improvement double"
+LOG = "ts date, rmse double, mae double, base_rmse double, degradation double, alert boolean, day_index long"
 
 
 def pooled_rmse(pred: DataFrame) -> DataFrame:
@@ -33,24 +27,44 @@ def pooled_rmse(pred: DataFrame) -> DataFrame:
     return pred.agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
 
 
+def initialise(spark: SparkSession, champion: ln.HorizonModel, train: DataFrame, path: str) -> None:
+    """Write the champion bundle, its baseline (pooled error on its training rows) and
+    empty log and event tables under ``path``."""
+    store.save_model(spark, champion, f"{path}/champion")
+    pooled_rmse(champion.predict(train)).write.mode("overwrite").parquet(f"{path}/baseline")
+    spark.createDataFrame([], LOG).write.mode("overwrite").parquet(f"{path}/log")
+    spark.createDataFrame([], EVENT).write.mode("overwrite").parquet(f"{path}/events")
+
+
+def record(event: DataFrame, path: str) -> None:
+    """Append a retrain event to the state tables."""
+    event.write.mode("append").parquet(f"{path}/events")
+
+
+def state(spark: SparkSession, path: str) -> dict:
+    """The state tables: champion model, baseline, log and events."""
+    return {"champion": store.load_model(spark, f"{path}/champion"), **{
+        name: spark.read.parquet(f"{path}/{name}") for name in ("baseline", "log", "events")}}
+
+
 def champion_challenger(champion: ln.HorizonModel, estimator, history: DataFrame, roles, targets, horizons,
                         day_index: int, retrain_window: int = sp.RETRAIN_WINDOW,
-                        validation_window: int = sp.VALIDATION_WINDOW, latest: bool = False,
-                        order: str = "row_id"):
+                        validation_window: int = sp.VALIDATION_WINDOW, latest: bool = False, end=None):
     """R9-R11 on the rolling training set ``history``.
 
     Fit a challenger on the retrain slice, compare pooled RMSE of both models
-    on the validation slice, adopt when strictly lower.  Without validation
+    on the validation slice, adopt when strictly lower; ``end`` is one past the last
+    ``row_id`` of each series in ``history`` (the series length if not given).  Without validation
     rows the challenger is adopted and the event has NULL RMSEs (R10).
     After adoption the baseline RMSE/MAE come from the challenger on its own
     retrain slice (R11).  Returns (one-row event DataFrame, state dict with
     ``model`` and ``baseline``)."""
     spark = history.sparkSession
-    sl = sp.retrain_slices(history, retrain_window, validation_window, latest, order=order)
+    sl = sp.retrain_slices(history, retrain_window, validation_window, latest, end)
     retrain = sl.where(F.col("slice") == "retrain").drop("slice")
     val = sl.where(F.col("slice") == "validation").drop("slice")
     challenger = ln.fit_horizons("challenger", estimator, retrain, roles, targets, horizons)
-    has_val = val.limit(1).count() > 0
+    has_val = not val.isEmpty()
     ch_rmse = cl_rmse = None
     if has_val:
         both = (champion.predict(val).withColumn("who", F.lit("champion"))
@@ -72,318 +86,40 @@ def champion_challenger(champion: ln.HorizonModel, estimator, history: DataFrame
     return ev, {"model": challenger if adopted else champion, "baseline": baseline}
 
 
-def day_numbers(df: DataFrame, time_col: str = "ts") -> DataFrame:
-    """1-based day position; the day table is one row per distinct day."""
-    days = df.select(time_col).distinct()
-    w = Window.orderBy(time_col)   # one row per day: small
-    return df.join(days.withColumn(DAY, F.row_number().over(w).cast("long")), time_col)
-
-
-def drift_by_day(train: DataFrame, stream: DataFrame, cols, baseline_days: int = sp.DRIFT_BASELINE_ROWS,
-                 recent_days: int = sp.DRIFT_BASELINE_ROWS, min_rows: int = dr.DRIFT_MIN_TRAIN_ROWS,
-                 time_col: str = "ts") -> DataFrame:
-    """R8 for every scored day at once.  The baseline is the first
-    ``baseline_days`` training days (fixed); the recent sample of day ``d`` is
-    the ``recent_days`` days before it in the rolling set (training days
-    followed by scored days).  Each row is copied into the ``recent_days``
-    windows it belongs to -- bounded fan-out, no per-day loop.
-    Returns ``(day_index, n_drifted, drift)``."""
-    tdays = train.select(time_col).distinct()
-    n_train = tdays.count()
-    tw = Window.orderBy(time_col)
-    tpos = tdays.withColumn("_c", (F.row_number().over(tw) - n_train).cast("long"))      # ... -1, 0
-    tr = train.join(tpos, time_col)
-    st = stream.select(*stream.columns)
-    st = st.withColumn("_c", F.col(DAY))
-    n_days = stream.agg(F.max(DAY)).first()[0] or 0
-    both = tr.select("_c", *cols).unionByName(st.select("_c", *cols))
-    recent = (both.where(F.col("_c") >= 1 - recent_days)
-                  .withColumn(DAY, F.explode(F.sequence(F.col("_c") + 1, F.col("_c") + recent_days)))
-                  .where((F.col(DAY) >= 1) & (F.col(DAY) <= n_days)))
-    base = (tr.where(F.col("_c") < baseline_days - n_train + 1)
-              .withColumn(DAY, F.explode(F.sequence(F.lit(1), F.lit(max(int(n_days), 1))))))
-    ks = dr.ks_statistic(dr.unpivot(base, [DAY], cols), dr.unpivot(recent, [DAY], cols), [DAY, "column_name"])
-    ks = ks.withColumn("p_value", dr.ks_pvalue("n_base", "n_recent", "k_stat"))
-    out = (ks.groupBy(DAY).agg(F.count(F.when(F.col("p_value") < dr.KS_ALPHA, 1)).alias("n_drifted"))
-             .withColumn("drift", (F.col("n_drifted") >= dr.MIN_DRIFTED)
-                         & (F.lit(n_train) + F.col(DAY) - 1 >= min_rows)))
-    return out
-
-
-@dataclass
-class MonitorResult:
-    log: DataFrame
-    history: DataFrame
-    report: DataFrame
-    dashboard: DataFrame
-
-
-def run_monitor(train: DataFrame, stream: DataFrame, estimator, roles, targets, horizons,
-                base_rmse: float, threshold: float = mon.ALERT_THRESHOLD, drift_cols=None,
-                max_history: int = sp.MAX_HISTORY, max_epochs: int = 100, time_col: str = "ts",
-                progress=None) -> MonitorResult:
-    """R1-R13 closed loop.  ``train``: initial training rows; ``stream``:
-    later rows in time order (features + targets), scored day by day."""
-    spark = train.sparkSession
-    champion = ln.fit_horizons("champion", estimator, train, roles, targets, horizons)        # R1
-    st = day_numbers(stream, time_col).checkpoint(eager=True)
-    # computed once for every scored day; each epoch's trigger scan re-reads it
-    drift = drift_by_day(train, st, drift_cols).checkpoint(eager=True) if drift_cols else None
-    base = float(base_rmse)
-    logs, events = None, []
-    start, last_retrain = 1, None
-    for _ in range(max_epochs):
-        part = st.where(F.col(DAY) >= start)
-        pred = champion.predict(part.drop(DAY)).join(st.select(time_col, DAY).distinct(), time_col)
-        e = F.col("y_true") - F.col("y_pred")
-        lg = (pred.groupBy(time_col, DAY).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
-                  .withColumn("base_rmse", F.lit(base))
-                  .withColumn("degradation", F.when(F.col("base_rmse") != 0,
-                                                    (F.col("rmse") - F.col("base_rmse")) / F.col("base_rmse")))
-                  .withColumn("alert", F.coalesce(F.col("degradation") > threshold, F.lit(False))))
-        lg = lg.checkpoint(eager=True)   # one row per day; later epochs read it, not its lineage
-        full = lg if logs is None else logs.unionByName(lg)
-        idx = F.lit(last_retrain) if last_retrain is not None else None
-        trig = mon.triggers(full, drift=drift, retrain_index=idx, threshold=threshold)
-        first = trig.where((F.col(DAY) >= start) & F.col("should_retrain")).agg(F.min(DAY)).first()[0]
-        if first is None:
-            logs = full
-            break
-        logs = full.where(F.col(DAY) <= first)
-        hist = _rolling_set(train, st, first, max_history, time_col)
-        ev, state = champion_challenger(champion, estimator, hist, roles, targets, horizons, first,
-                                        order="_q")
-        if progress:
-            progress(first, state["baseline"])
-        events.append(ev)
-        champion = state["model"]
-        if state["baseline"] is not None:
-            base = float(state["baseline"]["rmse"])
-        last_retrain = first
-        start = first + 1
-    history = None
-    for ev in events:
-        history = ev if history is None else history.unionByName(ev)
-    if history is None:
-        history = spark.createDataFrame([], "day_index long, adopted boolean, champion_rmse double, "
-                                            "challenger_rmse double, improvement double")
-    return MonitorResult(logs, history, mon.report(logs, history), mon.dashboard(logs, history, threshold))
-
-
-def _rolling_set(train: DataFrame, st: DataFrame, day: int, max_history: int, time_col: str) -> DataFrame:
-    """Training rows plus scored rows before ``day``, newest
-    ``max_history`` days kept; ``_q`` orders days across both parts."""
-    tdays = train.select(time_col).distinct()
-    n_train = tdays.count()
-    tpos = tdays.withColumn("_q", (F.row_number().over(Window.orderBy(time_col)) - n_train).cast("long"))
-    a = train.join(tpos, time_col)
-    b = st.where(F.col(DAY) < day).withColumn("_q", F.col(DAY)).drop(DAY)
-    hist = a.unionByName(b.select(*a.columns))
-    hi = hist.agg(F.max("_q")).first()[0]
-    return hist.where(F.col("_q") > hi - max_history).withColumn("series_id", F.lit("_all"))
-
-
-# ------------------------------------------------------------------ batched form
-
-def _np_preprocess_fit(tr, numeric, categorical):
-    """numpy twin of ``Preprocessor.fit`` for one small group (exact median,
-    population std, mode with smallest tie, sorted categories)."""
-    import numpy as np
-    import pandas as pd
-    state = {"num": [], "cat": []}
-    for c in numeric:
-        v = pd.to_numeric(tr[c], errors="coerce").astype(float).to_numpy()
-        if np.all(np.isnan(v)):
-            continue                                   # no value: dropped
-        med = float(np.nanmedian(v))
-        filled = np.where(np.isnan(v), med, v)
-        state["num"].append((c, med, float(filled.mean()), float(filled.std())))
-    for c in categorical:
-        v = tr[c].astype("string")
-        vc = v.dropna().value_counts()
-        mode = sorted(vc[vc == vc.max()].index)[0] if len(vc) else None
-        cats = sorted(set(v.fillna(mode).dropna()))
-        state["cat"].append((c, mode, cats))
-    return state
-
-
-def _np_preprocess_apply(df, state):
-    import numpy as np
-    cols = []
-    for c, med, mu, sd in state["num"]:
-        v = df[c].astype(float).to_numpy()
-        cols.append((np.where(np.isnan(v), med, v) - mu) / (sd if sd > 0 else 1.0))
-    for c, mode, cats in state["cat"]:
-        v = df[c].astype("string").fillna(mode)
-        for cat in cats:
-            cols.append((v == cat).to_numpy(dtype=float))
-    return np.column_stack(cols) if cols else np.zeros((len(df), 0))
-
-
-def _challenger_group(numeric, categorical, targets):
-    """Per candidate day: fit preprocessing + Bayesian ridge on the retrain
-    slice, score the validation slice and the retrain slice (R9, R11)."""
-    import numpy as np
-    import pandas as pd
-    from tempora.operators.learners import BAYES_DEFAULTS, bayesian_ridge_from_gram
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        tr, va = pdf[pdf["_role"] == "retrain"], pdf[pdf["_role"] == "validation"]
-        state = _np_preprocess_fit(tr, numeric, categorical)
-        X, Y = _np_preprocess_apply(tr, state), tr[targets].to_numpy(dtype=float)
-        ok = ~np.isnan(Y).any(axis=1)
-        X, Y = X[ok], Y[ok]
-        M = np.concatenate([X, Y], axis=1)
-        f = X.shape[1]
-        G = M.T @ M
-        st = dict(n=float(len(X)), sx=X.sum(0), sy=Y.sum(0), XtX=G[:f, :f], XtY=G[:f, f:], YtY=G[f:, f:])
-        coef, icpt, _, _ = bayesian_ridge_from_gram(st, **BAYES_DEFAULTS)
-        out = {"cand": int(pdf["cand"].iloc[0]), "n_val": int(len(va))}
-        if len(va):
-            E = va[targets].to_numpy(dtype=float) - (_np_preprocess_apply(va, state) @ coef + icpt)
-            out["challenger_rmse"] = float(np.sqrt(np.nanmean(E ** 2)))
-        else:
-            out["challenger_rmse"] = None
-        Et = Y - (X @ coef + icpt)
-        out["base_rmse"], out["base_mae"] = float(np.sqrt(np.mean(Et ** 2))), float(np.mean(np.abs(Et)))
-        out["model"] = json.dumps({
-            "prep": dict(numeric=[c for c, *_ in state["num"]], categorical=[c for c, *_ in state["cat"]],
-                         text=[], medians={c: m for c, m, _, _ in state["num"]},
-                         means={c: u for c, _, u, _ in state["num"]}, stds={c: d for c, _, _, d in state["num"]},
-                         modes={c: m for c, m, _ in state["cat"]}, categories={c: k for c, _, k in state["cat"]},
-                         vocab=[], output_col="features"),
-            "coef": coef.tolist(), "intercept": icpt.tolist()})
-        return pd.DataFrame([out])
-    return fit
-
-
-def batch_challengers(hist: DataFrame, candidates, champion: ln.HorizonModel, roles, targets,
-                      retrain_window: int = sp.RETRAIN_WINDOW,
-                      validation_window: int = sp.VALIDATION_WINDOW) -> list[dict]:
-    """R9/R11 for many candidate retrain days in one job.  ``hist`` carries the
-    day position ``_q`` (training days <= 0, scored days 1..).  Each row is
-    copied to the candidates whose retrain or validation slice holds it
-    (at most ``retrain_window + validation_window`` copies); each candidate is
-    one bounded group fitted with numpy; the champion's validation RMSE per
-    candidate is a Spark aggregate.  Returns one dict per candidate."""
-    spark = hist.sparkSession
-    span = retrain_window + validation_window
-    cand = spark.createDataFrame([(int(c),) for c in candidates], "cand long")
-    rows = (hist.withColumn("cand", F.explode(F.sequence(F.col("_q") + 1, F.col("_q") + span)))
-                .join(F.broadcast(cand), "cand")       # candidates: one row per day, bounded
-                .withColumn("_role", F.when(F.col("cand") - F.col("_q") <= retrain_window, "retrain")
-                                      .otherwise("validation")))
-    feats = roles["numeric"] + roles["categorical"]
-    pdf_cols = ["cand", "_role"] + feats + list(targets)
-    schema = "cand long, n_val long, challenger_rmse double, base_rmse double, base_mae double, model string"
-    fitted = (rows.select(*pdf_cols).groupBy("cand")
-                  .applyInPandas(_challenger_group(roles["numeric"], roles["categorical"], list(targets)), schema))
-    val = rows.where(F.col("_role") == "validation")
-    e = F.col("y_true") - F.col("y_pred")
-    champ = (champion.predict(val.withColumn("split", F.col("cand").cast("string")))
-                     .groupBy(F.col("split").cast("long").alias("cand"))
-                     .agg(F.sqrt(F.avg(e * e)).alias("champion_rmse")))
-    res = fitted.join(champ, "cand", "left").orderBy("cand").collect()   # one row per candidate
-    return [r.asDict() for r in res]
-
-
-def _model_from_state(text: str, targets, horizons) -> ln.HorizonModel:
-    """Spark-side model from a grouped numpy fit (same preprocessing state
-    format as ``PreprocessorModel``; coefficients in its column order)."""
-    import numpy as np
-    from tempora.operators.preprocess import PreprocessorModel
-    st = json.loads(text)
-    br = ln.BayesianRidgeModel(np.array(st["coef"]), np.array(st["intercept"]))
-    return ln.HorizonModel("champion", PreprocessorModel(st["prep"]), br, list(targets), list(horizons))
-
-
-def plan_candidates(flags, start: int, last_retrain, min_rows: int = mon.MIN_LOG_ROWS,
-                    every: int = mon.MAINTENANCE_ROWS) -> list[int]:
-    """Retrain days from ``start`` on if every challenger were rejected:
-    a history-free trigger, or ``every`` days since the last retrain (never
-    retrained: log length >= ``every``)."""
-    out, last = [], last_retrain
-    for day, free in flags:
-        if day < start or day < min_rows:
-            continue
-        sched = (day - last >= every) if last is not None else (day >= every)
-        if free or sched:
-            out.append(day)
-            last = day
-    return out
-
-
-def run_monitor_batched(train: DataFrame, stream: DataFrame, roles, targets, horizons, base_rmse: float | None = None,
-                        threshold: float = mon.ALERT_THRESHOLD, drift_cols=None,
-                        max_history: int = sp.MAX_HISTORY, time_col: str = "ts", max_epochs: int = 100,
-                        progress=None, max_group_rows: int = 2_000_000) -> MonitorResult:
-    """R1-R13 closed loop with Bayesian ridge, challengers batched per
-    champion epoch: while the champion is unchanged the log and triggers are
-    fixed, so all candidate retrain days of the epoch are fitted in one job;
-    the first adopted candidate ends the epoch.
-
-    A candidate's group holds its retrain + validation days of all series;
-    when that could exceed ``max_group_rows`` (many series per day) the loop
-    runs as ``run_monitor`` instead, whose fits are distributed Spark jobs."""
-    spark = train.sparkSession
-    per_day = max(train.groupBy(time_col).count().agg(F.max("count")).first()[0] or 0,
-                  stream.groupBy(time_col).count().agg(F.max("count")).first()[0] or 0)
-    if per_day * (sp.RETRAIN_WINDOW + sp.VALIDATION_WINDOW) > max_group_rows:
-        if base_rmse is None:
-            base_rmse = pooled_rmse(ln.fit_horizons("champion", "bayes_ridge", train, roles, targets, horizons)
-                                    .predict(train)).first()["rmse"]
-        return run_monitor(train, stream, "bayes_ridge", roles, targets, horizons, base_rmse, threshold,
-                           drift_cols, max_history, max_epochs, time_col)
-    champion = ln.fit_horizons("champion", "bayes_ridge", train, roles, targets, horizons)
-    if base_rmse is None:   # baseline: the champion on its own training rows (as R11 refreshes it)
-        base_rmse = pooled_rmse(champion.predict(train)).first()["rmse"]
-    st = day_numbers(stream, time_col).checkpoint(eager=True)
-    drift = drift_by_day(train, st, drift_cols).checkpoint(eager=True) if drift_cols else None
-    hist_all = _rolling_set(train, st, 10 ** 9, 10 ** 9, time_col).checkpoint(eager=True)
-    base, logs, events = float(base_rmse), None, []
-    start, last_retrain = 1, None
-    for _ in range(max_epochs):
-        part = st.where(F.col(DAY) >= start)
-        pred = champion.predict(part.drop(DAY)).join(st.select(time_col, DAY).distinct(), time_col)
-        e = F.col("y_true") - F.col("y_pred")
-        lg = (pred.groupBy(time_col, DAY).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
-                  .withColumn("base_rmse", F.lit(base))
-                  .withColumn("degradation", F.when(F.col("base_rmse") != 0,
-                                                    (F.col("rmse") - F.col("base_rmse")) / F.col("base_rmse")))
-                  .withColumn("alert", F.coalesce(F.col("degradation") > threshold, F.lit(False))))
-        lg = lg.checkpoint(eager=True)
-        full = lg if logs is None else logs.unionByName(lg)
-        trig = mon.triggers(full, drift=drift, threshold=threshold)
-        flags = [(r[DAY], r["history_free"]) for r in
-                 trig.where(F.col(DAY) >= start).select(DAY, "history_free").orderBy(DAY).collect()]   # one row per day
-        cands = plan_candidates(flags, start, last_retrain)
-        if not cands:
-            logs = full
-            break
-        # candidates in growing chunks: an early adoption wastes few fits,
-        # a long run of rejections needs few jobs
-        adopted_day, pos, chunk = None, 0, 8
-        while pos < len(cands) and adopted_day is None:
-            for r in batch_challengers(hist_all, cands[pos:pos + chunk], champion, roles, targets):
-                ch, cl = r["champion_rmse"], r["challenger_rmse"]
-                adopted = (cl is None) or (ch is not None and cl < ch)
-                imp = (ch - cl) / ch * 100 if (ch and cl is not None) else None
-                events.append((int(r["cand"]), bool(adopted), ch, cl, imp))
-                last_retrain = int(r["cand"])
-                if adopted:
-                    adopted_day = int(r["cand"])
-                    base = float(r["base_rmse"])
-                    new_champion = _model_from_state(r["model"], targets, horizons)
-                    break
-            pos, chunk = pos + chunk, chunk * 2
-        if progress:
-            progress(cands[0], len(cands), adopted_day)
-        if adopted_day is None:
-            logs = full
-            break
-        logs = full.where(F.col(DAY) <= adopted_day)
-        champion = new_champion          # the adopted challenger, as fitted in its group
-        start = adopted_day + 1
-    history = spark.createDataFrame(events, "day_index long, adopted boolean, champion_rmse double, "
-                                            "challenger_rmse double, improvement double")
-    return MonitorResult(logs, history, mon.report(logs, history), mon.dashboard(logs, history, threshold))
+def drift_by_day(baseline: DataFrame, stream: DataFrame, cols, by=("series_id",), recent: int = sp.DRIFT_BASELINE_ROWS,
+                 min_rows: int = dr.DRIFT_MIN_TRAIN_ROWS, order: str = "row_id", day: str = DAY) -> DataFrame:
+    """R8 for every scored day at once: ``by..., day_index, n_drifted, n_tested, drift``.
+
+    ``baseline``: the fixed first rows (keys and ``cols``); ``stream``: the rolling set in
+    ``order``, with ``day`` set on scored rows.  The sample of a day is the
+    ``recent`` rows before it.  The largest gap of two step functions lies at (or
+    just before) a value of the recent sample, so the baseline's distribution
+    is looked up once per stream value, in one running count per series and column;
+    it is not copied per day.  Only a stream row's small (column, value,
+    two counts) record is copied to the ``recent`` days that use it.
+    """
+    keys = [*by, "column_name"]
+    base = dr.unpivot(baseline, list(by), cols).withColumns({"_pos": F.lit(None).cast("long"), "_a": F.lit(1)})
+    rows = dr.unpivot(stream.withColumn("_pos", F.col(order)), [*by, "_pos"], cols).withColumn("_a", F.lit(0))
+    at = Window.partitionBy(*keys).orderBy("value")
+    seen = (base.select(*keys, "value", "_pos", "_a").unionByName(rows.select(*keys, "value", "_pos", "_a"))
+                .withColumn("_le", F.sum("_a").over(at.rangeBetween(Window.unboundedPreceding, 0)))
+                .withColumn("_lt", F.col("_le") - F.sum("_a").over(Window.partitionBy(*keys, "value")))
+                .withColumn("n_base", F.sum("_a").over(Window.partitionBy(*keys)))
+                .where(F.col("_pos").isNotNull() & (F.col("n_base") > 0)))
+    days = stream.where(F.col(day).isNotNull()).select(*by, F.col(order).alias("_day_pos"), F.col(day).alias("_day"))
+    used = (seen.withColumn("_day_pos", F.explode(F.sequence(F.col("_pos") + 1, F.col("_pos") + recent)))
+                .join(days, [*by, "_day_pos"]))
+    g = Window.partitionBy(*by, "_day", "column_name")
+    upto = g.orderBy("value").rangeBetween(Window.unboundedPreceding, 0)
+    q = (used.withColumn("n_recent", F.count(F.lit(1)).over(g)).withColumn("_ge", F.count(F.lit(1)).over(upto))
+             .withColumn("_eq", F.count(F.lit(1)).over(Window.partitionBy(*by, "_day", "column_name", "value"))))
+    gap = F.greatest(F.abs(F.col("_le") * F.col("n_recent") - F.col("_ge") * F.col("n_base")),
+                     F.abs(F.col("_lt") * F.col("n_recent") - (F.col("_ge") - F.col("_eq")) * F.col("n_base")))
+    st = (q.groupBy(*by, "_day", "column_name").agg(F.first("n_base").alias("n_base"), F.first("n_recent").alias("n_recent"),
+                                                  F.max(gap).alias("k_stat"), F.max("_day_pos").alias("_day_pos")))
+    st = dr.with_pvalue(st)
+    return (st.groupBy(*by, F.col("_day").alias(day))
+              .agg(F.count(F.when(F.col("p_value") < dr.KS_ALPHA, 1)).alias("n_drifted"), F.count(F.lit(1)).alias("n_tested"),
+                   F.max("_day_pos").alias("_rows"))
+              .withColumn("drift", (F.col("n_drifted") >= dr.MIN_DRIFTED) & (F.col("_rows") >= min_rows)).drop("_rows"))

@@ -9,10 +9,16 @@ places and integers are BIGINT, like ``queries.fin``.
 
 from __future__ import annotations
 
-from tempora.operators import features as fe
 from tempora.operators.profile import COLUMN_DESCRIPTIONS
 
 W = "PARTITION BY series_id ORDER BY ts"
+# Spelled out here, not imported: a wrong constant in the library must not pass.
+DAILY_HORIZONS = [1, 2, 3, 4, 5]
+DAILY_LAGS = [1, 2, 3, 7, 14]
+DAILY_WINDOWS = [3, 7, 14]
+HOURLY_LAGS = [1, 2, 3, 6, 12, 18, 24, 48, 96, 120, 144]
+HOURLY_WINDOWS = [3, 6, 12, 18, 24, 48, 72, 96, 120, 144]
+HOURLY_TARGET_DAYS = 5
 DAILY_PRESENT = ['temp', 'tempmax', 'tempmin', 'humidity', 'precip', 'windspeed', 'cloudcover', 'severerisk']
 HOURLY_PRESENT = ['feelslike', 'humidity', 'precip', 'windspeed', 'cloudcover', 'severerisk']
 
@@ -50,7 +56,9 @@ def daily_src(key: str = "'_'") -> str:
   sum(CASE WHEN o_orderstatus = 'F' THEN 12.5::DOUBLE ELSE 0.0::DOUBLE END) AS cloudcover,
   sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0::DOUBLE END) AS severerisk,
   min(CASE WHEN o_orderstatus = 'P' THEN 'rain' END) AS preciptype,
-  min(o_orderpriority) AS conditions, max(o_orderstatus) AS icon
+  min(o_orderpriority) AS conditions, max(o_orderstatus) AS icon,
+  CASE WHEN count(*) % 7 <> 0 THEN concat_ws(' ', min(o_orderpriority), 'status', max(o_orderstatus),
+    CASE WHEN count(*) % 2 = 0 THEN 'even day of orders' END, 'month' || month(min(o_orderdate))) END AS description
 FROM orders GROUP BY 1, 2"""
 
 
@@ -92,9 +100,9 @@ def daily_feature_cols() -> list[tuple[str, str]]:
            ("cos_day_of_year", "cos(2 * pi() * dayofyear(ts) / 366)"),
            ("sin_month", "sin(2 * pi() * month(ts) / 12)"), ("cos_month", "cos(2 * pi() * month(ts) / 12)"),
            ("temp_diff_1", f"temp - lag(temp, 1) OVER ({W})"), ("temp_diff_7", f"temp - lag(temp, 7) OVER ({W})")]
-    for k in fe.DAILY_LAGS:
+    for k in DAILY_LAGS:
         out += [(f"{c}_lag_{k}", f"lag({c}, {k}) OVER ({W})") for c in DAILY_PRESENT]
-    for n in fe.DAILY_WINDOWS:
+    for n in DAILY_WINDOWS:
         a = f"{n - 1} PRECEDING"
         out += [(f"temp_rollmean_{n}", guarded("avg", "temp", a, "CURRENT ROW", n)),
                 (f"temp_rollstd_{n}", guarded("stddev_samp", "temp", a, "CURRENT ROW", n)),
@@ -102,7 +110,7 @@ def daily_feature_cols() -> list[tuple[str, str]]:
                 (f"precip_rollsum_{n}", guarded("sum", "precip", a, "CURRENT ROW", n)),
                 (f"windspeed_rollmean_{n}", guarded("avg", "windspeed", a, "CURRENT ROW", n)),
                 (f"cloudcover_rollmean_{n}", guarded("avg", "cloudcover", a, "CURRENT ROW", n))]
-    out += [(f"target_temp_t+{h}", f"lead(temp, {h}) OVER ({W})") for h in fe.DAILY_HORIZONS]
+    out += [(f"target_temp_t+{h}", f"lead(temp, {h}) OVER ({W})") for h in DAILY_HORIZONS]
     return out
 
 
@@ -120,15 +128,15 @@ def hourly_feature_cols() -> list[tuple[str, str]]:
            ("cos_day_of_year", "cos(2 * pi() * dayofyear(ts) / 366)"),
            ("sin_month", "sin(2 * pi() * month(ts) / 12)"), ("cos_month", "cos(2 * pi() * month(ts) / 12)"),
            ("sin_hour", "sin(2 * pi() * hour(ts) / 24)"), ("cos_hour", "cos(2 * pi() * hour(ts) / 24)")]
-    for k in fe.HOURLY_LAGS:
+    for k in HOURLY_LAGS:
         out += [(f"{c}_lag_{k}", f"lag({c}, {k}) OVER ({W})") for c in HOURLY_PRESENT]
-    out += [(f"temp_lag_{k}", f"lag(temp, {k}) OVER ({W})") for k in fe.HOURLY_LAGS]
-    for n in fe.HOURLY_WINDOWS:
+    out += [(f"temp_lag_{k}", f"lag(temp, {k}) OVER ({W})") for k in HOURLY_LAGS]
+    for n in HOURLY_WINDOWS:
         f = frame(f"{n} PRECEDING", "1 PRECEDING")
         out += [(f"temp_lag1_rollmean_{n}", f"avg(temp) {f}"), (f"temp_lag1_rollstd_{n}", f"stddev_samp(temp) {f}"),
                 (f"humidity_rollmean_{n}", f"avg(humidity) {f}"), (f"precip_rollsum_{n}", f"sum(precip) {f}"),
                 (f"windspeed_rollmean_{n}", f"avg(windspeed) {f}")]
-    for d in range(1, fe.HOURLY_TARGET_DAYS + 1):
+    for d in range(1, HOURLY_TARGET_DAYS + 1):
         a, b = f"{24 * (d - 1) + 1} FOLLOWING", f"{24 * d} FOLLOWING"
         mx, mn = guarded("max", "temp", a, b, 24), guarded("min", "temp", a, b, 24)
         out += [(f"target_daily_max_day_{d}", mx), (f"target_daily_min_day_{d}", mn),
@@ -156,8 +164,8 @@ def split_cte(src: str, valid: str, name: str = "spl") -> str:
 
 # ------------------------------------------------------------------ forecasts
 
-def preds_cte() -> str:
-    hs = fe.DAILY_HORIZONS
+def preds_cte(multi: bool = False) -> str:
+    hs = DAILY_HORIZONS
     leads = ", ".join(f"lead(temp, {h}) OVER ({W}) AS y{h}" for h in hs)
     lags = ", ".join(f"lag(temp, {7 - h}) OVER ({W}) AS s{h}" for h in hs)
     parts = []
@@ -167,7 +175,7 @@ def preds_cte() -> str:
         parts.append(f"SELECT 'seasonal7' AS model, split, series_id, ts, row_id, CAST({h} AS BIGINT) AS horizon, "
                      f"y{h} AS y_true, s{h} AS y_pred FROM nf_s")
     base = "\n  UNION ALL ".join(parts)
-    return f"""{daily_n()},
+    return f"""{daily_n(multi)},
 nf AS (SELECT series_id, ts, row_id, n_rows, temp, {leads}, {lags} FROM dn),
 {split_cte('nf', DAILY_VALID, 'nf_s')},
 pbase AS ({base}),
@@ -192,11 +200,11 @@ macro AS (SELECT model, split, avg(rmse) AS rmse_macro, avg(mae) AS mae_macro, a
 
 def origin_cte() -> str:
     parts = []
-    for h in fe.DAILY_HORIZONS:
+    for h in DAILY_HORIZONS:
         parts.append(f"SELECT 'persist' AS model, series_id, ts, row_id, n_rows, CAST({h} AS BIGINT) AS horizon, temp AS y_pred FROM fo")
         parts.append(f"SELECT 'seasonal7' AS model, series_id, ts, row_id, n_rows, CAST({h} AS BIGINT) AS horizon, "
                      f"lag7_{h} AS y_pred FROM fo")
-    lags = ", ".join(f"lag(temp, {7 - h}) OVER ({W}) AS lag7_{h}" for h in fe.DAILY_HORIZONS)
+    lags = ", ".join(f"lag(temp, {7 - h}) OVER ({W}) AS lag7_{h}" for h in DAILY_HORIZONS)
     u = "\n  UNION ALL ".join(parts)
     return f"""{daily_n()},
 fo AS (SELECT series_id, ts, row_id, n_rows, temp, {lags} FROM dn),
@@ -255,7 +263,7 @@ def _sql() -> dict[str, str]:
     th = [c for c in hcols if c.startswith("target_")]
     S["q_target_block"] = R(f"WITH {hourly_feats()} SELECT series_id, ts, {', '.join(map(q, th))} FROM hf_all", th)
     base = ", ".join(DAILY_PRESENT)
-    ys = ", ".join(f"lead(temp, {h}) OVER ({W}) AS y{h}" for h in fe.DAILY_HORIZONS)
+    ys = ", ".join(f"lead(temp, {h}) OVER ({W}) AS y{h}" for h in DAILY_HORIZONS)
     S["q_sequence"] = R(f"""WITH {daily_n()},
 sq AS (SELECT series_id, ts, row_id, n_rows,
   list(list_value({base})) OVER ({W} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS sx, {ys} FROM dn)
@@ -299,7 +307,7 @@ FROM bt GROUP BY model, horizon""", ["r2", "mae", "rmse", "accuracy"])
 
     # profile
     spec = [("series_id", "string"), ("ts", "date")] + [(c, "float") for c in DAILY_PRESENT] + \
-           [("preciptype", "string"), ("conditions", "string"), ("icon", "string")]
+           [("preciptype", "string"), ("conditions", "string"), ("icon", "string"), ("description", "string")]
     stats, longs = [], []
     for c, t in spec:
         num = t == "float"
@@ -308,14 +316,14 @@ FROM bt GROUP BY model, horizon""", ["r2", "mae", "rmse", "accuracy"])
         stats.append(f"SELECT '{c}' AS column_name, '{t}' AS dtype, count_if({c} IS NULL) AS missing, "
                      f"count(DISTINCT {c}) AS n_unique, {mm} FROM src")
         v = f"CAST(round({c}, 4) AS VARCHAR)" if num else f"CAST({c} AS VARCHAR)"
-        longs.append(f"SELECT '{c}' AS column_name, {v} AS value, ts AS o FROM src WHERE {c} IS NOT NULL")
+        longs.append(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS raw, {v} AS value, ts AS o FROM src WHERE {c} IS NOT NULL")
     desc = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in COLUMN_DESCRIPTIONS)
     S["q_profile"] = R(f"""WITH src AS ({daily_src()}),
 st(column_name, dtype, missing, n_unique, min, max, mean) AS ({' UNION ALL '.join(stats)}),
 lo AS ({' UNION ALL '.join(longs)}),
-fo AS (SELECT column_name, value, min(o) AS o FROM lo GROUP BY column_name, value),
-tp AS (SELECT column_name, string_agg(value, '|' ORDER BY o, value) AS sample_values FROM
-  (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY o, value) AS r FROM fo) WHERE r <= 5
+fo AS (SELECT column_name, raw, value, min(o) AS o FROM lo GROUP BY column_name, raw, value),
+tp AS (SELECT column_name, string_agg(value, '|' ORDER BY o, raw) AS sample_values FROM
+  (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY o, raw) AS r FROM fo) WHERE r <= 5
   GROUP BY column_name),
 dd(column_name, description) AS (VALUES {desc})
 SELECT st.*, tp.sample_values, coalesce(dd.description, '') AS description
@@ -367,11 +375,11 @@ SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS tfidf FR
     S["q_macro"] = R(f"WITH {per_h_cte()} SELECT * FROM macro", macros)
     S["q_leaderboard"] = R(f"""WITH {per_h_cte()} SELECT model, rmse_macro, mae_macro, mape_macro, r2_macro,
   row_number() OVER (ORDER BY rmse_macro ASC NULLS LAST, model) AS rank FROM macro WHERE split = 'test'""", macros)
-    hp = ", ".join(f"max(CASE WHEN horizon = {h} THEN rmse END) AS rmse_h{h}" for h in fe.DAILY_HORIZONS)
+    hp = ", ".join(f"max(CASE WHEN horizon = {h} THEN rmse END) AS rmse_h{h}" for h in DAILY_HORIZONS)
     S["q_horizon_pivot"] = R(f"""WITH {per_h_cte()},
 lb AS (SELECT model, row_number() OVER (ORDER BY rmse_macro ASC NULLS LAST, model) AS rank FROM macro WHERE split = 'test')
 SELECT model, {hp}, lb.rank FROM per_h JOIN lb USING (model) WHERE split = 'test' GROUP BY model, lb.rank""",
-                                 [f"rmse_h{h}" for h in fe.DAILY_HORIZONS])
+                                 [f"rmse_h{h}" for h in DAILY_HORIZONS])
     S["q_best_model"] = R(f"""WITH {per_h_cte()}
 SELECT (SELECT model FROM macro WHERE split = 'test' ORDER BY rmse_macro, model LIMIT 1) AS best_model,
   (SELECT min(rmse_macro) FROM macro WHERE split = 'test') AS rmse_macro""", ["rmse_macro"])
@@ -509,7 +517,7 @@ SELECT count(*) AS n_predictions, avg(rmse) AS mean_rmse, avg(degradation) * 100
   CAST(0 AS BIGINT) AS n_rejected, CAST(NULL AS DOUBLE) AS mean_adopted_improvement FROM lg""",
                       ["mean_rmse", "mean_degradation_pct", "alert_rate_pct", "mean_adopted_improvement"])
     S["q_dashboard"] = R(f"""WITH {log_cte()}
-SELECT *, {ar} AS alert_rate_30, 0.15::DOUBLE AS threshold FROM lg WHERE (SELECT count(*) FROM lg) >= 10""",
+SELECT *, {ar} AS alert_rate_30, CAST(NULL AS BOOLEAN) AS retrain_adopted, 0.15::DOUBLE AS threshold FROM lg WHERE (SELECT count(*) FROM lg) >= 10""",
                          LOG_DBL + ["alert_rate_30", "threshold"])
     ks_cols = [c for c in (["temp", "tempmax", "tempmin", "humidity", "precip", "windspeed", "cloudcover",
                             "severerisk"] + [n for n, _ in daily_feature_cols()]) if not c.startswith("target_")]
@@ -531,7 +539,134 @@ ks AS (SELECT series_id, column_name, CAST(max(n_base) AS BIGINT) AS n_base, CAS
   CAST(max(abs(fa * n_recent - fb * n_base)) AS BIGINT) AS k_stat FROM cu GROUP BY series_id, column_name)
 SELECT *, k_stat / (n_base * n_recent) AS d_stat, n_base = 30 AND n_recent = 30 AND k_stat >= 330 AS drifted_30
 FROM ks WHERE n_base > 0 AND n_recent > 0""", ["d_stat"])
+    # exact two-sided p < 0.05 for n = m = 30 is D >= 11/30
+    S["q_drift"] = f"""WITH k AS ({S['q_ks']})
+SELECT series_id, count(CASE WHEN p THEN 1 END) AS n_drifted, count(*) AS n_tested, count(CASE WHEN p THEN 1 END) >= 3 AS drift
+FROM (SELECT *, {ks_significant()} AS p FROM k) GROUP BY series_id"""
+
+    # slices, rejects, many series
+    S["q_slice_functions"] = f"""WITH {daily_n(True)},
+b AS (SELECT *, max(row_id) OVER (PARTITION BY series_id) - row_id AS back FROM dn)
+SELECT series_id, ts, CASE WHEN back < 30 THEN 'validation' ELSE 'retrain' END AS slice FROM b WHERE back < 120
+UNION ALL SELECT series_id, ts, 'drift_baseline' FROM b WHERE row_id < 30
+UNION ALL SELECT series_id, ts, 'tail_365' FROM b WHERE back >= 5 AND back < 370
+UNION ALL SELECT series_id, ts, 'history_180' FROM b WHERE back < 180"""
+    cust = daily_src("CAST(o_custkey AS VARCHAR)")
+    S["q_rejects"] = f"""WITH s AS (SELECT nullif(series_id, '7') AS series_id, ts FROM ({cust})),
+g AS (SELECT series_id, count(*) AS n, count(CASE WHEN series_id IS NULL OR ts IS NULL THEN 1 END) AS nulls FROM s GROUP BY series_id)
+SELECT series_id, 'null_key' AS reason, nulls AS n_rows FROM g WHERE nulls > 0
+UNION ALL SELECT series_id, 'short_series', n FROM g WHERE n <= 35"""
+    dc = dict(daily_feature_cols())
+    lc = ["temp_diff_1", "temp_lag_1", "precip_lag_3", "temp_rollmean_3", "precip_rollsum_7", "target_temp_t+1"]
+    S["q_lag_customers"] = R(f"""WITH {numbered(cust, DAILY_PRESENT, 'dn')}
+SELECT series_id, ts, row_id, n_rows, {', '.join(f'{dc[c]} AS {q(c)}' for c in lc)} FROM dn""", lc)
+    hc = dict(hourly_feature_cols())
+    uc = ["temp_lag_24", "temp_lag1_rollmean_24", "temp_lag1_rollstd_3", "precip_rollsum_48", "target_daily_max_day_1"]
+    S["q_roll_users"] = R(f"""WITH {numbered(hourly_src('CAST(user_id AS VARCHAR)'), ['temp'] + HOURLY_PRESENT, 'hn')}
+SELECT series_id, ts, row_id, n_rows, {', '.join(f'{hc[c]} AS {q(c)}' for c in uc)} FROM hn""", uc)
+
+    # text fitted on the train days, applied to the test days
+    S["q_tfidf_fitted"] = R(r"""WITH src AS (SELECT ts, coalesce(description, '') AS text, row_number() OVER (ORDER BY ts) - 1 AS row_id,
+  count(*) OVER () AS n FROM (""" + daily_src() + r""")),
+sp AS (SELECT ts, text, row_id - 30 AS pos, floor((n - 35) * 0.85) AS cut FROM src WHERE row_id >= 30 AND row_id < n - 5),
+tok AS (SELECT ts, pos < cut AS train, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS t FROM sp WHERE pos < cut OR pos >= cut + 14),
+terms AS (SELECT ts, train, unnest(t) AS term FROM tok
+  UNION ALL SELECT ts, train, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM tok),
+tc AS (SELECT ts, train, term, count(*) AS tf FROM terms GROUP BY ts, train, term),
+nd AS (SELECT count(*) AS n FROM tok WHERE train),
+vocab AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tc WHERE train GROUP BY term ORDER BY cf DESC, term ASC LIMIT 100),
+w AS (SELECT tc.ts, tc.term, tc.tf * (ln((1.0 + nd.n) / (1.0 + vocab.df)) + 1.0) AS w
+  FROM tc JOIN vocab USING (term), nd WHERE NOT tc.train)
+SELECT ts, term, w / sqrt(sum(w * w) OVER (PARTITION BY ts)) AS tfidf FROM w""", ["tfidf"])
+    cats = ["month", "day_of_week", "year", "preciptype", "conditions", "icon"]
+    roles = ([(c, "numeric") for c in DAILY_PRESENT] + [(n, "numeric") for n, _ in daily_feature_cols()
+             if not n.startswith("target_") and n not in cats] + [(c, "categorical") for c in cats] + [("description", "text")])
+    # the description is filled, so it is never NULL
+    S["q_roles"] = f"WITH {daily_feats()} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{r}' AS role, count({'*' if c == 'description' else q(c)}) AS n_values FROM df_all WHERE {DAILY_VALID}"
+        for c, r in roles)
+
+    # sources and scalars
+    S["q_days_json"] = R(f"""SELECT series_id, ts, temp, precip, coalesce(preciptype, 'none') AS preciptype,
+  conditions || ',' || icon AS stations FROM ({daily_src('o_orderpriority')})""", ["temp", "precip"])
+    S["q_serving_rows"] = R(f"""SELECT series_id, ts, conditions AS stations, 'none' AS tags, CAST(length('{{k -> ' || icon || '}}') AS BIGINT) AS extra_length,
+  windspeed AS windspeedmax, windspeed AS windspeedmean, windspeed AS windspeedmin, 1013.25::DOUBLE AS sealevelpressure
+FROM ({daily_src()})""", ["windspeedmax", "windspeedmean", "windspeedmin", "sealevelpressure"])
+    S["q_sun"] = R("""WITH g AS (SELECT user_id, CAST(ts AS DATE) AS day, min(ts) AS a, max(ts) AS b, max(value) AS top FROM events GROUP BY ALL)
+SELECT user_id, day, hour(a) * 60 + minute(a) AS sunrise_minutes, hour(b) * 60 + minute(b) AS sunset_minutes,
+  (epoch_us(b) - epoch_us(a)) / 60e6 AS day_length_minutes,
+  CASE WHEN top < 25 THEN 'low' WHEN top < 30 THEN 'mid' ELSE 'high' END AS severity FROM g""", ["day_length_minutes"])
+
+    # monitoring with retrain events
+    ev = "ev AS (SELECT day_index, NOT alert AS adopted, CASE WHEN NOT alert THEN -degradation * 100 END AS improvement FROM lg WHERE day_index % 40 = 0)"
+    last = "max(ev.day_index) OVER (ORDER BY t.day_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    why = ("concat_ws(',', CASE WHEN t1 THEN 'sustained_degradation' END, CASE WHEN t2 THEN 'alert_spike' END{drift}, "
+           "CASE WHEN {t4} THEN 'scheduled_maintenance' END)")
+    t4 = "day_index >= 30 AND day_index - coalesce(last_retrain, 0) >= 90"
+    S["q_triggers_history"] = f"""WITH {trig}, {ev},
+h AS (SELECT t.*, {last} AS last_retrain FROM t2 t LEFT JOIN ev USING (day_index)),
+r AS (SELECT *, {why.format(drift='', t4=t4)} AS reasons FROM h)
+SELECT ts, day_index, last_retrain, reasons, reasons <> '' AS should_retrain FROM r"""
+    S["q_triggers_drift"] = f"""WITH {trig},
+r AS (SELECT *, {why.format(drift=", CASE WHEN day_index >= 30 AND day_index % 10 = 0 THEN 'distribution_drift' END", t4='t4')} AS reasons FROM t2)
+SELECT ts, day_index, reasons, reasons <> '' AS should_retrain FROM r"""
+    rep = """count(*) AS n_predictions, avg(rmse) AS mean_rmse, avg(degradation) * 100 AS mean_degradation_pct,
+  avg(CAST(alert AS DOUBLE)) * 100 AS alert_rate_pct"""
+    evs = """count(*) AS n_retrains, count(CASE WHEN adopted THEN 1 END) AS n_adopted, count(CASE WHEN NOT adopted THEN 1 END) AS n_rejected,
+  avg(CASE WHEN adopted THEN improvement END) AS mean_adopted_improvement"""
+    rep_dbl = ["mean_rmse", "mean_degradation_pct", "alert_rate_pct", "mean_adopted_improvement"]
+    S["q_report_history"] = R(f"""WITH {log_cte()}, {ev}, a AS (SELECT {rep} FROM lg), b AS (SELECT {evs} FROM ev)
+SELECT * FROM a, b""", rep_dbl)
+    S["q_dashboard_events"] = R(f"""WITH {log_cte()}, {ev}
+SELECT lg.*, {ar} AS alert_rate_30, ev.adopted AS retrain_adopted, 0.15::DOUBLE AS threshold
+FROM lg LEFT JOIN ev USING (day_index) WHERE (SELECT count(*) FROM lg) >= 10""", LOG_DBL + ["alert_rate_30", "threshold"])
+    by = f"""{preds_cte(True)},
+sb AS (SELECT series_id, avg(rmse) AS base_rmse FROM (SELECT series_id, horizon, sqrt(avg({E2})) AS rmse FROM pred
+  WHERE model = 'ens' AND split = 'train' GROUP BY series_id, horizon) GROUP BY series_id),
+sg AS (SELECT series_id, ts, sqrt(avg({E2})) AS rmse, avg(abs(y_true - y_pred)) AS mae FROM pred
+  WHERE model = 'ens' AND split = 'test' GROUP BY series_id, ts),
+lg AS (SELECT series_id, ts, rmse, mae, base_rmse, (rmse - base_rmse) / nullif(base_rmse, 0) AS degradation,
+  coalesce((rmse - base_rmse) / nullif(base_rmse, 0) > 0.15, false) AS alert,
+  row_number() OVER (PARTITION BY series_id ORDER BY ts) AS day_index FROM sg JOIN sb USING (series_id)),
+ev AS (SELECT series_id, day_index, NOT alert AS adopted, CASE WHEN NOT alert THEN -degradation * 100 END AS improvement
+  FROM lg WHERE day_index % 40 = 0)"""
+    sw = "OVER (PARTITION BY lg.series_id ORDER BY lg.day_index ROWS BETWEEN {} PRECEDING AND {})"
+    S["q_triggers_by_series"] = R(f"""WITH {by},
+h AS (SELECT lg.*, lg.day_index >= 30 AND avg(lg.degradation) {sw.format(29, 'CURRENT ROW')} > 0.15 AS t1,
+  lg.day_index >= 30 AND avg(CAST(lg.alert AS DOUBLE)) {sw.format(6, 'CURRENT ROW')} >= 0.7 AS t2,
+  max(ev.day_index) {sw.format('UNBOUNDED', '1 PRECEDING')} AS last_retrain FROM lg LEFT JOIN ev USING (series_id, day_index)),
+r AS (SELECT *, {why.format(drift='', t4=t4)} AS reasons FROM h)
+SELECT series_id, ts, day_index, degradation, last_retrain, reasons, reasons <> '' AS should_retrain FROM r""", ["degradation"])
+    S["q_report_by_series"] = R(f"""WITH {by}, a AS (SELECT series_id, {rep} FROM lg GROUP BY series_id),
+b AS (SELECT series_id, {evs} FROM ev GROUP BY series_id)
+SELECT a.*, coalesce(n_retrains, 0) AS n_retrains, coalesce(n_adopted, 0) AS n_adopted, coalesce(n_rejected, 0) AS n_rejected,
+  mean_adopted_improvement FROM a LEFT JOIN b USING (series_id)""", rep_dbl)
     return S
 
 
+def ks_significant() -> str:
+    """Exact two-sided p < 0.05 as a condition on (n_base, n_recent, k_stat).
+
+    Columns with NULLs have fewer than 30 values a side; the least significant k of each pair
+    of sizes from 8 to 30 comes from a lattice path count (330 for 30 and 30)."""
+    from math import comb
+
+    def p_value(n, m, k):
+        paths = [0] * (m + 1)
+        for i in range(n + 1):
+            for j in range(m + 1):
+                new = 1 if i == j == 0 else (paths[j] if i else 0) + (paths[j - 1] if j else 0)
+                paths[j] = new if abs(i * m - j * n) < k else 0
+        return 1 - paths[m] / comb(n + m, n)
+    cases = []
+    for n in range(8, 31):
+        for m in range(8, n + 1):
+            lo, hi = 1, n * m
+            while lo < hi:
+                mid = (lo + hi) // 2
+                lo, hi = (lo, mid) if p_value(n, m, mid) < 0.05 else (mid + 1, hi)
+            cases.append(f"WHEN greatest(n_base, n_recent) = {n} AND least(n_base, n_recent) = {m} THEN k_stat >= {lo}")
+    return "CASE " + " ".join(cases) + " END"
+
+
 SQL = _sql()

@@ -9,7 +9,7 @@ integers widened to BIGINT) so they compare with the DuckDB oracle in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,10 +17,13 @@ from tempora.functions import calendar as cal
 from tempora.operators import drift, features as fe, metrics as mt, monitor as mon, preprocess as pp
 from tempora.operators import profile as pf, serve, splits as sp
 from tempora.operators import windows as wn
-from tempora.sources import standins as si
+from tempora.sources import files, standins as si
 
-# Block size of the skew-safe window layout used by every registered query.
-BLOCK_ROWS = 100_000
+# Block sizes of the skew-safe window layout used by every registered query: small
+# against the stand-in series (thousands of rows), so that each series spans
+# several blocks and halo rows take part in every checked window.
+BLOCK_ROWS = 500
+HOURLY_BLOCK_ROWS = 200
 RANGE = ("1996-01-01", "1997-12-31")
 BACKTEST_PERIOD = 30
 BASE_MODEL, TUNED_MODEL, CHAMPION = "persist", "ens", "ens"
@@ -48,7 +51,7 @@ def daily_feats(spark, d, multi=False, **kw):
 
 
 def hourly_feats(spark, d, **kw):
-    return fe.hourly_features(si.hourly(spark, d), block_rows=BLOCK_ROWS, **kw)
+    return fe.hourly_features(si.hourly(spark, d), block_rows=HOURLY_BLOCK_ROWS, **kw)
 
 
 def preds(spark, d):
@@ -136,7 +139,7 @@ def q_valid_hourly(spark, d):
 
 def q_hourly_multi(spark, d):
     """W3-W14 on one hourly series per event type: no frame crosses a series."""
-    f = fe.hourly_features(si.hourly_multi(spark, d), block_rows=BLOCK_ROWS, valid_only=False)
+    f = fe.hourly_features(si.hourly_multi(spark, d), block_rows=HOURLY_BLOCK_ROWS, valid_only=False)
     return fin(f.select("series_id", "ts", "row_id", "temp_lag_1", "temp_lag_144", "temp_lag1_rollmean_144",
                         "temp_lag1_rollstd_3", "precip_rollsum_24", "target_daily_max_day_1", "target_avg_day_5"))
 
@@ -147,6 +150,42 @@ def q_leakage(spark, d):
     return fin(f.select("series_id", "ts", "feelslike", *kept))
 
 
+def q_days_json(spark, d):
+    """Provider documents (one per series and month, written as JSON text from the daily rows)
+    parsed with the fixed schema, exploded to days, list columns normalised."""
+    src = si.daily_multi(spark, d)
+    day = F.struct(F.col("ts").cast("string").alias("datetime"), "temp", "precip",
+                   F.when(F.col("preciptype").isNotNull(), F.array("preciptype", F.lit("snow"))).alias("preciptype"),
+                   F.array("conditions", "icon").alias("stations"))
+    docs = (src.groupBy(F.col("series_id").alias("resolvedAddress"), F.trunc("ts", "month").alias("m"))
+               .agg(F.collect_list(day).alias("days")))          # at most 31 days each
+    text = docs.select(F.to_json(F.struct("resolvedAddress", "days")).alias("doc"))
+    rows = files.parse_days(text, "doc")
+    return fin(rows.select("series_id", "ts", "temp", "precip", "preciptype", "stations"))
+
+
+def q_serving_rows(spark, d):
+    """List columns to their first element, absent columns filled, objects as text."""
+    src = si.daily(spark, d).withColumns({"stations": F.array("conditions", "icon"), "tags": F.array().cast("array<string>"),
+                                          "extra": F.create_map(F.lit("k"), F.col("icon"))})
+    out = files.stringify_objects(files.fill_serving_columns(files.normalise_lists(src, all_first=True)), keep=("series_id", "ts"))
+    return fin(out.select("series_id", "ts", "stations", "tags", F.length("extra").alias("extra_length"), "windspeedmax",
+                          "windspeedmean", "windspeedmin", "sealevelpressure"))
+
+
+def q_sun(spark, d):
+    """Minutes of day, minutes between, severity band, from each user's first and
+    last event of a day."""
+    e = si.table(spark, d, "events")
+    g = (e.groupBy("user_id", F.to_date("ts").alias("day"))
+          .agg(F.min("ts").cast("timestamp_ntz").alias("first_ts"), F.max("ts").cast("timestamp_ntz").alias("last_ts"),
+               F.max("value").alias("top")))
+    return fin(g.select("user_id", "day", cal.minutes_of_day("first_ts").alias("sunrise_minutes"),
+                        cal.minutes_of_day("last_ts").alias("sunset_minutes"),
+                        cal.minutes_between("first_ts", "last_ts").alias("day_length_minutes"),
+                        cal.severity_band("top").alias("severity")))
+
+
 # ------------------------------------------------------------------ splits
 
 def q_split(spark, d):
@@ -155,21 +194,52 @@ def q_split(spark, d):
 
 
 def q_folds(spark, d):
-    f = sp.chronological_split(daily_feats(spark, d)).where(F.col("split") == "train").drop("pos", "n_pos")
+    f = sp.chronological_split(daily_feats(spark, d)).where(F.col("split") == "train")
     return fin(sp.cv_folds(f).select("series_id", "ts", "row_id", "fold", "role"))
 
 
 def q_slices(spark, d):
     n = numbered_daily(spark, d, multi=True)
-    a = sp.retrain_slices(n).select("series_id", "ts", "slice")
+    # four slices of one read: the flags are column arithmetic, so one explode gives all of them
+    back = F.col("n_rows") - 1 - F.col("row_id")
+    flags = F.array(F.when(back < sp.RETRAIN_WINDOW, "retrain").when(back < sp.RETRAIN_WINDOW + sp.VALIDATION_WINDOW, "validation"),
+                    F.when(F.col("row_id") < sp.DRIFT_BASELINE_ROWS, "drift_baseline"),
+                    F.when(back < sp.PLOT_TAIL, "last_365"), F.when(back < sp.MAX_HISTORY, "history_180"))
+    return fin(n.select("series_id", "ts", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("slice")))
+
+
+def q_slice_functions(spark, d):
+    """L6-L9 through their functions, each on its own."""
+    n = numbered_daily(spark, d, multi=True)
+    a = sp.retrain_slices(n, latest=True).select("series_id", "ts", "slice")
     b = sp.head_rows(n, sp.DRIFT_BASELINE_ROWS).select("series_id", "ts", F.lit("drift_baseline").alias("slice"))
-    c = sp.tail_rows(n, sp.PLOT_TAIL).select("series_id", "ts", F.lit("last_365").alias("slice"))
-    e = sp.append_bounded(n.where(F.col("row_id") < F.col("n_rows") - 10),
-                          n.where(F.col("row_id") >= F.col("n_rows") - 10)) \
-          .select("series_id", "ts", F.lit("history_180").alias("slice"))
+    c = sp.tail_rows(n, sp.PLOT_TAIL, 5).select("series_id", "ts", F.lit("tail_365").alias("slice"))
+    old = F.col("row_id") < F.col("n_rows") - 10
+    e = sp.append_bounded(n.where(old), n.where(~old)).select("series_id", "ts", F.lit("history_180").alias("slice"))
     return fin(a.unionByName(b).unionByName(c).unionByName(e))
 
 
+def q_rejects(spark, d):
+    """L1: series too short for the valid range, and rows without a key."""
+    src = si.daily_customers(spark, d)
+    broken = src.withColumn("series_id", F.when(F.col("series_id") != "7", F.col("series_id")))
+    return fin(fe.rejects(broken, max(max(fe.DAILY_LAGS), fe.DAILY_SEQUENCE_LENGTH), max(fe.DAILY_HORIZONS)))
+
+
+def q_lag_customers(spark, d):
+    """W1/W2/W5 on one series per customer: the number of series grows with the table."""
+    f = fe.daily_features(si.daily_customers(spark, d), block_rows=BLOCK_ROWS, valid_only=False)
+    return fin(f.select("series_id", "ts", "row_id", "n_rows", "temp_diff_1", "temp_lag_1", "precip_lag_3",
+                        "temp_rollmean_3", "precip_rollsum_7", "target_temp_t+1"))
+
+
+def q_roll_users(spark, d):
+    """W3/W8-W14 on one hourly series per user."""
+    f = fe.hourly_features(si.hourly_users(spark, d), block_rows=HOURLY_BLOCK_ROWS, valid_only=False)
+    return fin(f.select("series_id", "ts", "row_id", "n_rows", "temp_lag_24", "temp_lag1_rollmean_24", "temp_lag1_rollstd_3",
+                        "precip_rollsum_48", "target_daily_max_day_1"))
+
+
 def _origin_forecasts(spark, d):
     n = numbered_daily(spark, d)
     sf = wn.prepare(n.select("series_id", "ts", "row_id", "n_rows", "temp"), 7, 0, block_rows=BLOCK_ROWS, numbered=True)
@@ -180,7 +250,7 @@ def _origin_forecasts(spark, d):
                F.struct(F.lit("seasonal7").alias("model"), F.lit(h).alias("horizon"),
                         F.lag(t, 7 - h).over(sf.w).alias("y_pred"))]
     fc = sf.finish(sf.df.select("*", F.array(*es).alias("_e")))
-    fc = fc.select("series_id", "ts", "row_id", F.explode("_e").alias("e")).select("series_id", "ts", "row_id", "e.*")
+    fc = fc.select("series_id", "ts", "row_id", "n_rows", F.explode("_e").alias("e")).select("series_id", "ts", "row_id", "n_rows", "e.*")
     return fc, n
 
 
@@ -230,7 +300,6 @@ def q_mode(spark, d):
                         for c in CAT_COLS])
     long = tr.select(F.explode(entries).alias("e")).select("e.*").where(F.col("value").isNotNull())
     cnt = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
     w = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
     return fin(cnt.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
                   .select("column_name", F.col("value").alias("mode"), F.col("n").alias("mode_count")))
@@ -307,8 +376,7 @@ def q_pooled(spark, d):
 
 def q_cv(spark, d):
     p = preds(spark, d).where(F.col("split") == "train")
-    folds = sp.cv_folds(p.select("series_id", "row_id").distinct()).where(F.col("role") == "val")
-    pv = p.join(folds.select("series_id", "row_id", "fold"), ["series_id", "row_id"])
+    pv = sp.cv_folds(p).where(F.col("role") == "val")
     per = mt.metrics_by_horizon(pv, by=("model", "fold")).drop("n")
     long = mt.to_long(per, by=("model",), fold_col="fold")
     return fin(mt.fold_mean(long))
@@ -375,8 +443,7 @@ def q_forecast(spark, d):
     """Ensemble forecast of every horizon from the newest row of
     each series, dated origin + h, with its temperature band."""
     fc, n = _origin_forecasts(spark, d)
-    last = sp.tail_rows(n, 1).select("series_id", "row_id")
-    f = fc.join(last, ["series_id", "row_id"])
+    f = sp.tail_rows(fc, 1)
     ens = f.groupBy("series_id", "ts", "horizon").agg(F.avg("y_pred").alias("y_pred"))
     out = (ens.withColumn("forecast_date", F.date_add("ts", F.col("horizon").cast("int")))
               .withColumn("band", cal.temp_band("y_pred")))
@@ -410,32 +477,104 @@ def q_report(spark, d):
 
 
 def q_dashboard(spark, d):
-    return fin(mon.dashboard(_log(spark, d)).drop("retrain_adopted"))
+    return fin(mon.dashboard(_log(spark, d)))
+
+
+def _log_by_series(spark, d):
+    """One log per series (five order priorities): the base is each series' own train error."""
+    p = si.naive_forecasts(si.daily_multi(spark, d), block_rows=BLOCK_ROWS).where(F.col("model") == CHAMPION)
+    e = F.col("y_true") - F.col("y_pred")
+    base = F.avg(F.when(F.col("split") == "train", F.col("rmse"))).over(Window.partitionBy("series_id"))
+    # one aggregate holds both: per horizon on the train side, per day on the test side
+    side = F.when(F.col("split") == "train", F.struct(F.lit(None).cast("date").alias("ts"), F.col("horizon").alias("h"))).otherwise(
+        F.struct(F.col("ts").alias("ts"), F.lit(None).cast("int").alias("h")))
+    g = (p.groupBy("series_id", "split", side.alias("k")).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
+          .withColumn("base_rmse", base).where(F.col("split") == "test").select("series_id", F.col("k.ts").alias("ts"), "rmse", "mae", "base_rmse"))
+    return mon.degraded(g, by=("series_id",))
+
+
+def _events(log, by=()):
+    """Retrain events for the checks: every 40th log day, adopted when the day raised no alert."""
+    return (log.where(F.col("day_index") % 40 == 0)
+               .select(*by, "day_index", (~F.col("alert")).alias("adopted"),
+                       F.when(~F.col("alert"), -F.col("degradation") * 100).alias("improvement")))
+
+
+def q_triggers_history(spark, d):
+    """R6/R7 with retrain events: maintenance counts from the last event."""
+    log = _log(spark, d).checkpoint()
+    t = mon.triggers(log, history=_events(log))
+    return fin(t.select("ts", "day_index", "last_retrain", "reasons", "should_retrain"))
+
+
+def q_triggers_drift(spark, d):
+    """R5 inside the decision: a drift flag per day (here: every 10th)."""
+    log = _log(spark, d).checkpoint()
+    flags = log.select("day_index", (F.col("day_index") % 10 == 0).alias("drift"))
+    return fin(mon.triggers(log, drift=flags).select("ts", "day_index", "reasons", "should_retrain"))
+
+
+def q_report_history(spark, d):
+    log = _log(spark, d).checkpoint()
+    return fin(mon.report(log, _events(log)))
+
+
+def q_dashboard_events(spark, d):
+    log = _log(spark, d).checkpoint()
+    return fin(mon.dashboard(log, _events(log)))
+
+
+def q_triggers_by_series(spark, d):
+    """R2-R7 with one log per series."""
+    by = ("series_id",)
+    log = _log_by_series(spark, d).checkpoint()
+    return fin(mon.triggers(log, history=_events(log, by), by=by)
+                  .select("series_id", "ts", "day_index", "degradation", "last_retrain", "reasons", "should_retrain"))
+
+
+def q_report_by_series(spark, d):
+    by = ("series_id",)
+    log = _log_by_series(spark, d).checkpoint()
+    return fin(mon.report(log, _events(log, by), by=by))
+
+
+def q_tfidf_fitted(spark, d):
+    """T5 fitted on the train days' descriptions, applied to the test days."""
+    f = _split_feats(spark, d).select("series_id", "ts", "split", "description").checkpoint()
+    out = pp.tfidf_table(f.where("split = 'test'"), "ts", "description", fit_df=f.where("split = 'train'"))
+    return fin(out)
+
+
+def q_roles(spark, d):
+    """Role of every feature column of the daily builder."""
+    from tempora.plans.training import model_roles
+    f = daily_feats(spark, d)
+    rows = [(c, role) for role, cols in model_roles(f).items() for c in cols]
+    names = spark.createDataFrame(rows, "column_name string, role string")
+    present = f.agg(F.array(*[F.struct(F.lit(c).alias("column_name"), F.count(F.col(f"`{c}`")).alias("n_values")) for c, _ in rows]).alias("a"))
+    return fin(present.select(F.explode("a").alias("e")).select("e.*").join(F.broadcast(names), "column_name"))
 
 
 def _ks_inputs(spark, d):
     f = sp.chronological_split(daily_feats(spark, d, multi=True)).where(F.col("split") == "train")
-    cols = [c for c in fe.feature_columns(f) if c not in ("split", "pos", "n_pos")
-            and isinstance(f.schema[c].dataType, (T.DoubleType, T.IntegerType, T.LongType))]
-    # train rows are positions [0, cut) of the split: first / last 30 are filters
-    cut = F.floor(F.col("n_pos") * F.lit(sp.TRAIN_RATIO))
-    base = f.where(F.col("pos") < sp.DRIFT_BASELINE_ROWS)
-    recent = f.where(F.col("pos") >= cut - sp.DRIFT_BASELINE_ROWS)
-    return base, recent, cols
+    cols = [c for c in fe.feature_columns(f) if isinstance(f.schema[c].dataType, (T.DoubleType, T.IntegerType, T.LongType))]
+    # train rows are positions [0, n_train): first and last 30 are one filter with two flags
+    first = F.col("pos") < sp.DRIFT_BASELINE_ROWS
+    last = F.col("pos") >= F.col("n_train") - sp.DRIFT_BASELINE_ROWS
+    return f.where(first | last).withColumns({"in_base": first, "in_recent": last}), cols
 
 
 def q_ks(spark, d):
-    base, recent, cols = _ks_inputs(spark, d)
-    st = drift.ks_statistic(drift.unpivot(base, ["series_id"], cols, name="column_name"),
-                            drift.unpivot(recent, ["series_id"], cols, name="column_name"),
-                            ["series_id", "column_name"])
+    f, cols = _ks_inputs(spark, d)
+    st = drift.ks_flagged(drift.unpivot(f, ["series_id", "in_base", "in_recent"], cols), ["series_id", "column_name"])
     return fin(st.withColumn("drifted_30", (F.col("n_base") == 30) & (F.col("n_recent") == 30)
                              & (F.col("k_stat") >= 11 * 30)))
 
 
 def q_drift(spark, d):
-    base, recent, cols = _ks_inputs(spark, d)
-    st, summ = drift.ks_drift(base, recent, ["series_id"], cols)
+    """Columns drifted at 5 % and the flag per series, from the exact p-values."""
+    f, cols = _ks_inputs(spark, d)
+    st, summ = drift.ks_drift(f, ["series_id"], cols)
     return fin(summ)
 
 

@@ -10,6 +10,7 @@ row as the reference does).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,12 +90,20 @@ def days_json_schema() -> T.StructType:
 
 
 def read_days_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Provider JSON documents -> one row per day, sorted by date.
+    """Provider JSON documents -> one row per day (a table has no order; sort on output).
 
-    Documents without ``days`` yield no rows (the reference raises); the
-    caller can check with ``missing_days``.  ``preciptype`` becomes its first
+    Documents without ``days`` are listed by ``missing_days`` (the reference raises).  ``preciptype`` becomes its first
     element or ``'none'``; other list columns are comma-joined."""
-    raw = spark.read.schema(schema or days_json_schema()).option("multiLine", True).json(path)
+    return explode_days(spark.read.schema(schema or days_json_schema()).option("multiLine", True).json(path))
+
+
+def parse_days(df: DataFrame, json_col: str, schema: T.StructType | None = None) -> DataFrame:
+    """The same for a table with one provider document per row, as text."""
+    return explode_days(df.select(F.from_json(json_col, schema or days_json_schema()).alias("d")).select("d.*"))
+
+
+def explode_days(raw: DataFrame) -> DataFrame:
+    """S3/S4 on parsed documents: one row per day."""
     top = [c for c in raw.columns if c != "days"]
     rows = raw.where(F.col("days").isNotNull()).select(*top, F.explode("days").alias("d"))
     day_cols = [f.name for f in raw.schema["days"].dataType.elementType.fields]
@@ -127,19 +136,37 @@ def normalise_lists(df: DataFrame, first_only=("preciptype",), all_first: bool =
     return df.withColumns(out) if out else df
 
 
+MISSING_SOURCE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def first_available(*readers) -> DataFrame | None:
-    """The first source that loads and is non-empty (live feed, then
-    archive file).  Each reader is a zero-argument callable."""
+    """The first source that exists and is non-empty (live feed, then
+    archive file).  Each reader is a zero-argument callable; only a missing path
+    falls through to the next one, every other error is raised."""
     for r in readers:
         try:
             df = r()
-        except Exception:   # noqa: BLE001 - a missing source falls through to the next
-            continue
-        if df is not None and df.limit(1).count() > 0:
+        except AnalysisException as e:
+            if e.getCondition() in MISSING_SOURCE:
+                continue
+            raise
+        if df is not None and not df.isEmpty():
             return df
     return None
 
 
+def unparsed(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """Values that :func:`typed_by_name` would turn into NULL: ``column_name, n_values`` of the
+    columns that have any (``raw`` holds strings)."""
+    types = {f.name: f.dataType for f in schema.fields if f.dataType != _S and f.name in raw.columns}
+    if not types:
+        return raw.sparkSession.createDataFrame([], "column_name string, n_values long")
+    bad = [F.struct(F.lit(c).alias("column_name"),
+                    F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(t).isNull()).alias("n_values"))
+           for c, t in types.items()]
+    return raw.agg(F.array(*bad).alias("a")).select(F.explode("a").alias("e")).select("e.*").where("n_values > 0")
+
+
 def fill_serving_columns(df: DataFrame) -> DataFrame:
     """Absent ``windspeedmax/mean/min`` := ``windspeed``; absent
     ``sealevelpressure`` := 1013.25."""

@@ -1,18 +1,20 @@
 """Stand-in series built from the driver tables.
 
 The driver tables hold no weather.  These adapters turn them into series
-with the reference's column names so every operator runs on data whose size
-grows with the tables.  The same definitions exist as SQL text in
+with the reference's column names.  The same definitions exist as SQL text in
 ``tempora.plans.oracle`` for the DuckDB check; keep the two in step.
 
 * ``daily``       -- ``orders`` per order date, one series (``'_'``).
 * ``daily_multi`` -- the same per ``o_orderpriority`` (5 series).
+* ``daily_customers`` -- the same per ``o_custkey``.
 * ``hourly``      -- ``events`` per hour, one series.
 * ``hourly_multi``-- the same per ``event_type``.
+* ``hourly_users``-- the same per ``user_id``.
 
-All are grouped aggregates: partial aggregation happens map-side, and the
-output holds one row per (series, period), so their size is bounded by the
-calendar, not by the table.
+All are grouped aggregates (partial aggregation happens map-side) with one row
+per (series, period).  The first two daily and hourly ones are bounded by the
+calendar; the number of series of the customer and user ones grows with the
+tables.
 
 Measures are integer cents scaled by powers of two, so every value is exact
 in binary: window sums and means then come out bit-identical whatever the
@@ -53,13 +55,22 @@ def daily(spark: SparkSession, sf_dir: str, by: str | None = None) -> DataFrame:
                   F.sum(F.when(F.col("o_orderpriority") == "1-URGENT", 1.0)).alias("severerisk"),
                   F.min(F.when(F.col("o_orderstatus") == "P", "rain")).alias("preciptype"),
                   F.min("o_orderpriority").alias("conditions"),
-                  F.max("o_orderstatus").alias("icon")))
+                  F.max("o_orderstatus").alias("icon"),
+                  # free text, missing on some days
+                  F.when(F.count(F.lit(1)) % 7 != 0, F.concat_ws(
+                      " ", F.min("o_orderpriority"), F.lit("status"), F.max("o_orderstatus"),
+                      F.when(F.count(F.lit(1)) % 2 == 0, F.lit("even day of orders")),
+                      F.concat(F.lit("month"), F.month(F.min("o_orderdate")).cast("string")))).alias("description")))
 
 
 def daily_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily(spark, sf_dir, by="o_orderpriority")
 
 
+def daily_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily(spark, sf_dir, by="o_custkey").withColumn("series_id", F.col("series_id").cast("string"))
+
+
 def hourly(spark: SparkSession, sf_dir: str, by: str | None = None) -> DataFrame:
     e = table(spark, sf_dir, "events")
     cents = F.round(F.col("value") * 100).cast("long")
@@ -81,6 +92,10 @@ def hourly_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hourly(spark, sf_dir, by="event_type")
 
 
+def hourly_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hourly(spark, sf_dir, by="user_id").withColumn("series_id", F.col("series_id").cast("string"))
+
+
 # ------------------------------------------------------------------ forecasts
 # Deterministic forecasts that stand in for fitted models, so every metric and
 # monitoring operator can be checked against SQL without a fitted model.
@@ -97,7 +112,6 @@ def naive_forecasts(series: DataFrame, horizons=(1, 2, 3, 4, 5), season: int = N
     ``ens``."""
     from tempora.operators import windows as wn
     from tempora.operators.splits import chronological_split
-    from tempora.operators.models import ensemble_mean
 
     hmax = max(horizons)
     sf = wn.prepare(series.select("series_id", "ts", "temp"), season, hmax,
@@ -111,17 +125,19 @@ def naive_forecasts(series: DataFrame, horizons=(1, 2, 3, 4, 5), season: int = N
         cols += [F.lead(t, h).over(w).alias(f"_y{h}"), s.alias(f"_s{h}")]
     wide = sf.finish(sf.df.select(*cols))
     wide = wide.where((F.col("row_id") >= valid_lo) & (F.col("row_id") < F.col("n_rows") - hmax))
-    wide = chronological_split(wide)
+    wide = chronological_split(wide, skip_head=valid_lo, skip_tail=hmax)
     entries = []
     for h in horizons:
+        if ensemble:       # both members stand in this row: their mean needs no regrouping
+            entries.append(F.when(t.isNotNull() & F.col(f"_s{h}").isNotNull(), F.struct(
+                F.lit("ens").alias("model"), F.lit(h).alias("horizon"), F.col(f"_y{h}").alias("y_true"),
+                ((t + F.col(f"_s{h}")) / 2).alias("y_pred"))))
         entries += [F.struct(F.lit("persist").alias("model"), F.lit(h).alias("horizon"),
                              F.col(f"_y{h}").alias("y_true"), t.alias("y_pred")),
                     F.struct(F.lit("seasonal7").alias("model"), F.lit(h).alias("horizon"),
                              F.col(f"_y{h}").alias("y_true"), F.col(f"_s{h}").alias("y_pred"))]
-    long = (wide.select("split", "series_id", "ts", "row_id", F.explode(F.array(*entries)).alias("e"))
+    kept = F.filter(F.array(*entries), lambda e: e.isNotNull())
+    return (wide.select("split", "series_id", "ts", "row_id", "pos", "n_train", F.explode(kept).alias("e"))
                 .select(F.col("e.model").alias("model"), "split", "series_id", "ts", "row_id",
-                        F.col("e.horizon").alias("horizon"), F.col("e.y_true").alias("y_true"),
+                        "pos", "n_train", F.col("e.horizon").alias("horizon"), F.col("e.y_true").alias("y_true"),
                         F.col("e.y_pred").alias("y_pred")))
-    if ensemble:
-        long = long.unionByName(ensemble_mean(long, ["persist", "seasonal7"], "ens"))
-    return long

@@ -52,6 +52,26 @@ def load_model(spark: SparkSession, path: str) -> HorizonModel:
     return HorizonModel(meta["name"], prep, fitted, meta["targets"], meta["horizons"])
 
 
+def save_bundle(spark: SparkSession, path: str, models: dict, ensemble: dict, config: dict, roles: dict,
+                metrics: DataFrame, leaderboard: DataFrame, metadata: DataFrame) -> None:
+    """Everything a serving job needs under one path: each member model, the ensemble's
+    definition (name -> members), the training configuration, the column roles, the long
+    metrics table, the leaderboard and the metadata record (written last)."""
+    for name, m in models.items():
+        save_model(spark, m, f"{path}/models/{name}")
+    info = dict(models=sorted(models), ensemble=ensemble, config=config, roles=roles)
+    spark.createDataFrame([(json.dumps(info),)], "info string").coalesce(1).write.mode("overwrite").json(f"{path}/info")
+    save_metrics(metrics, f"{path}/metrics")
+    leaderboard.write.mode("overwrite").parquet(f"{path}/leaderboard")
+    write_metadata(metadata, f"{path}/metadata")
+
+
+def load_bundle(spark: SparkSession, path: str) -> dict:
+    """``models``, ``ensemble``, ``config`` and ``roles`` of a saved bundle."""
+    info = json.loads(spark.read.json(f"{path}/info").first()["info"])
+    return {**info, "models": {name: load_model(spark, f"{path}/models/{name}") for name in info["models"]}}
+
+
 def save_metrics(metrics: DataFrame, path: str) -> None:
     """The long metrics table as parquet."""
     metrics.write.mode("overwrite").parquet(path)

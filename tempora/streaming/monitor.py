@@ -4,8 +4,9 @@ Arriving actuals ``(series_id, ts, temp)`` are read with ``readStream``;
 each micro-batch is joined with the stored forecasts ``(series_id, target_ts,
 horizon, y_pred)`` and reduced to per-day RMSE/MAE (A9/R2).  The log is
 written per batch id into its own folder with overwrite, so a replayed batch
-replaces its own output (idempotent sink); readers keep the newest batch per
-day.  Triggers (R3-R7) are then the batch query ``operators.monitor.triggers``
+replaces its own output (idempotent sink).  A batch stores sums (squared error,
+absolute error, count) per day, and readers add the batches of a day up: a day
+whose rows arrive in several batches gets the same log row as in one.  Triggers (R3-R7) are then the batch query ``operators.monitor.triggers``
 over the log table.
 
 ``daily_means`` is the event-time aggregate with a watermark for late data.
@@ -24,27 +25,38 @@ ACTUALS_SCHEMA = T.StructType([T.StructField("series_id", T.StringType()),
                                T.StructField("temp", T.DoubleType())])
 
 
-def score_batch(actuals: DataFrame, forecasts: DataFrame, base_rmse: float,
-                threshold: float = ALERT_THRESHOLD) -> DataFrame:
-    """Per-day log rows of one batch of actuals."""
+def batch_sums(actuals: DataFrame, forecasts: DataFrame) -> DataFrame:
+    """Per day ``ts, sse, sae, n`` of one batch of actuals."""
     a = actuals.select("series_id", F.col("ts").alias("target_ts"), F.col("temp").alias("y_true"))
     j = forecasts.join(a, ["series_id", "target_ts"])
     e = F.col("y_true") - F.col("y_pred")
+    return (j.where(e.isNotNull()).groupBy(F.col("target_ts").alias("ts"))
+             .agg(F.sum(e * e).alias("sse"), F.sum(F.abs(e)).alias("sae"), F.count(F.lit(1)).alias("n")))
+
+
+def log_rows(sums: DataFrame, base_rmse: float, threshold: float = ALERT_THRESHOLD) -> DataFrame:
+    """Per-day log rows from the sums of any number of batches."""
     base = F.lit(float(base_rmse))
-    return (j.groupBy(F.col("target_ts").alias("ts"))
-             .agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
-             .withColumn("base_rmse", base)
-             .withColumn("degradation", F.when(base != 0, (F.col("rmse") - base) / base))
-             .withColumn("alert", F.coalesce(F.col("degradation") > threshold, F.lit(False))))
+    return (sums.groupBy("ts").agg(F.sqrt(F.sum("sse") / F.sum("n")).alias("rmse"), (F.sum("sae") / F.sum("n")).alias("mae"))
+                .withColumn("base_rmse", base)
+                .withColumn("degradation", F.when(base != 0, (F.col("rmse") - base) / base))
+                .withColumn("alert", F.coalesce(F.col("degradation") > threshold, F.lit(False))))
+
+
+def score_batch(actuals: DataFrame, forecasts: DataFrame, base_rmse: float,
+                threshold: float = ALERT_THRESHOLD) -> DataFrame:
+    """Per-day log rows of one set of actuals."""
+    return log_rows(batch_sums(actuals, forecasts), base_rmse, threshold)
 
 
 def start(spark: SparkSession, actuals_dir: str, forecasts: DataFrame, log_dir: str, checkpoint_location: str,
-          base_rmse: float, available_now: bool = True):
+          available_now: bool = True, max_files: int | None = None):
     """Start the monitor; returns the ``StreamingQuery``."""
-    stream = spark.readStream.schema(ACTUALS_SCHEMA).parquet(actuals_dir)
+    reader = spark.readStream.schema(ACTUALS_SCHEMA)
+    stream = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(actuals_dir)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        rows = score_batch(batch, forecasts, base_rmse).withColumn("batch_id", F.lit(int(batch_id)))
+        rows = batch_sums(batch, forecasts)
         rows.write.mode("overwrite").parquet(f"{log_dir}/batch_id={int(batch_id)}")
 
     w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_location)
@@ -52,12 +64,9 @@ def start(spark: SparkSession, actuals_dir: str, forecasts: DataFrame, log_dir:
     return w.start()
 
 
-def read_log(spark: SparkSession, log_dir: str) -> DataFrame:
-    """The performance log: newest batch per day, with ``day_index``.  A day
-    split over batches keeps its latest batch's rows."""
-    raw = spark.read.parquet(log_dir)
-    w = Window.partitionBy("ts").orderBy(F.desc("batch_id"))
-    log = raw.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "batch_id")
+def read_log(spark: SparkSession, log_dir: str, base_rmse: float, threshold: float = ALERT_THRESHOLD) -> DataFrame:
+    """The performance log: all batches of a day added up, with ``day_index``."""
+    log = log_rows(spark.read.parquet(log_dir), base_rmse, threshold)
     return log.withColumn("day_index", F.row_number().over(Window.orderBy("ts")).cast("long"))
 
 

@@ -60,27 +60,66 @@ def test_no_train_test_overlap_within_gap(prepared):
     assert lo - hi == 15          # 14 gap rows between
 
 
-def test_batched_challenger_matches_spark_path(spark, prepared):
+def test_champion_challenger_and_state_tables(spark, prepared):
     from tempora.plans import monitoring as mo
     s, train, test, roles = prepared
     champ = ln.fit_horizons("champion", "bayes_ridge", train, roles, TARGETS, HS)
-    st = mo.day_numbers(test)
-    day = 40
-    hist = mo._rolling_set(train, st, day, 180, "ts")
-    ev, state = mo.champion_challenger(champ, "bayes_ridge", hist, roles, TARGETS, HS, day, order="_q")
+    end = F.col("n_rows") - max(HS)
+    hist = train.unionByName(test)
+    ev, state = mo.champion_challenger(champ, "bayes_ridge", hist, roles, TARGETS, HS, 40, end=end)
     e = ev.first()
-    allh = mo._rolling_set(train, st, 10 ** 9, 10 ** 9, "ts")
-    r = mo.batch_challengers(allh, [day], champ, roles, TARGETS)[0]
-    assert r["champion_rmse"] == pytest.approx(e["champion_rmse"], rel=1e-9)
-    assert r["challenger_rmse"] == pytest.approx(e["challenger_rmse"], rel=1e-6)
-
-
-def test_plan_candidates():
-    from tempora.plans.monitoring import plan_candidates
-    flags = [(d, d in (40, 41)) for d in range(1, 200)]
-    assert plan_candidates(flags, 1, None) == [40, 41, 131]
-    assert plan_candidates(flags, 1, 10) == [40, 41, 131]
-    assert plan_candidates([(d, False) for d in range(1, 100)], 1, None) == [90]
+    assert e["adopted"] == (e["challenger_rmse"] < e["champion_rmse"])
+    # Nothing to validate on: adopted, no errors recorded, baseline refreshed
+    ev2, state2 = mo.champion_challenger(champ, "bayes_ridge", hist, roles, TARGETS, HS, 41, validation_window=0, end=end)
+    e2 = ev2.first()
+    assert e2["adopted"] and e2["champion_rmse"] is None and state2["baseline"]["rmse"] > 0
+    path = tempfile.mkdtemp(prefix="tempora-state-")
+    mo.initialise(spark, champ, train, path)
+    mo.record(ev, path)
+    mo.record(ev2, path)
+    st = mo.state(spark, path)
+    assert st["events"].count() == 2 and st["log"].count() == 0
+    assert st["baseline"].first()["rmse"] == pytest.approx(mo.pooled_rmse(champ.predict(train)).first()["rmse"])
+
+
+def test_text_branch_weights(spark):
+    """Fitted TF-IDF: unseen terms weigh nothing, NULL is 'missing', rows are L2-normed."""
+    import math
+    from pyspark.ml.functions import vector_to_array
+    from tempora.operators import preprocess as pp
+    train = spark.createDataFrame([(1, "warm sun warm", 1.0), (2, "rain", 2.0), (3, None, 3.0)], "i int, description string, x double")
+    test = spark.createDataFrame([(4, "rain rain sun hail", 1.0), (5, "hail", 2.0), (6, None, None)], "i int, description string, x double")
+    m = pp.Preprocessor(["x"], [], ["description"]).fit(train)
+    vocab = dict(m.state["vocab"])
+    assert set(vocab) == {"warm", "sun", "rain", "missing", "warm sun", "sun warm"}
+    idf = math.log(4 / 2) + 1
+    assert all(w == pytest.approx(idf) for w in vocab.values())
+    rows = {r["i"]: r for r in m.transform(test).select("i", vector_to_array("features").alias("f")).collect()}
+    at = {t: 1 + k for k, (t, _) in enumerate(m.state["vocab"])}       # one numeric column first
+    assert rows[4]["f"][at["rain"]] == pytest.approx(2 / math.sqrt(5)) and rows[4]["f"][at["sun"]] == pytest.approx(1 / math.sqrt(5))
+    assert all(v == 0 for v in rows[5]["f"][1:]) and rows[6]["f"][at["missing"]] == 1.0
+    again = pp.PreprocessorModel(__import__("json").loads(__import__("json").dumps(m.state)))
+    assert again.transform(test).count() == 3
+
+
+def test_training_run_with_text_is_saved_and_served(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="tempora-bundle-"), "run")
+    series = si.daily(spark, SF)
+    assert "description" in series.columns
+    r = tr.run_daily_training(series, {"BayesianRidge": "bayes_ridge", "Huber": ln.huber(max_iter=10)}, cv=False,
+                              ensemble_members=["BayesianRidge", "Huber"], save_to=path)
+    assert r.roles["text"] == ["description"]
+    b = store.load_bundle(spark, path)
+    assert b["ensemble"] == {"Ensemble_Final": ["BayesianRidge", "Huber"]} and set(b["models"]) == {"BayesianRidge", "Huber"}
+    direct = r.models["BayesianRidge"].predict(r.test).agg(F.sum("y_pred")).first()[0]
+    assert b["models"]["BayesianRidge"].predict(r.test).agg(F.sum("y_pred")).first()[0] == pytest.approx(direct)
+    out = {(x["model"], x["horizon"]): x for x in tr.serve(series, path).collect()}
+    assert len(out) == 15
+    for h in HS:
+        assert out["Ensemble_Final", h]["y_pred"] == pytest.approx((out["BayesianRidge", h]["y_pred"] + out["Huber", h]["y_pred"]) / 2)
+        assert (out["Huber", h]["forecast_date"] - out["Huber", h]["origin_ts"]).days == h
+    assert spark.read.json(f"{path}/metadata").first()["train_samples"] == r.train.count()
+    r.close()
 
 
 def test_metadata_record(spark):

@@ -112,11 +112,18 @@ def test_daily_and_hourly_csv(spark):
 
 def test_first_available_and_stringify(spark):
     def broken():
-        raise FileNotFoundError("no live feed")
+        return spark.read.parquet("/nowhere/at/all")
+
+    def wrong():
+        return spark.range(1).select("no_such_column")
     empty = lambda: spark.createDataFrame([], "x int")           # noqa: E731
     good = lambda: spark.createDataFrame([(1,)], "x int")        # noqa: E731
     assert files.first_available(broken, empty, good).count() == 1
     assert files.first_available(broken, empty) is None
+    with pytest.raises(Exception, match="no_such_column"):
+        files.first_available(wrong, good)          # only a missing source falls through
+    raw = spark.createDataFrame([("1.5", "x"), ("oops", "y"), (None, "z")], "temp string, icon string")
+    assert [tuple(r) for r in files.unparsed(raw, files.daily_schema()).collect()] == [("temp", 1)]
     df = spark.createDataFrame([(1, [1, 2], "a")], "n int, arr array<int>, s string")
     out = files.stringify_objects(df)
     assert dict(out.dtypes) == {"n": "int", "arr": "string", "s": "string"}

@@ -21,13 +21,29 @@ def test_streaming_log_matches_batch(spark):
     # actuals arrive in two files
     series.where("ts < '1998-01-01'").write.parquet(os.path.join(d, "in", "part1"))
     series.where("ts >= '1998-01-01'").write.parquet(os.path.join(d, "in", "part2"))
-    q = sm.start(spark, os.path.join(d, "in", "*"), fc, os.path.join(d, "log"), os.path.join(d, "ckpt"),
-                 base_rmse=5.0)
+    q = sm.start(spark, os.path.join(d, "in", "*"), fc, os.path.join(d, "log"), os.path.join(d, "ckpt"))
     q.awaitTermination(300)
-    log = sm.read_log(spark, os.path.join(d, "log"))
+    log = sm.read_log(spark, os.path.join(d, "log"), 5.0)
     batch = sm.score_batch(series, fc, 5.0)
     assert log.count() == batch.count() > 0
     cols = ["ts", "rmse", "mae", "degradation", "alert"]
     assert log.select(cols).exceptAll(batch.select(cols)).count() == 0
     t = mon.triggers(log)
     assert t.where("day_index < 30 AND should_retrain").count() == 0
+
+
+def test_a_day_split_over_batches_is_pooled(spark):
+    """Two series of the same days arrive in two files, one file per micro-batch."""
+    d = tempfile.mkdtemp(prefix="tempora-stream-")
+    series = si.daily_multi(spark, SF).select("series_id", "ts", "temp")
+    fc = series.select("series_id", F.col("ts").alias("target_ts"), F.lit(1).alias("horizon"),
+                       (F.col("temp") * F.when(F.col("series_id") < "3", 1.0).otherwise(1.5)).alias("y_pred"))
+    for k, part in enumerate((series.where("series_id < '3'"), series.where("series_id >= '3'"))):
+        part.coalesce(1).write.parquet(os.path.join(d, "in", f"part{k}"))
+    q = sm.start(spark, os.path.join(d, "in", "*"), fc, os.path.join(d, "log"), os.path.join(d, "ckpt"), max_files=1)
+    q.awaitTermination(300)
+    assert len([x for x in os.listdir(os.path.join(d, "log")) if x.startswith("batch_id")]) == 2
+    log = {r["ts"]: r["rmse"] for r in sm.read_log(spark, os.path.join(d, "log"), 5.0).collect()}
+    batch = {r["ts"]: r["rmse"] for r in sm.score_batch(series, fc, 5.0).collect()}
+    assert set(log) == set(batch) and len(log) > 100
+    assert all(abs(log[t] - batch[t]) < 1e-9 * max(1, batch[t]) for t in log)
