@@ -29,8 +29,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,7 +50,9 @@ ANNOUNCING = ("token", "key", "secret", "password", "passwd", "pwd", "api", "aut
 # Parts of a path where sample values are common.
 SAMPLE_PATHS = ("test", "example", "sample", "doc", "fixture", "mock")
 HASHED = 16
-FINDING = "array<struct<start:long,length:long,candidate:string,before:string,after:string,features:array<double>>>"
+FINDING = "array<struct<start:long,length:long,candidate:string,before:string,after:string,features:array<double>,probability:double>>"
+ARROW = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("candidate", pa.string()), ("before", pa.string()),
+                            ("after", pa.string()), ("features", pa.list_(pa.float64())), ("probability", pa.float64())]))
 
 
 @dataclass
@@ -144,30 +144,6 @@ def features(candidate: str, before: str, after: str, path: str | None, s: Stati
         *hashed]
 
 
-def with_candidates(docs: DataFrame, stats: Statistics, text_col: str, path_col: str) -> tuple[DataFrame, str]:
-    """All columns and the candidates with their features; returns (table, name)."""
-    name = bw.fresh(docs, "candidates")
-    shared = docs.sparkSession.sparkContext.broadcast(stats)
-    schema = T.StructType(docs.schema.fields + [T.StructField(name, T._parse_datatype_string(FINDING))])
-    t, p = docs.columns.index(text_col), docs.columns.index(path_col)
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("candidate", pa.string()),
-                               ("before", pa.string()), ("after", pa.string()), ("features", pa.list_(pa.float64()))]))
-
-    def run(batches):
-        s = shared.value
-        for b in batches:
-            out = []
-            for text, path in zip(b.column(t), b.column(p)):
-                text, found = text.as_py() or "", []
-                for m in CANDIDATE.finditer(text):
-                    before, after = text[max(0, m.start() - REACH):m.start()], text[m.end():m.end() + REACH]
-                    found.append({"start": m.start(), "length": m.end() - m.start(), "candidate": m[0], "before": before,
-                                  "after": after, "features": features(m[0], before, after, path.as_py(), s)})
-                out.append(found)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind)], names=schema.names)
-    return docs.mapInArrow(run, schema), name
-
-
 @dataclass
 class Forest:
     """Trees as arrays: split feature (-1: leaf), threshold, children, probability of a secret."""
@@ -191,8 +167,28 @@ class Forest:
         return total / len(self.trees)
 
 
+def _candidates(texts, paths, stats: Statistics, forest: Forest | None) -> list[list[dict]]:
+    """The candidates of each text of a batch, with features and, given a forest, probability."""
+    out = []
+    for text, path in zip(texts, paths):
+        text, path, found = text.as_py() or "", path.as_py(), []
+        for m in CANDIDATE.finditer(text):
+            before, after = text[max(0, m.start() - REACH):m.start()], text[m.end():m.end() + REACH]
+            found.append({"start": m.start(), "length": m.end() - m.start(), "candidate": m[0], "before": before,
+                          "after": after, "features": features(m[0], before, after, path, stats), "probability": None})
+        out.append(found)
+    flat = [c for found in out for c in found]
+    if forest is not None and flat:
+        for c, p in zip(flat, forest.probability(np.array([c["features"] for c in flat]))):
+            c["probability"] = float(p)
+    return out
+
+
 def train(findings: DataFrame) -> Forest:
     """Fit the forest on labelled findings: ``features array<double>, label``."""
+    # imported here: Python workers, which import this module too, have no use for it
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
     spark = findings.sparkSession
     rows = (findings.where("label is not null").select("features", F.col("label").cast("double").alias("label"))
             .orderBy(F.xxhash64("features"), "label").limit(FIT_ROWS)
@@ -236,59 +232,57 @@ def weak_labels(found: DataFrame) -> DataFrame:
     return found.withColumn("label", (F.col("candidate").rlike(known) | (F.col("before").rlike(assigned) & value)).cast("int"))
 
 
+def _found(docs: DataFrame, stats: Statistics, forest: Forest | None, id_col: str, text_col: str, path_col: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((stats, forest))
+    src = docs.select(id_col, text_col, path_col)
+    schema = T.StructType([src.schema[0], T.StructField("found", T._parse_datatype_string(FINDING))])
+    names = schema.names
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_candidates(b.column(1), b.column(2), *shared.value), ARROW)], names=names)
+    return src.mapInArrow(run, schema).select(F.col(id_col), F.explode("found").alias("c")).select(id_col, "c.*")
+
+
 def findings(docs: DataFrame, stats: Statistics, id_col: str = "doc_id", text_col: str = "text",
              path_col: str = "source") -> DataFrame:
     """A row per candidate: ``id, start, length, candidate, before, after, features``."""
-    df, name = with_candidates(docs.select(id_col, text_col, path_col), stats, text_col, path_col)
-    return df.select(F.col(id_col), F.explode(name).alias("c")).select(id_col, "c.*")
+    return _found(docs, stats, None, id_col, text_col, path_col).drop("probability")
 
 
 def scan(docs: DataFrame, stats: Statistics, forest: Forest, id_col: str = "doc_id", text_col: str = "text",
          path_col: str = "source") -> DataFrame:
     """A row per candidate with ``probability`` and ``is_secret`` (false positives included, marked)."""
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
-    rows = findings(docs, stats, id_col, text_col, path_col)
-    at = rows.columns.index("features")
-    schema = rows.drop("features").withColumn("probability", F.lit(0.0)).schema
-    names = schema.names
-
-    def run(batches):
-        f = shared.value
-        for b in batches:
-            p = f.probability(_matrix(b.column(at)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(p)], names=names)
-    return rows.mapInArrow(run, schema).withColumn("is_secret", F.col("probability") >= 0.5)
-
-
-def _matrix(column) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    rows = _found(docs, stats, forest, id_col, text_col, path_col).drop("features")
+    return rows.withColumn("is_secret", F.col("probability") >= 0.5)
 
 
 def redact(docs: DataFrame, stats: Statistics, forest: Forest, text_col: str = "text", path_col: str = "source",
            length_col: str | None = "n_chars") -> DataFrame:
-    """All documents and columns, with confirmed secrets replaced by ``MASK``."""
-    df, name = with_candidates(docs, stats, text_col, path_col)
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
-    names = docs.columns
-    at, width = names.index(text_col), len(names)
+    """All documents and columns, with confirmed secrets replaced by ``MASK``; ``length_col``
+    follows the text where it changed."""
+    shared = docs.sparkSession.sparkContext.broadcast((stats, forest))
+    names, schema = docs.columns, docs.schema
+    at, path = names.index(text_col), names.index(path_col)
+    size = names.index(length_col) if length_col in names else None
 
     def run(batches):
-        f = shared.value
         for b in batches:
-            texts, found = b.column(at).to_pylist(), b.column(width).to_pylist()
-            where = [(i, c["start"], c["length"]) for i, cs in enumerate(found) for c in cs]
-            if where:
-                p = f.probability(np.array([c["features"] for cs in found for c in cs]))
-                for (i, start, length), q in reversed(list(zip(where, p))):
-                    if q >= 0.5:
-                        texts[i] = texts[i][:start] + MASK + texts[i][start + length:]
-            cols = list(b.columns[:width])
-            cols[at] = pa.array(texts, pa.string())
+            cols, texts, sizes = list(b.columns), None, None
+            for i, found in enumerate(_candidates(b.column(at), b.column(path), *shared.value)):
+                secret = [c for c in found if c["probability"] >= 0.5]
+                if not secret:
+                    continue
+                if texts is None:
+                    texts = b.column(at).to_pylist()
+                    sizes = b.column(size).to_pylist() if size is not None else None
+                for c in reversed(secret):
+                    texts[i] = texts[i][:c["start"]] + MASK + texts[i][c["start"] + c["length"]:]
+                if sizes is not None:
+                    sizes[i] = len(texts[i])
+            if texts is not None:
+                cols[at] = pa.array(texts, cols[at].type)
+                if sizes is not None:
+                    cols[size] = pa.array(sizes, cols[size].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
-    out = df.mapInArrow(run, docs.schema)
-    if length_col in docs.columns:
-        kind = dict(docs.dtypes)[length_col]
-        changed = F.when(F.col(text_col).contains(MASK), F.length(text_col).cast(kind)).otherwise(F.col(length_col))
-        out = out.withColumn(length_col, changed)
-    return out
+    return docs.mapInArrow(run, schema)
