@@ -4,13 +4,18 @@ Candidates are runs of at least ``MIN_LENGTH`` token characters (letters,
 digits, ``_ + / -`` and closing ``=``) anywhere in a whole text.  Their
 features: length and character make-up; the mean log-probability of the
 character transitions under a bigram model of the whole corpus; dictionary
-coverage, the share of the candidate's characters inside corpus words of three
-to ten letters; the path it was found under; and the neighbouring words and
+coverage, the share of the candidate's characters inside frequent corpus words
+of three to ten letters; the path it was found under; and the neighbouring words and
 characters.  The forest (``pyspark.ml``) is trained on labelled findings, at
 most ``FIT_ROWS`` of them (a documented bound; the rows of smallest hash).
 
-The corpus statistics cover all documents and have a fixed size: a 256 x 256
-transition table and ``BUCKETS`` hashed word counts.  The trained trees, read
+The corpus statistics cover all documents and are bounded: a 256 x 256
+transition table and the 64-bit hashes of the frequent words, those that make
+up at least ``SHARE`` of all words of three to ten letters.  There are at most
+1 / SHARE of them at any corpus size, so a probe hits by chance with less than
+1 / (SHARE * 2**64).  Words are counted exactly, by an aggregate on their
+hashes.  In a small corpus a word needs ``FREQUENT`` occurrences as well: fewer
+say nothing about its share.  The trained trees, read
 back from the model's saved form, are a few thousand nodes; they are broadcast
 and scored where the documents lie, so the scan has no shuffle.
 
@@ -38,8 +43,10 @@ from tempora.session import checkpoint_dir
 
 MIN_LENGTH = 16
 FIT_ROWS = 100_000
-BUCKETS = 1 << 20
+SHARE = 1e-5
 FREQUENT = 20
+GATHER = 1 << 20
+BATCH = 1 << 16
 TREES, DEPTH = 40, 8
 REACH = 48
 MASK = "[SECRET]"
@@ -57,19 +64,21 @@ ARROW = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("can
 
 @dataclass
 class Statistics:
-    """Corpus statistics: transition log-probabilities and the frequent-word set."""
+    """Corpus statistics: transition log-probabilities and the sorted hashes of the frequent words."""
     transitions: np.ndarray = field(default_factory=lambda: np.zeros((256, 256)))
-    frequent: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS, bool))
-
-
-def _word_bucket(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
+    frequent: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> Statistics:
     """Transition and word counts over all documents."""
+    def rows(word, k, n):
+        for lo in range(0, len(k), BATCH):
+            part = slice(lo, lo + BATCH)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[part]), word)), pa.array(k[part]), pa.array(n[part].astype(np.int64))],
+                                             names=["word", "k", "n"])
+
     def count(batches):
-        pairs, tally = np.zeros(65536, np.int64), bw.Tally(BUCKETS)
+        pairs, parts, held = np.zeros(65536, np.int64), [], 0
         for b in batches:
             for _, _, data, off in bw.runs(b.column(0)):
                 w = bw.Words(data, off, bw.ALNUM)
@@ -81,21 +90,24 @@ def statistics(docs: DataFrame, text_col: str = "text") -> Statistics:
                 inside[w.starts] = False   # a transition ends at every byte of a word but its first
                 at = np.flatnonzero(inside)
                 pairs += np.bincount(w.data[at - 1].astype(np.int64) * 256 + w.data[at], minlength=65536)
-                use = (size >= 3) & (size <= 10)
-                tally.add(_word_bucket(w.hashes()[use]))
-        words = tally.counts()
-        at, wt = np.flatnonzero(pairs), np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, wt + 65536])),
-                                          pa.array(np.concatenate([pairs[at], words[wt].astype(np.int64)]))], names=["k", "n"])
-    got = (docs.select(text_col).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-           .where((F.col("k") < 65536) | (F.col("n") >= FREQUENT)).toArrow())
-    k, n = got["k"].to_numpy(), got["n"].to_numpy()
+                parts.append(w.hashes()[(size >= 3) & (size <= 10)].view(np.int64))
+                held += len(parts[-1])
+                if held >= GATHER:
+                    yield from rows(True, *np.unique(np.concatenate(parts), return_counts=True))
+                    parts, held = [], 0
+        if parts:
+            yield from rows(True, *np.unique(np.concatenate(parts), return_counts=True))
+        at = np.flatnonzero(pairs)
+        yield from rows(False, at, pairs[at])
+    counts = (docs.select(text_col).mapInArrow(count, "word boolean, k long, n long").groupBy("word", "k").agg(F.sum("n").alias("n"))
+              .checkpoint())
+    total = counts.where("word").agg(F.sum("n").alias("n")).first().n or 0
+    got = counts.where(~F.col("word") | (F.col("n") >= max(FREQUENT, SHARE * total))).toArrow()
+    word, k, n = (got[c].to_numpy() for c in ("word", "k", "n"))
     table = np.full(65536, 0.1)
-    table[k[k < 65536]] += n[k < 65536]
+    table[k[~word]] += n[~word]
     table = table.reshape(256, 256)
-    s = Statistics(np.log(table / table.sum(1, keepdims=True)))
-    s.frequent[k[k >= 65536] - 65536] = True
-    return s
+    return Statistics(np.log(table / table.sum(1, keepdims=True)), np.sort(k[word].view(np.uint64)))
 
 
 def _coverage(data: bytes, s: Statistics) -> float:
@@ -103,10 +115,10 @@ def _coverage(data: bytes, s: Statistics) -> float:
     w = bw.Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), np.ones(256, bool))
     c, n = w.prefix_sums(), len(data)
     cover = np.zeros(n + 1, np.int64)
-    for size in range(3, min(10, n) + 1):
+    for size in range(3, min(10, n) + 1 if len(s.frequent) else 0):
         lo = np.arange(n - size + 1)
         h = bw.mix(bw.range_hash(c, lo, lo + size, bw.BYTE_BASE) + bw.salt(size, bw.WORD_SALT))
-        at = lo[s.frequent[_word_bucket(h)]]
+        at = lo[s.frequent[np.searchsorted(s.frequent[:-1], h)] == h]
         np.add.at(cover, at, 1)
         np.add.at(cover, at + size, -1)
     return float((np.cumsum(cover[:-1]) > 0).mean())

@@ -81,3 +81,14 @@ def test_without_two_classes_or_rows(spark):
     ones = S.train(S.findings(d, stats).withColumn("label", F.lit(1)))
     assert [r.is_secret for r in S.scan(d, stats, ones).collect()] == [True]
     assert S.scan(d.limit(0), stats, none).count() == 0
+
+
+def test_dictionary_does_not_fill_up(spark, rng):
+    # 200,000 rare words, 20 times each, beside one common word
+    rare = F.translate(F.substring(F.md5(F.col("id").cast("string")), 1, 8), "0123456789abcdef", "ghijklmnopqrstuv")
+    d = spark.range(0, 200_000, 1, 4).select(F.concat(F.repeat(F.concat(rare, F.lit(" ")), 20), F.lit("considered")).alias("text"))
+    stats = S.statistics(d)
+    assert len(stats.frequent) <= 1 / S.SHARE
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(50)]
+    assert max(S._coverage(k.encode(), stats) for k in keys) == 0.0
+    assert S._coverage(b"unconsidered", stats) == 10 / 12
