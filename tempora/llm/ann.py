@@ -2,12 +2,14 @@
 
 Nearness is the largest inner product.  For the graph each vector is divided by
 the largest norm and given one more coordinate that brings it to length 1, so
-inner products with a query keep their order and "near" is symmetric.  Equal
-vectors are one node; a node keeps its ``TOP`` + 1 smallest ids, all that any
+inner products with a query keep their order and "near" is symmetric.  The
+graph ranks by the squared distances of these, computed in double precision
+from the original vectors and without cancellation, so close copies and much
+longer vectors do not blur them.  Equal vectors are one node; a node keeps its ``TOP`` + 1 smallest ids, all that any
 answer can name.
 
-Build.  Random hyperplane cells (``TREES`` times; large cells are cut into
-blocks by a hash) give first neighbours.  Each NN-descent round joins every
+Build.  Random hyperplane cells of the directions (``TREES`` times; large cells
+are cut into blocks by a hash) give first neighbours.  Each NN-descent round joins every
 node with its neighbours, forward and reverse, brings their vectors together
 and compares them with each other: a neighbour of a neighbour that is nearer
 than a node's worst neighbour is proposed to it.  Rounds end when fewer than
@@ -15,9 +17,10 @@ than a node's worst neighbour is proposed to it.  Rounds end when fewer than
 
 Search.  A query starts at its own node (or at ``entries``) and repeatedly
 expands the ``EXPAND`` nearest nodes of its pool of ``POOL`` that have not been
-expanded, until none is left.  The pool is scored with half-precision copies;
-the answer is ranked by exact double-precision products of the original
-vectors, ties to the smaller id.
+expanded, until none is left.  The pool, like the answer, is ranked by
+double-precision products of the original vectors; the answer's ties go to the
+smaller id.  Vectors travel in single precision where that is exact, else in
+double.
 
 Scale: every join moves a bounded number of rows per node.  The reverse
 neighbours that take part in a round are a hash sample of ``REVERSE``, as the
@@ -33,6 +36,9 @@ table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import gc
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -52,6 +58,7 @@ EXPAND = 48
 SEARCH_ROUNDS = 12
 SEED = 11
 LISTS = "node long, ids array<long>, sims array<float>"
+SCORES = "node long, ids array<long>, sims array<double>"
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -68,25 +75,43 @@ def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """(``node, vec, half``; ``node, id`` of the smallest ids; largest norm)."""
+@dataclass
+class Space:
+    """How points are stored (a numpy type that holds them exactly) and their largest norm."""
+    kind: str
+    norm: float
+
+    def points(self, column) -> np.ndarray:
+        return np.frombuffer(b"".join(x.as_buffer() for x in column), self.kind).reshape(len(column), -1).astype(np.float64)
+
+    def nearness(self, x: np.ndarray) -> np.ndarray:
+        """Minus the squared distances of all pairs with the additional coordinate; -inf to itself."""
+        x = x / self.norm
+        square = (x * x).sum(1)
+        high = np.sqrt(np.clip(1 - square, 0, None))
+        lift = (square[:, None] - square) / np.maximum(high[:, None] + high, 1e-300)
+        x = x - x.mean(0)
+        square = (x * x).sum(1)
+        s = -(np.clip(square[:, None] + square - 2 * (x @ x.T), 0, None) + lift * lift)
+        np.fill_diagonal(s, -np.inf)
+        return s.astype(np.float32)
+
+
+def nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame, Space]:
+    """(``node, vec, point``; ``node, id`` of the smallest ids; the points' space)."""
     found = rows.groupBy("vec").agg(F.min("id").alias("least")).withColumn("node", F.xxhash64("vec", "least"))
-    top = rows.agg(F.max(dot("vec", "vec"))).first()[0]
-    norm = float(np.sqrt(top)) if top else 1.0
+    single = F.forall("vec", lambda x: x == x.cast("float").cast("double"))
+    seen = rows.agg(F.max(dot("vec", "vec")).alias("top"), F.bool_and(single).alias("single")).first()
+    space = Space("f4" if seen.single else "f8", float(np.sqrt(seen.top)) if seen.top else 1.0)
 
-    def halve(batches):
+    def pack(batches):
         for b in batches:
-            x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1) / norm
-            x = np.concatenate([x, np.sqrt(np.clip(1 - (x * x).sum(1), 0, None))[:, None]], 1).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "vec", "half"])
-    table = found.select("node", "vec").mapInArrow(halve, "node long, vec array<double>, half binary").checkpoint()
+            x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1).astype(space.kind)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "vec", "point"])
+    table = found.select("node", "vec").mapInArrow(pack, "node long, vec array<double>, point binary").checkpoint()
     rank = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
     ids = (rows.distinct().withColumn("rank", rank).where(F.col("rank") <= TOP + 1).join(found, "vec").select("node", "id"))
-    return table, ids, norm
-
-
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.float16).reshape(len(column), -1).astype(np.float32)
+    return table, ids, space
 
 
 def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,10 +123,10 @@ def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return ids[first], sims[first]
 
 
-def _lists(rows: list) -> pa.RecordBatch:
+def _lists(rows: list, sims: pa.DataType = pa.float32()) -> pa.RecordBatch:
     n, i, s = zip(*rows) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(list(i), pa.list_(pa.int64())),
-                                       pa.array(list(s), pa.list_(pa.float32()))], names=["node", "ids", "sims"])
+                                       pa.array(list(s), pa.list_(sims))], names=["node", "ids", "sims"])
 
 
 def _merge(lists: DataFrame, k: int) -> DataFrame:
@@ -118,27 +143,25 @@ def _merge(lists: DataFrame, k: int) -> DataFrame:
     return lists.groupBy("node").agg(F.collect_list(F.struct("ids", "sims")).alias("parts")).mapInArrow(run, LISTS)
 
 
-def first_neighbours(table: DataFrame, n: int) -> DataFrame:
+def first_neighbours(table: DataFrame, space: Space, n: int) -> DataFrame:
     """Neighbour lists from random hyperplane cells."""
     bits = max(0, int(np.ceil(np.log2(max(1, n) / CELL))))
 
     def cells(batches):
         for b in batches:
-            x = _matrix(b.column(1))
+            x = space.points(b.column(1))
             for t in range(TREES):
                 rng = np.random.default_rng(SEED + t)
-                planes = rng.standard_normal((x.shape[1], bits)).astype(np.float32) if bits else np.zeros((x.shape[1], 0), np.float32)
+                planes = rng.standard_normal((x.shape[1], bits))
                 cell = ((x @ planes) > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(cell.astype(np.int64)),
-                                                  b.column(0), b.column(1)], names=["tree", "cell", "node", "half"])
-    dealt = table.select("node", "half").mapInArrow(cells, "tree int, cell long, node long, half binary")
+                                                  b.column(0), b.column(1)], names=["tree", "cell", "node", "point"])
+    dealt = table.select("node", "point").mapInArrow(cells, "tree int, cell long, node long, point binary")
     sizes = dealt.groupBy("tree", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     dealt = dealt.join(sizes, ["tree", "cell"]).withColumn("block", F.pmod(F.xxhash64("node", "tree"), "blocks"))
 
     def near(t: pa.Table) -> pa.Table:
-        x, ids = _matrix(t["half"]), t["node"].to_numpy()
-        s = x @ x.T
-        np.fill_diagonal(s, -2)
+        s, ids = space.nearness(space.points(t["point"])), t["node"].to_numpy()
         k = min(NEIGHBOURS, len(ids) - 1)
         if k < 1:
             return pa.Table.from_batches([_lists([])])
@@ -160,11 +183,11 @@ def _edges(graph: DataFrame, forward: int, reverse: int, turn: int = 0) -> DataF
     return ahead.unionByName(back).distinct()
 
 
-def descend(graph: DataFrame, table: DataFrame, turn: int) -> DataFrame:
+def descend(graph: DataFrame, table: DataFrame, space: Space, turn: int) -> DataFrame:
     """One NN-descent round: neighbours of a node are compared with each other."""
     worst = graph.select(F.col("node").alias("u"), F.element_at("sims", -1).alias("worst"))
-    members = (_edges(graph, JOINED, JOINED, turn).join(table.select(F.col("node").alias("u"), "half"), "u").join(worst, "u")
-               .groupBy("v").agg(F.collect_list(F.struct("u", "half", "worst")).alias("m")))
+    members = (_edges(graph, JOINED, JOINED, turn).join(table.select(F.col("node").alias("u"), "point"), "u").join(worst, "u")
+               .groupBy("v").agg(F.collect_list(F.struct("u", "point", "worst")).alias("m")))
 
     def propose(batches):
         for b in batches:
@@ -173,9 +196,7 @@ def descend(graph: DataFrame, table: DataFrame, turn: int) -> DataFrame:
                 v = m.values
                 if len(v) < 2:
                     continue
-                x, ids = _matrix(v.field("half")), v.field("u").to_numpy()
-                s = x @ x.T
-                np.fill_diagonal(s, -2)
+                s, ids = space.nearness(space.points(v.field("point"))), v.field("u").to_numpy()
                 better = s > v.field("worst").to_numpy(zero_copy_only=False)[:, None]
                 for r in np.flatnonzero(better.any(1)).tolist():
                     at = np.flatnonzero(better[r])
@@ -185,50 +206,54 @@ def descend(graph: DataFrame, table: DataFrame, turn: int) -> DataFrame:
     return _merge(graph.unionByName(offers), NEIGHBOURS)
 
 
-def build(table: DataFrame) -> DataFrame:
+def _release(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of rounds whose result is checkpointed."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def build(table: DataFrame, space: Space) -> DataFrame:
     """The neighbour graph ``node, ids, sims`` of all nodes."""
     n = table.count()
-    graph = _merge(first_neighbours(table, n), NEIGHBOURS).checkpoint()
+    graph = _merge(first_neighbours(table, space, n), NEIGHBOURS).checkpoint()
     checksum = graph.agg(F.sum(F.size("ids")).alias("n")).first().n or 0
     for turn in range(ROUNDS if n > NEIGHBOURS + 1 else 0):
-        better = descend(graph, table, turn).checkpoint()
+        better = descend(graph, table, space, turn).checkpoint()
         old = graph.select("node", F.col("ids").alias("old"))
         moved = better.join(old, "node", "left").agg(F.sum(F.size(F.array_except("ids", F.coalesce("old", F.array().cast("array<long>")))))).first()[0] or 0
         graph = better
+        _release(graph)
         if moved < DONE * checksum:
             break
     return graph
 
 
-def search(graph: DataFrame, table: DataFrame, entries: DataFrame) -> DataFrame:
+def search(graph: DataFrame, table: DataFrame, space: Space, entries: DataFrame) -> DataFrame:
     """Greedy search: ``entries`` has ``node`` (the query's) and ``ids`` (where it starts).
 
     Returns ``node, ids``: the pool of nearest nodes found, nearest first."""
-    halves = table.select("node", "half")
-    around = (_edges(graph, NEIGHBOURS, REVERSE).join(halves.select(F.col("node").alias("u"), "half"), "u")
-              .groupBy("v").agg(F.collect_list(F.struct("u", "half")).alias("near")).checkpoint())
-    schema = "node long, half binary, ids array<long>, sims array<float>, open array<boolean>"
+    points = table.select("node", "point")
+    edges = _edges(graph, NEIGHBOURS, REVERSE).checkpoint()
+    schema = "node long, point binary, ids array<long>, sims array<double>, open array<boolean>"
     # the pool begins empty; the first round expands the entries
-    state = entries.join(halves, "node").select("node", "half", F.array().cast("array<long>").alias("ids"),
-                                                F.array().cast("array<float>").alias("sims"), F.array().cast("array<boolean>").alias("open"),
+    state = entries.join(points, "node").select("node", "point", F.array().cast("array<long>").alias("ids"),
+                                                F.array().cast("array<double>").alias("sims"), F.array().cast("array<boolean>").alias("open"),
                                                 F.col("ids").alias("step")).checkpoint()
 
     def score(batches):
         for b in batches:
             out = []
-            for node, half, near in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                q = np.frombuffer(half.as_buffer(), np.float16).astype(np.float32)
-                q[-1] = 0        # the product with the vector itself
+            for node, x, near in zip(b.column(0).to_pylist(), space.points(b.column(1)), b.column(2)):
                 v = near.values
-                s = _matrix(v.field("half")) @ q
+                s = space.points(v.field("point")) @ x
                 at = np.argsort(-s, kind="stable")[:POOL]
                 out.append((node, v.field("u").to_numpy()[at], s[at]))
-            yield _lists(out)
+            yield _lists(out, pa.float64())
 
     def update(batches):
         for b in batches:
             cols = [[], [], [], [], [], []]
-            for node, half, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for node, point, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 seen = {}
                 for p in parts:
                     for i, s, o in zip(p["ids"], p["sims"], p["open"] or [True] * len(p["ids"])):
@@ -236,20 +261,24 @@ def search(graph: DataFrame, table: DataFrame, entries: DataFrame) -> DataFrame:
                 best = sorted(seen.items(), key=lambda e: (-e[1][0], e[0]))[:POOL]
                 step = [i for i, (_, o) in best if o][:EXPAND]
                 now = set(step)
-                for c, x in zip(cols, (node, half, [i for i, _ in best], [s for _, (s, _) in best],
+                for c, x in zip(cols, (node, point, [i for i, _ in best], [s for _, (s, _) in best],
                                        [o and i not in now for i, (_, o) in best], step)):
                     c.append(x)
-            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                             names=["node", "half", "ids", "sims", "open", "step"])
+                                             names=["node", "point", "ids", "sims", "open", "step"])
     for _ in range(SEARCH_ROUNDS):
-        front = state.select("node", "half", F.explode("step").alias("v"))
-        found = front.join(around, "v").select("node", "half", "near").mapInArrow(score, LISTS)
+        front = state.select("node", "point", F.explode("step").alias("v"))
+        # only expanded nodes bring their neighbours' vectors, for this round alone
+        around = (edges.join(front.select("v").distinct(), "v", "left_semi").join(points.select(F.col("node").alias("u"), "point"), "u")
+                  .groupBy("v").agg(F.collect_list(F.struct("u", "point")).alias("near")))
+        found = front.join(around, "v").select("node", "point", "near").mapInArrow(score, SCORES)
         pool = state.select("node", F.struct("ids", "sims", "open").alias("p"))
         offers = found.select("node", F.struct("ids", "sims", F.lit(None).cast("array<boolean>").alias("open")).alias("p"))
         parts = pool.unionByName(offers).groupBy("node").agg(F.collect_list("p").alias("parts"))
-        state = (parts.join(halves, "node").select("node", "half", "parts")
+        state = (parts.join(points, "node").select("node", "point", "parts")
                  .mapInArrow(update, schema + ", step array<long>").checkpoint())
+        _release(state)
         if state.where(F.size("step") > 0).isEmpty():
             break
     return state.select("node", "ids")
@@ -258,13 +287,13 @@ def search(graph: DataFrame, table: DataFrame, entries: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = TOP) -> DataFrame:
     """``query_id, rank, id, score`` of each query row's k nearest other rows."""
     rows = usable(vectors, id_col, vec_col).checkpoint()
-    table, ids, _ = nodes(rows)
+    table, ids, space = nodes(rows)
     ids = ids.checkpoint()
     queries = (rows.where(is_query(F.col("id"))).select(F.col("id").alias("query_id"), "vec").distinct()
                .join(table.select("node", "vec"), "vec").select("query_id", "node").checkpoint())
     entries = queries.select("node").distinct().select("node", F.array("node").alias("ids"))
-    graph = build(table)
-    found = search(graph, table, entries)
+    graph = build(table, space)
+    found = search(graph, table, space, entries)
     pool = found.select("node", F.explode(F.array_union("ids", F.array("node"))).alias("near"))
     vec = table.select("node", "vec")
     scored = (pool.join(vec, "node").join(vec.select(F.col("node").alias("near"), F.col("vec").alias("near_vec")), "near")

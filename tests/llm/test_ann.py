@@ -57,3 +57,23 @@ def test_few_candidates_and_empty(spark):
     assert {q: [i for _, i, _ in v] for q, v in got.items()} == {0: [1, 20], 20: [1, 0]}
     assert run(spark, []) == {}
     assert run(spark, [(0, [1.0, 1.0])]) == {}
+
+
+def recall(got, want):
+    return sum(len({i for _, i, _ in got[q]} & set(want[q][0])) for q in want) / sum(len(w[0]) for w in want.values())
+
+
+def test_dense_group_of_near_copies(spark):
+    g = np.random.default_rng(9)
+    centre = g.standard_normal(32)
+    x = np.concatenate([centre / np.linalg.norm(centre) + 3e-4 * g.standard_normal((1200, 32)), g.standard_normal((300, 32)) / 6])
+    vectors = list(zip(range(1500), x.astype(np.float32).astype(float)))
+    assert recall(run(spark, vectors), brute(vectors, range(0, 1500, 20))) >= 0.95
+
+
+def test_one_very_long_vector(spark):
+    g = np.random.default_rng(10)
+    x = g.standard_normal((1500, 16))
+    x[7] *= 10_000
+    vectors = list(zip(range(1500), x.astype(np.float32).astype(float)))
+    assert recall(run(spark, vectors), brute(vectors, range(0, 1500, 20))) >= 0.95
