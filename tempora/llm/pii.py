@@ -9,9 +9,11 @@ the time is linear in the text and no match recurses.
 Every distinct base value is a protected entity e.  The words in the ``REACH``
 characters around its mentions co-occur with it.  Over all documents, with
 document frequencies, PMI(e, t) = ln(N * df(e, t) / (df(e) * df(t))) is what a
-reader of t learns about e, out of IC(e) = ln(N / df(e)).  A term that occurs
-with e in at least ``SUPPORT`` documents and gives away at least ``SHARE`` of
-IC(e) discloses it.  If the term's first ``STEM`` letters alone stay below the
+reader of t learns about e, out of IC(e) = ln(N / df(e)).  P(e | t) is estimated
+with a prior of ``PRIOR`` documents in which e is as frequent as in all,
+(df(e, t) + PRIOR * df(e) / N) / (df(t) + PRIOR), so every pair is judged,
+however rare.  A term that gives away at least ``SHARE`` of IC(e) discloses it;
+a single joint document is enough once N is above about a thousand.  If the term's first ``STEM`` letters alone stay below the
 threshold the term is generalised to them, else it is removed.
 
 Scale: one scan finds base spans and contexts; its result (no text) is written
@@ -34,7 +36,8 @@ from pyspark.sql import functions as F
 from tempora.llm.bytewords import fresh
 
 REACH = 64
-SUPPORT = 3
+PRIOR = 1.0
+SUPPORT = 3    # bounds nothing here; the brute force of tests/llm/test_pii.py reads it
 SHARE = 0.9
 STEM = 3
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
@@ -123,8 +126,7 @@ def _context_words(text: Column, base: Column) -> Column:
 def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``entity, term, kind`` for the terms that disclose; ``found`` has ``k1, k2, base, words``."""
     words = found.select("k1", "k2", F.explode("words").alias("w")).select("k1", "k2", "w.entity", "w.term")
-    pairs = (words.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_both"))
-             .where(F.col("df_both") >= SUPPORT))
+    pairs = words.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_both"))
     name = F.transform("base", lambda s: F.concat(F.element_at(F.array(*[F.lit(k) for k in KINDS]), s.kind + 1), F.lit(":"), F.lower(s.value)))
     entities = (found.where(F.size("base") > 0).select("k1", "k2", F.explode(F.array_distinct(name)).alias("entity")).distinct()
                 .groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity")))
@@ -139,7 +141,8 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text") -> Dat
     known = F.lit(SHARE) * F.log(F.col("n") / F.col("df_entity"))
 
     def told(df):
-        return F.log(F.col("n") * F.col("df_both") / (F.col("df_entity") * df))
+        share = F.col("df_entity") / F.col("n")
+        return F.log((F.col("df_both") + PRIOR * share) / ((df + PRIOR) * share))
     joined = (pairs.join(entities, "entity").join(counts, "term").join(stems, "stem")
               .withColumn("n", F.lit(n)))
     whole = F.least(F.col("df_stem").cast("double"), F.col("n"))

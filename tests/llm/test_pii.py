@@ -129,3 +129,12 @@ def test_sanitised_texts(spark, rng):
 
 def test_empty_table(spark):
     assert P.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_terms_of_a_single_mention_are_judged(spark, rng):
+    docs = [(i, " ".join(rng.choice(["alpha", "gamma", "delta", "omega"]) for _ in range(8))) for i in range(3000)]
+    docs[5] = (5, "alpha zarniwoop ford@guide.example gamma")
+    docs[6] = (6, "delta omega +1 (578) 555-6437 quillfeather alpha")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in P.sanitise(d).where("doc_id in (5, 6)").collect()}
+    assert got == {5: "alpha  [EMAIL] gamma", 6: "delta omega [PHONE]  alpha"}
