@@ -6,20 +6,21 @@ digits).  The patterns below are possessive forms with the same matches: an
 attempt that cannot succeed is not repeated from the middle of the same run, so
 the time is linear in the text and no match recurses.
 
-Every distinct base value is a protected entity e.  The words in the ``REACH``
-characters around its mentions co-occur with it.  Over all documents, with
+Every distinct base value is a protected entity e.  All words of its documents
+outside base spans co-occur with it, wherever they stand.  Over all documents, with
 document frequencies, PMI(e, t) = ln(N * df(e, t) / (df(e) * df(t))) is what a
 reader of t learns about e, out of IC(e) = ln(N / df(e)).  P(e | t) is estimated
 with a prior of ``PRIOR`` documents in which e is as frequent as in all,
 (df(e, t) + PRIOR * df(e) / N) / (df(t) + PRIOR), so every pair is judged,
 however rare.  A term that gives away at least ``SHARE`` of IC(e) discloses it;
 a single joint document is enough once N is above about a thousand.  If the term's first ``STEM`` letters alone stay below the
-threshold the term is generalised to them, else it is removed.
+threshold the term is generalised to them, else it is removed; either holds for
+every occurrence of the term in the documents that hold the entity.
 
-Scale: one scan finds base spans and contexts; its result (no text) is written
-with ``checkpoint()``.  Word frequencies are one map-side combined aggregate
+Scale: one scan finds base spans; its result, with the text of the documents that
+have any, is written with ``checkpoint()``.  Word frequencies are one map-side combined aggregate
 over distinct words per document; entity and term counts shuffle only the
-context words; joins are on entity and term, whose rows are pre-aggregated.
+words of documents with base spans; joins are on entity and term, whose rows are pre-aggregated.
 
 Defined cases: null and empty texts have no spans; rows are told apart by a
 128-bit key of id and text, so null ids and repeated rows each get their own
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tempora.llm.bytewords import fresh
 
-REACH = 64
+REACH = 64     # as SUPPORT
 PRIOR = 1.0
 SUPPORT = 3    # bounds nothing here; the brute force of tests/llm/test_pii.py reads it
 SHARE = 0.9
@@ -46,7 +47,7 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"[\p{L}\p{N}]{4,}"
+TERM = r"[\p{L}\p{N}]+"
 SEPARATOR = r"[^\p{L}\p{N}]+"
 
 
@@ -107,31 +108,49 @@ def base_spans(docs: DataFrame, text_col: str = "text", into: str = "base") -> D
     return df.withColumn(into, F.array_sort(F.concat(*lists))).drop(*names)
 
 
-def _context_words(text: Column, base: Column) -> Column:
-    """Whole words near each base span, outside all of them: ``entity, term, start, end``."""
-    def side(s, left: bool):
-        lo = F.greatest(s.start - REACH, F.lit(0)) if left else s.end
-        hi = s.start if left else F.least(s.end + REACH, F.length(text))
-        part = F.substring(text, (lo + 1).cast("int"), (hi - lo).cast("int"))
-        found = F.regexp_extract_all(part, F.lit(TERM), F.lit(0))
-        words = F.zip_with(_starts(part, TERM, found), found, lambda p, w: F.struct(
-            F.concat(F.element_at(F.array(*[F.lit(k) for k in KINDS]), s.kind + 1), F.lit(":"), F.lower(s.value)).alias("entity"),
-            F.lower(w).alias("term"), (lo + p).alias("start"), (lo + p + F.length(w)).alias("end")))
-        # a word that the window's edge may cut is not whole
-        whole = (lambda w: (w.start > lo) | (lo == 0)) if left else (lambda w: (w.end < hi) | (hi == F.length(text)))
-        return F.filter(words, lambda w: whole(w) & ~F.exists(base, lambda b: (w.start < b.end) & (w.end > b.start)))
-    return F.flatten(F.transform(base, lambda s: F.concat(side(s, True), side(s, False))))
-
-
-def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``entity, term, kind`` for the terms that disclose; ``found`` has ``k1, k2, base, words``."""
-    words = found.select("k1", "k2", F.explode("words").alias("w")).select("k1", "k2", "w.entity", "w.term")
-    pairs = words.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_both"))
-    name = F.transform("base", lambda s: F.concat(F.element_at(F.array(*[F.lit(k) for k in KINDS]), s.kind + 1), F.lit(":"), F.lower(s.value)))
-    entities = (found.where(F.size("base") > 0).select("k1", "k2", F.explode(F.array_distinct(name)).alias("entity")).distinct()
-                .groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity")))
+def _names(base: Column) -> Column:
+    """The distinct entities of the base spans."""
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_distinct(F.transform(base, lambda s: F.concat(F.element_at(kinds, s.kind + 1), F.lit(":"), F.lower(s.value))))
+
+
+def _words() -> Column:
+    """Distinct lower-case words of ``text`` that no base span touches."""
+    t = F.col("text")
+    mark = F.lower(F.concat(F.lit("q"), F.hex("k1"), F.hex("k2")))   # in no other text; a word it joins is dropped
+
+    def step(acc, s):
+        put = F.concat(acc.out, F.substring(t, (acc.at + 1).cast("int"), (s.start - acc.at).cast("int")), mark)
+        return F.struct(F.greatest(acc.at, s.end).alias("at"), F.when(s.start >= acc.at, put).otherwise(acc.out).alias("out"))
+    rest = F.aggregate("base", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step,
+                       lambda acc: F.concat(acc.out, F.substring(t, (acc.at + 1).cast("int"), F.length(t))))
+    words = F.transform(F.regexp_extract_all(rest, F.lit(TERM), F.lit(0)), F.lower)
+    return F.array_distinct(F.filter(words, lambda w: ~F.contains(w, mark)))
+
+
+def _occurrences(kinds: Column) -> Column:
+    """Spans of the words of ``text`` that the map ``kinds`` names and no base span touches."""
+    t = F.col("text")
+    found = F.regexp_extract_all(t, F.lit(TERM), F.lit(0))
+    steps = F.zip_with(F.slice(F.split(t, TERM, -1), F.lit(1), F.size(found)), found, lambda b, w: F.struct(F.length(b).alias("b"), w.alias("w")))
+
+    def step(acc, s):
+        start = acc.at + s.b
+        end, kind = start + F.length(s.w), F.element_at(kinds, F.lower(s.w))
+        hit = kind.isNotNull() & ~F.exists("base", lambda x: (start < x.end) & (end > x.start))
+        span = F.struct(start.alias("start"), kind.alias("kind"), end.alias("end"), F.lower(s.w).alias("value"))
+        return F.struct(end.alias("at"), F.when(hit, F.concat(acc.out, F.array(span))).otherwise(acc.out).alias("out"))
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>")
+    return F.aggregate(steps, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda acc: acc.out)
+
+
+def disclosing(found: DataFrame, held: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``entity, term, kind`` for the terms that disclose; ``held`` has ``base, text`` of each distinct document with spans."""
+    pairs = (held.select(_names(F.col("base")).alias("names"), _words().alias("words")).select(F.explode("names").alias("entity"), "words")
+             .select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_both")))
+    entities = held.select(F.explode(_names(F.col("base"))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
     terms = (docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), SEPARATOR))).alias("term"))
-             .groupBy("term").agg(F.count(F.lit(1)).alias("df_term")).where(F.length("term") >= STEM))
+             .groupBy("term").agg(F.count(F.lit(1)).alias("df_term")).where(F.length("term") > 0))
     stem = F.substring("term", 1, STEM)
     wanted = pairs.select("term").distinct()
     counts = terms.join(wanted, "term", "left_semi").withColumn("stem", stem)
@@ -147,7 +166,7 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text") -> Dat
               .withColumn("n", F.lit(n)))
     whole = F.least(F.col("df_stem").cast("double"), F.col("n"))
     return (joined.where((F.col("df_entity") < F.col("n")) & (told(F.col("df_term")) >= known))
-            .select("entity", "term", F.when(told(whole) < known, F.lit(KINDS.index("generalise")))
+            .select("entity", "term", F.when((F.length("term") > STEM) & (told(whole) < known), F.lit(KINDS.index("generalise")))
                     .otherwise(F.lit(KINDS.index("remove"))).alias("kind")))
 
 
@@ -160,14 +179,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Per row: ``id, base, terms, k1, k2``; both lists hold ``start, kind, end, value``, sorted."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     df = base_spans(_with_keys(src, "id", "text"))
-    words = F.when(F.size("base") > 0, _context_words(F.col("text"), F.col("base")))
-    found = df.select("id", "k1", "k2", "base", words.alias("words")).checkpoint()
-    terms = (found.select("k1", "k2", F.explode("words").alias("w")).select("k1", "k2", "w.*")
-             .join(disclosing(found, src), ["entity", "term"])
-             .groupBy("k1", "k2", "start", "end").agg(F.max("kind").alias("kind"), F.first("term").alias("value"))
-             .groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value"))).alias("terms")))
+    found = df.select("id", "k1", "k2", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")).checkpoint()
+    held = found.where(F.size("base") > 0).dropDuplicates(["k1", "k2"])
+    told = (held.select("k1", "k2", F.explode(_names(F.col("base"))).alias("entity")).join(disclosing(found, held, src), "entity")
+            .groupBy("k1", "k2", "term").agg(F.max("kind").alias("kind"))
+            .groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("told")))
+    terms = held.join(told, ["k1", "k2"]).select("k1", "k2", _occurrences(F.col("told")).alias("terms"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>")
-    return (found.drop("words").join(terms, ["k1", "k2"], "left")
+    return (found.drop("text").join(terms, ["k1", "k2"], "left")
             .select("id", "base", F.coalesce("terms", none).alias("terms"), "k1", "k2"))
 
 

@@ -138,3 +138,11 @@ def test_terms_of_a_single_mention_are_judged(spark, rng):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: r.text for r in P.sanitise(d).where("doc_id in (5, 6)").collect()}
     assert got == {5: "alpha  [EMAIL] gamma", 6: "delta omega [PHONE]  alpha"}
+
+
+def test_terms_far_from_the_mention_and_short_ones(spark, rng):
+    far = " ".join(["alpha", "gamma"] * 60)
+    docs = [(i, " ".join(rng.choice(["alpha", "gamma", "delta", "omega"]) for _ in range(8))) for i in range(3000)]
+    docs[5] = (5, f"ford@guide.example {far} zarniwoop {far} Ix zarniwoop")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert P.sanitise(d).where("doc_id = 5").first().text == f"[EMAIL] {far}  {far}  "
