@@ -109,6 +109,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("all_spans")).alias("spans"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from tempora.llm import bpe
+    vocabulary = bpe.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded, ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    decoded, raw = bpe.decode(encoded.drop("text"), vocabulary, ids)
+    # the JSON form of a list of whole numbers, without its brackets, is the joined form
+    joined = F.regexp_replace(F.to_json(ids), r"[\[\]]", "")
+    return decoded.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
+                          F.sha2(raw, 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_toxicity": op2_toxicity,
@@ -120,6 +132,7 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
+    "op11_bpe": op11_bpe,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
