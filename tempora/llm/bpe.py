@@ -36,6 +36,7 @@ it lacks raise ``KeyError`` in decoding.
 from __future__ import annotations
 
 import base64
+import hashlib
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -48,9 +49,9 @@ from pyspark.sql import types as T
 
 from tempora.llm import bytewords as bw
 
-PIECES = 400_000
-PAIRS = 500_000
-TABLE_BITS = 19
+PIECES = 120_000
+PAIRS = 150_000
+TABLE_BITS = 18
 LONG = 64
 START = -2
 NEVER = 1 << 62
@@ -65,6 +66,12 @@ class Vocabulary:
     ranks: dict[bytes, int]
     pattern: str
     classes: np.ndarray = field(repr=False)
+    key: str = ""
+
+    def __post_init__(self):
+        """``key`` names the contents: workers keep one encoder for it, whatever copy they are sent."""
+        told = b"".join(b"%d %d " % (r, len(t)) + t for t, r in self.ranks.items())
+        self.key = hashlib.sha256(told + self.pattern.encode() + self.classes.tobytes()).hexdigest()
 
 
 def load(path: str) -> Vocabulary:
@@ -468,11 +475,11 @@ _WORKER: dict = {}
 
 def _encoder(shared) -> Encoder:
     """A worker's encoder; it outlives a task, so later tasks find its pieces."""
-    key = shared.value
-    if _WORKER.get("of") is not key:
+    vocabulary = shared.value
+    if vocabulary.key not in _WORKER:
         _WORKER.clear()
-        _WORKER.update(of=key, encoder=Encoder(key))
-    return _WORKER["encoder"]
+        _WORKER[vocabulary.key] = Encoder(vocabulary)
+    return _WORKER[vocabulary.key]
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", name: str = "ids") -> tuple[DataFrame, str]:
