@@ -121,6 +121,16 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.sha2(raw, 256).alias("decoded_sha256"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tempora.llm import ranked_search
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tempora.llm import whitening
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_toxicity": op2_toxicity,
@@ -133,6 +143,8 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
     "op11_bpe": op11_bpe,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_whitening": op13_whitening,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -171,6 +183,18 @@ k AS (SELECT t.doc_id, count(*) AS n_spans, sum(en - st) AS n_removed, max(en) A
 SELECT d.doc_id, length(hx) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
   sha256(unhex(coalesce(parts, '') || substr(hx, 2 * coalesce(last_, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)""",
+    "op12_ranked_search": rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all({_TEXT}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT count(*)::BIGINT AS big_n, sum(len(w))::BIGINT AS big_l FROM w WHERE len(w) > 0),
+t AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_TEXT}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+f AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS term FROM w) WHERE term IN (SELECT term FROM t) GROUP BY 1, 2),
+g AS (SELECT term, floor(1000 * ln((2 * big_n + 2) / (2 * df + 1)))::BIGINT AS weight
+  FROM (SELECT term, count(*)::BIGINT AS df FROM f GROUP BY term), c),
+m AS (SELECT doc_id, 100 - 90 + (90 * len(w)::BIGINT * big_n) // big_l AS m FROM w, c WHERE len(w) > 0),
+s AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM t JOIN f USING (term) JOIN g USING (term) JOIN m USING (doc_id) GROUP BY 1, 2),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10""",
     "op9_decontaminate": rf"""
 WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_TEXT}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bw AS (SELECT DISTINCT item, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS k
