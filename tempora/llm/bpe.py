@@ -53,6 +53,7 @@ PIECES = 120_000
 PAIRS = 150_000
 TABLE_BITS = 18
 LONG = 64
+BATCH_ROWS = 512
 START = -2
 NEVER = 1 << 62
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -499,15 +500,16 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", name
             values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             return [pa.ListArray.from_arrays(pa.array(np.concatenate(sizes), pa.int32()), pa.array(values, pa.int32()))]
         return run
-    return bw.append_columns(docs, text_col, [T.StructField(name, T.ArrayType(T.IntegerType()))], make), name
+    return bw.append_columns(docs, text_col, [T.StructField(name, T.ArrayType(T.IntegerType()))], make, BATCH_ROWS), name
 
 
 def decode(table: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", name: str = "bytes") -> tuple[DataFrame, str]:
     """All columns and the bytes that the ids stand for (null ids: none); returns (table, name)."""
-    shared, name = table.sparkSession.sparkContext.broadcast(vocabulary), bw.fresh(table, name)
+    tokens = sorted((r, t) for t, r in vocabulary.ranks.items())
+    shared, name = table.sparkSession.sparkContext.broadcast(tokens), bw.fresh(table, name)
 
     def make():
-        token = sorted((r, t) for t, r in shared.value.ranks.items())
+        token = shared.value
         rank = np.array([r for r, _ in token] + [-1])
         size = np.array([len(t) for _, t in token])
         first = np.cumsum(size) - size
@@ -523,7 +525,7 @@ def decode(table: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", name:
         def run(column):
             return [pa.array([some(ids) for ids in _lists(column)], pa.binary())]
         return run
-    return bw.append_columns(table, ids_col, [T.StructField(name, T.BinaryType())], make), name
+    return bw.append_columns(table, ids_col, [T.StructField(name, T.BinaryType())], make, BATCH_ROWS), name
 
 
 def _lists(column: pa.Array):

@@ -195,10 +195,11 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField],
-                   make: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
+                   make: Callable[[], Callable[[pa.Array], list]], rows: int | None = None) -> DataFrame:
     """Append columns computed from a text column, batch by batch, in place.
 
-    ``make`` builds the batch function once per task (a place for models).
+    ``make`` builds the batch function once per task (a place for models); ``rows``
+    cuts batches further, where the new columns are large against the text.
     The rows keep their partitions: there is no shuffle and no id is needed.
     """
     schema = T.StructType(df.schema.fields + fields)
@@ -207,7 +208,9 @@ def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField],
     def run(batches):
         f = make()
         for b in batches:
-            if b.num_rows:
-                cols = f(b.column(at))
-                yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=schema.names)
+            step = rows or max(1, b.num_rows)
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
+                cols = f(part.column(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=schema.names)
     return df.mapInArrow(run, schema)

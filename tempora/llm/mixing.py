@@ -10,7 +10,7 @@ The default budget is the smallest that shows every document at least once,
 so the least repeated source gets exactly one pass and nothing is dropped.
 
 Realisation.  A source's documents are dealt to blocks of about
-``BLOCK_TOKENS`` tokens by a hash of their id.  Each epoch permutes the blocks
+``BLOCK_TOKENS`` tokens by a hash of their id and text.  Each epoch permutes the blocks
 (by a hash of seed, epoch and block); whole epochs take all blocks, the last
 one takes blocks in that order until the source's budget is met, and only the
 block in which it ends is cut, by the documents' own permutation, to the
@@ -123,7 +123,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     df, tok = with_tokens(docs, text_col)
     # the caller's columns travel as one struct, so none of their names meets one used here
     df = df.select(F.struct(*[F.col(f"`{c}`") for c in taken]).alias("row"), F.col(f"`{id_col}`").alias("id"),
-                   F.col(f"`{source_col}`").alias("source"), F.col(tok).alias("n"))
+                   F.xxhash64(F.col(f"`{text_col}`")).alias("t"), F.col(f"`{source_col}`").alias("source"), F.col(tok).alias("n"))
     plan = weights(df.select("source", "n"), "source", "n", entropy, max_repeats, budget)
     passes = F.col("quota") / F.col("tokens")
     plan = (plan.withColumn("whole", F.floor(passes + 1e-9).cast("int"))
@@ -132,8 +132,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
             .withColumn("blocks", F.ceil(F.col("tokens") / F.lit(BLOCK_TOKENS)).cast("long"))
             .select(F.col("source").alias("src"), "tokens", "quota", "whole", "rest", "blocks").checkpoint())
     dealt = (df.join(plan.select("src", "blocks"), F.col("source").eqNullSafe(F.col("src")))
-             .select("row", "id", "src", "n", F.pmod(F.xxhash64(F.lit(seed), "id"), "blocks").alias("block"),
-                     F.xxhash64(F.lit(seed + 1), "id").alias("rank")))
+             .select("row", "id", "t", "src", "n", F.pmod(F.xxhash64(F.lit(seed), "id", "t"), "blocks").alias("block"),
+                     F.xxhash64(F.lit(seed + 1), "id", "t").alias("rank")))
     sizes = dealt.groupBy(F.col("src").alias("s"), F.col("block").alias("b")).agg(F.sum("n").alias("size"))
     epochs = F.sequence(F.lit(0), F.col("whole") - F.when(F.col("rest") > 0, 0).otherwise(1))
     order = Window.partitionBy("s", "e").orderBy(F.xxhash64(F.lit(seed), "e", "b"), "b").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,7 +146,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
              .select("s", "b", "e", "before", "size", "room", "quota", "tokens"))
     rows = dealt.join(turns, F.col("src").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     cut = F.col("room") < F.col("size")
-    inside = (Window.partitionBy("s", "b", "e").orderBy(F.xxhash64("rank", "e"), "id")
+    inside = (Window.partitionBy("s", "b", "e").orderBy(F.xxhash64("rank", "e"), "id", "t")
               .rowsBetween(Window.unboundedPreceding, -1))
     partly = (rows.where(cut).withColumn("ahead", F.coalesce(F.sum("n").over(inside), F.lit(0)))
               .where(F.col("ahead") + F.col("n") / 2 <= F.col("room")))

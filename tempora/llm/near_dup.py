@@ -24,18 +24,21 @@ as one shingle).  Two documents are linked when 100 * |A and B| >= 85 *
 
 Defined cases: null, empty and blank texts have an empty set, link with
 nothing and are kept; repeated rows and equal texts are one class; a row with
-a null id is grouped like any other but never names its group (its group's
-smallest id does; a class of null ids only has a null component and each row
-is kept, and ``drop_copies`` never drops a row with a null id); ties go to the smallest id; an empty table gives no rows; extra
+a null id is grouped and links like any other but never names its group (its group's
+smallest id does; a group of null ids only has a null component and ``groups`` marks each of its rows
+kept); ``drop_copies`` keeps exactly one row of every group, told apart by id and text, not by id
+alone: the smallest id's (null last; the smallest text hash of it, one of equal rows); ties go to the smallest id; an empty table gives no rows; extra
 columns are not read by ``groups`` and pass through ``drop_copies``.
 Links are decided on 64-bit hashes of all shingles.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.llm import bytewords as bw
@@ -43,13 +46,23 @@ from tempora.llm.components import connected_components
 
 WORDS = 5
 K = 32
-NEED = 14            # P(Binomial(32, 0.85) < 14) < 1e-9
+MISS = 1e-9
 SMALL = 96
 BLOCK_ROWS = 512
 BLOCK_HASHES = 1 << 18
 PERCENT = 85
 
 
+def need(percent: int, k: int = K) -> int:
+    """Values of k that sets of this similarity share, all but with probability ``MISS``."""
+    p, total = percent / 100, 0.0
+    for m in range(k + 1):
+        total += math.comb(k, m) * p ** m * (1 - p) ** (k - m)
+        if total >= MISS:
+            return m
+    return k
+
+
 def _sets(column: pa.Array):
     """Sorted distinct shingle hashes of every text of a batch."""
     for lo, hi, data, off in bw.runs(column):
@@ -75,7 +88,7 @@ def _key(s: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: ``id, n, c`` (set size, class key) and ``low``, its K smallest hashes."""
+    """Per row: ``id, t`` (a hash of the text), ``n, c`` (set size, class key) and ``low``, its K smallest hashes."""
     def rows(batches):
         for b in batches:
             n, keys, low = [], [], []
@@ -84,14 +97,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 keys.append(_key(s) if len(s) else None)
                 low.append(s[:K].astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(low, pa.list_(pa.int64()))],
-                names=["id", "n", "c", "low"])
-    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(rows, f"id {dict(docs.dtypes)[id_col]}, n long, c long, low array<long>"))
+                [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(low, pa.list_(pa.int64()))],
+                names=["id", "t", "n", "c", "low"])
+    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+            .mapInArrow(rows, f"id {dict(docs.dtypes)[id_col]}, t long, n long, c long, low array<long>"))
 
 
-def _full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """``c, hashes`` for the wanted classes, from one document of each (wanted: ``c, id``)."""
+def _full_sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """``c, hashes`` for the wanted classes, from one text of each (wanted: ``c, t``; other
+    texts of the same hash have other sets, hence other keys)."""
     def rows(batches):
         for b in batches:
             keys, sets = [], []
@@ -100,20 +114,20 @@ def _full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -
                     keys.append(c)
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["c", "hashes"])
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return d.join(wanted, "id").select("c", "text").mapInArrow(rows, "c long, hashes binary").dropDuplicates(["c"])
+    d = docs.select(F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    return d.join(wanted, "t").select("c", "text").mapInArrow(rows, "c long, hashes binary").dropDuplicates(["c"])
 
 
 def _similar(common, n_a, n_b, percent):
     return 100 * common >= percent * (n_a + n_b - common)
 
 
-def _estimate_ok(a: np.ndarray, b: np.ndarray) -> bool:
-    """Union sketch: shared values among the K smallest of both reach NEED of K."""
+def _estimate_ok(a: np.ndarray, b: np.ndarray, least: int) -> bool:
+    """Union sketch: shared values among the K smallest of both reach ``least`` of K."""
     a, b = a.astype(np.uint64), b.astype(np.uint64)
     both = np.union1d(a, b)[:K]
     shared = np.intersect1d(np.intersect1d(a, b, True), both, True)
-    return len(shared) * K >= NEED * min(K, len(both))
+    return len(shared) * K >= least * min(K, len(both))
 
 
 def _pairs(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -126,9 +140,11 @@ def _pairs(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     both = (pairs.join(s.select(F.col("c").alias("a"), F.col("low").alias("low_a")), "a")
             .join(s.select(F.col("c").alias("b"), F.col("low").alias("low_b")), "b").select("a", "b", "low_a", "low_b"))
 
+    least = need(percent)
+
     def keep(batches):
         for t in batches:
-            ok = [_estimate_ok(np.array(p), np.array(q))
+            ok = [_estimate_ok(np.array(p), np.array(q), least)
                   for p, q in zip(t.column(2).to_pylist(), t.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(t.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
     return both.mapInArrow(keep, "a long, b long")
@@ -201,13 +217,12 @@ def _block_pairs(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return spread.join(sets, "c").groupBy("v", "i", "j").applyInArrow(links, "a long, b long")
 
 
-def links(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
+def links(docs: DataFrame, items: DataFrame, text_col: str, percent: int = PERCENT) -> DataFrame:
     """Links ``a, b`` between class keys; ``items`` is the checkpointed ``sketches``.
 
     Every link is in the result or follows from others in it.
     """
-    classes = (items.where("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("low").alias("low"),
-                                                     F.min("id").alias("id")).where("id is not null"))
+    classes = (items.where("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("low").alias("low"), F.min("t").alias("t")))
     classes = classes.checkpoint()
     post = classes.select("c", "n", F.explode("low").alias("v"))
     lists = post.groupBy("v").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total")).where("df > 1")
@@ -216,8 +231,8 @@ def links(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, percent
     held = F.least(F.col("n"), F.lit(K))
     # (a set of at most K shingles is known whole; a linked one may keep up to n / 0.85 - K more unseen)
     unseen = F.greatest(F.floor(F.col("n") * 100 / percent) - K, F.lit(0))
-    need = F.when(F.col("n") <= K, F.ceil(F.col("n") * percent / 100) - unseen).otherwise(F.lit(NEED))
-    room = held - need + 1 - (held - F.size("found"))
+    least = F.when(F.col("n") <= K, F.ceil(F.col("n") * percent / 100) - unseen).otherwise(F.lit(need(percent)))
+    room = held - least + 1 - (held - F.size("found"))
     entries = (shared.groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v", "total"))).alias("found"))
                .withColumn("room", F.greatest(room, F.lit(0)).cast("int"))
                .where("room > 0")
@@ -228,17 +243,22 @@ def links(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, percent
     long = entries.where(F.col("df") > SMALL).select("v", "c", blocks.alias("blocks"))
     pairs = _pairs(short, classes, percent).checkpoint()
     wanted = (pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c")))
-              .unionByName(long.select("c")).distinct().join(classes.select("c", "id"), "c"))
-    sets = _full_sets(docs, id_col, text_col, wanted).checkpoint()
+              .unionByName(long.select("c")).distinct().join(classes.select("c", "t"), "c"))
+    sets = _full_sets(docs, text_col, wanted).checkpoint()
     return _verify(pairs, sets, percent).unionByName(_block_pairs(long, sets, percent))
 
 
+def _components(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(``sketches``; ``c, root`` of every class that has links)."""
+    items = sketches(docs, id_col, text_col).checkpoint()
+    found = connected_components(links(docs, items, text_col, percent), "a", "b")
+    return items, found.select(F.col("node").alias("c"), "root")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per document: ``id, n_shingles, component_id, kept``."""
-    items = sketches(docs, id_col, text_col).checkpoint()
-    found = connected_components(links(docs, items, id_col, text_col, percent), "a", "b")
+    items, found = _components(docs, id_col, text_col, percent)
     named = items.where("n > 0").groupBy("c").agg(F.min("id").alias("first_id"))
-    found = found.select(F.col("node").alias("c"), "root")
     least = found.join(named, "c").groupBy("root").agg(F.min("first_id").alias("least_id"))
     named = (named.join(found.join(least, "root").select("c", "least_id"), "c", "left")
              .select("c", F.coalesce("least_id", "first_id").alias("component")))
@@ -251,6 +271,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One document of each group stays, with all its columns."""
-    gone = groups(docs, id_col, text_col, percent).where("not kept").select(F.col(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each group stays, with all its columns; so do all texts without words."""
+    items, found = _components(docs, id_col, text_col, percent)
+    # rows by id and text; a group's keeper has the smallest id, null last, then the smallest text hash
+    rows = items.where("n > 0").groupBy("c", "id", "t").agg(F.count(F.lit(1)).alias("copies"))
+    rows = rows.join(found, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "t")
+    first = rows.groupBy("root").agg(F.min(order).alias("first"))
+    keeper = order.eqNullSafe(F.col("first"))
+    verdict = rows.join(first, "root").select(F.col("id").alias("_id"), F.col("t").alias("_t"), keeper.alias("_keeper"), "copies").checkpoint()
+    own = docs.withColumn("_hash", F.xxhash64(text_col))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_t"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    several = F.col("_keeper") & (F.col("copies") > 1)
+    rest = own.join(verdict.where(~F.col("_keeper") | several), same, "left_anti").select(*columns)
+    # equal rows of a keeper: one of them, by a hash of all columns
+    one = F.row_number().over(Window.partitionBy("_id", "_t").orderBy(F.xxhash64(*columns)))
+    return rest.unionByName(own.join(verdict.where(several), same).withColumn("_one", one).where(F.col("_one") == 1).select(*columns))

@@ -20,11 +20,12 @@ every occurrence of the term in the documents that hold the entity.
 Scale: one scan finds base spans; its result, with the text of the documents that
 have any, is written with ``checkpoint()``.  Word frequencies are one map-side combined aggregate
 over distinct words per document; entity and term counts shuffle only the
-words of documents with base spans; joins are on entity and term, whose rows are pre-aggregated.
+words of documents with base spans; joins are on entity and term together, so a common entity's
+rows spread over its terms, and a document's rows are its own words beside its own entities.
 
 Defined cases: null and empty texts have no spans; rows are told apart by a
 128-bit key of id and text, so null ids and repeated rows each get their own
-text's spans; document counts count distinct keys; spans of different kinds
+text's spans; counts of entities and pairs count distinct keys, those of terms and N count rows; spans of different kinds
 may overlap and are all listed, and ``sanitise`` masks the union, naming the
 first; an empty table gives no rows; extra columns pass through ``sanitise``.
 """
@@ -36,9 +37,7 @@ from pyspark.sql import functions as F
 
 from tempora.llm.bytewords import fresh
 
-REACH = 64     # as SUPPORT
 PRIOR = 1.0
-SUPPORT = 3    # bounds nothing here; the brute force of tests/llm/test_pii.py reads it
 SHARE = 0.9
 STEM = 3
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
@@ -144,11 +143,21 @@ def _occurrences(kinds: Column) -> Column:
     return F.aggregate(steps, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda acc: acc.out)
 
 
-def disclosing(found: DataFrame, held: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``entity, term, kind`` for the terms that disclose; ``held`` has ``base, text`` of each distinct document with spans."""
-    pairs = (held.select(_names(F.col("base")).alias("names"), _words().alias("words")).select(F.explode("names").alias("entity"), "words")
-             .select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_both")))
-    entities = held.select(F.explode(_names(F.col("base"))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
+def spoken(held: DataFrame) -> DataFrame:
+    """``k1, k2, names, words`` of each distinct document with spans: its entities and its words."""
+    return held.select("k1", "k2", _names(F.col("base")).alias("names"), _words().alias("words"))
+
+
+def _pairs(said: DataFrame) -> DataFrame:
+    """``k1, k2, entity, term``: every word of a document beside every entity of the same document."""
+    return (said.select("k1", "k2", F.explode("names").alias("entity"), "words")
+            .select("k1", "k2", "entity", F.explode("words").alias("term")))
+
+
+def disclosing(found: DataFrame, said: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``entity, term, kind`` for the terms that disclose; ``said`` is ``spoken`` of the documents with spans."""
+    pairs = _pairs(said).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_both"))
+    entities = said.select(F.explode("names").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
     terms = (docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), SEPARATOR))).alias("term"))
              .groupBy("term").agg(F.count(F.lit(1)).alias("df_term")).where(F.length("term") > 0))
     stem = F.substring("term", 1, STEM)
@@ -181,7 +190,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     df = base_spans(_with_keys(src, "id", "text"))
     found = df.select("id", "k1", "k2", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")).checkpoint()
     held = found.where(F.size("base") > 0).dropDuplicates(["k1", "k2"])
-    told = (held.select("k1", "k2", F.explode(_names(F.col("base"))).alias("entity")).join(disclosing(found, held, src), "entity")
+    said = spoken(held).checkpoint()
+    # a document meets only the terms that it holds itself, however many documents share an entity
+    told = (_pairs(said).join(disclosing(found, said, src), ["entity", "term"])
             .groupBy("k1", "k2", "term").agg(F.max("kind").alias("kind"))
             .groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("told")))
     terms = held.join(told, ["k1", "k2"]).select("k1", "k2", _occurrences(F.col("told")).alias("terms"))

@@ -1,7 +1,10 @@
 """Secret scans: a random forest that removes false positives.
 
 Candidates are runs of at least ``MIN_LENGTH`` token characters (letters,
-digits, ``_ + / -`` and closing ``=``) anywhere in a whole text.  Their
+digits, ``_ + / -`` and closing ``=``) anywhere in a whole text, and, from ``MIN_VALUE``
+characters on and with any punctuation inside, what is assigned (``=``, ``:``) to an announcing name or stands in
+quotes after ``=`` or ``:``; where two overlap, the longer one.  Short passwords are candidates
+like long keys; telling them from other values is the forest's work.  Their
 features: length and character make-up; the mean log-probability of the
 character transitions under a bigram model of the whole corpus; dictionary
 coverage, the share of the candidate's characters inside frequent corpus words
@@ -14,8 +17,8 @@ transition table and the 64-bit hashes of the frequent words, those that make
 up at least ``SHARE`` of all words of three to ten letters.  There are at most
 1 / SHARE of them at any corpus size, so a probe hits by chance with less than
 1 / (SHARE * 2**64).  Words are counted exactly, by an aggregate on their
-hashes.  In a small corpus a word needs ``FREQUENT`` occurrences as well: fewer
-say nothing about its share.  The trained trees, read
+hashes; shares are smoothed by ``FREQUENT`` / ``SHARE`` further words, so in a small corpus, where
+few occurrences say nothing about a share, a word needs some ``FREQUENT`` of them.  The trained trees, read
 back from the model's saved form, are a few thousand nodes; they are broadcast
 and scored where the documents lie, so the scan has no shuffle.
 
@@ -50,10 +53,14 @@ BATCH = 1 << 16
 TREES, DEPTH = 40, 8
 REACH = 48
 MASK = "[SECRET]"
+MIN_VALUE = 6
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/-]{%d,}={0,2}" % MIN_LENGTH)
 WORD = re.compile(r"\w+")
 # Words that announce a credential.
 ANNOUNCING = ("token", "key", "secret", "password", "passwd", "pwd", "api", "auth", "credential", "bearer")
+# What is assigned: a quoted value, or after an announcing name also a bare one.
+QUOTED = re.compile(r"""[=:]\s{0,8}(?:"([^"\s]{%d,})"|'([^'\s]{%d,})')""" % (MIN_VALUE, MIN_VALUE))
+NAMED = re.compile(r"""(?:%s)\w{0,40}["']?\s{0,8}[=:]\s{0,8}(?![\s"'])([^\s"',;)\]}>]{%d,})""" % ("|".join(ANNOUNCING), MIN_VALUE), re.IGNORECASE)
 # Parts of a path where sample values are common.
 SAMPLE_PATHS = ("test", "example", "sample", "doc", "fixture", "mock")
 HASHED = 16
@@ -102,7 +109,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> Statistics:
     counts = (docs.select(text_col).mapInArrow(count, "word boolean, k long, n long").groupBy("word", "k").agg(F.sum("n").alias("n"))
               .checkpoint())
     total = counts.where("word").agg(F.sum("n").alias("n")).first().n or 0
-    got = counts.where(~F.col("word") | (F.col("n") >= max(FREQUENT, SHARE * total))).toArrow()
+    got = counts.where(~F.col("word") | (F.col("n") >= SHARE * total + FREQUENT)).toArrow()
     word, k, n = (got[c].to_numpy() for c in ("word", "k", "n"))
     table = np.full(65536, 0.1)
     table[k[~word]] += n[~word]
@@ -179,15 +186,33 @@ class Forest:
         return total / len(self.trees)
 
 
+def spans(text: str) -> list[tuple[int, int]]:
+    """Start and end of every candidate of a text, in order and without overlaps."""
+    found = [m.span() for m in CANDIDATE.finditer(text)]
+    if "=" in text or ":" in text:
+        found += [m.span(1) if m.group(1) is not None else m.span(2) for m in QUOTED.finditer(text)]
+        found += [m.span(1) for m in NAMED.finditer(text)]
+        # the longer of two that overlap, the earlier of equals
+        kept: list[tuple[int, int]] = []
+        for a, b in sorted(set(found), key=lambda s: (s[0], -s[1])):
+            if kept and a < kept[-1][1]:
+                if b - a > kept[-1][1] - kept[-1][0]:
+                    kept[-1] = (a, b)
+                continue
+            kept.append((a, b))
+        found = kept
+    return found
+
+
 def _candidates(texts, paths, stats: Statistics, forest: Forest | None) -> list[list[dict]]:
     """The candidates of each text of a batch, with features and, given a forest, probability."""
     out = []
     for text, path in zip(texts, paths):
         text, path, found = text.as_py() or "", path.as_py(), []
-        for m in CANDIDATE.finditer(text):
-            before, after = text[max(0, m.start() - REACH):m.start()], text[m.end():m.end() + REACH]
-            found.append({"start": m.start(), "length": m.end() - m.start(), "candidate": m[0], "before": before,
-                          "after": after, "features": features(m[0], before, after, path, stats), "probability": None})
+        for start, end in spans(text):
+            before, after, value = text[max(0, start - REACH):start], text[end:end + REACH], text[start:end]
+            found.append({"start": start, "length": end - start, "candidate": value, "before": before,
+                          "after": after, "features": features(value, before, after, path, stats), "probability": None})
         out.append(found)
     flat = [c for found in out for c in found]
     if forest is not None and flat:

@@ -111,6 +111,32 @@ def with_pvalue(st: DataFrame, exact_cells: int = EXACT_CELLS) -> DataFrame:
     return st.withColumn("p_value", F.when(small, exact).otherwise(ks_pvalue_asymptotic(n, m, k)))
 
 
+def running_counts(df: DataFrame, keys, value: str, flag: str) -> DataFrame:
+    """Append, per row, how many flagged rows of its ``keys`` have a value at most (``n_le``) and
+    below (``n_lt``) its own, and how many there are (``n_all``).
+
+    Rows are cut into ranges of (keys, value) over the cluster, each counted by itself;
+    a range starts from the flagged rows of the ranges before it, which one
+    small table of (range, keys) counts gives.  No key has to fit in one task.
+    """
+    part, keys = "_range", list(keys)
+    ranged = (df.repartitionByRange(*keys, value).withColumn(part, F.spark_partition_id())).checkpoint()
+    sizes = ranged.groupBy(part, *keys).agg(F.count_if(F.col(flag)).alias("_here"))
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select(F.col(part).alias("_p"), *[F.col(k).alias(f"_k_{k}") for k in keys], F.coalesce(F.sum("_here").over(before), F.lit(0)).alias("_first"),
+                         F.sum("_here").over(Window.partitionBy(*keys)).alias("n_all"))
+    same = F.col(part) == F.col("_p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    one = F.when(F.col(flag), 1).otherwise(0)
+    at = Window.partitionBy(part, *keys).orderBy(value)
+    equal = Window.partitionBy(part, *keys, value)
+    counted = (ranged.withColumn("n_le", F.sum(one).over(at.rangeBetween(Window.unboundedPreceding, 0)))
+                     .withColumn("n_lt", F.col("n_le") - F.sum(one).over(equal)))
+    return (counted.join(first, same).withColumns({"n_le": F.col("n_le") + F.col("_first"), "n_lt": F.col("n_lt") + F.col("_first")})
+                   .drop(part, "_p", "_first", *[f"_k_{k}" for k in keys]))
+
+
 def ks_drift(flagged: DataFrame, keys, columns, alpha: float = KS_ALPHA,
              min_drifted: int = MIN_DRIFTED, group=("series_id",)) -> tuple[DataFrame, DataFrame]:
     """Per-column KS tests between the rows ``in_base`` and ``in_recent`` of one wide

@@ -5,8 +5,8 @@
 Every metric is a single-pass grouped aggregate (partial aggregation runs
 map-side; the group count is models x splits x horizons), so a group that
 holds a third of all rows costs no more than any other.  Quantiles use
-:func:`exact_quantiles`, which counts equal values first and sorts only the
-bins that hold a wanted rank.
+:func:`exact_quantiles`, which counts equal values first, narrows the range of
+each wanted rank by counting, and sorts only small ranges.
 """
 
 from __future__ import annotations
@@ -100,26 +100,32 @@ def compare_models(macros: DataFrame, per_h: DataFrame, base: str, tuned: str,
     """Improvement % of ``tuned`` over ``base`` for the four macros
     (sign not flipped for R^2, as in the reference) and per-horizon RMSE, plus
     the recommendation from the mean improvement (>2 use, >0 consider, else base)."""
-    m = macros.where(F.col(SPLIT) == split)
+    m = macros.where((F.col(SPLIT) == split) & F.col(MODEL).isin(base, tuned))
     long = m.selectExpr(MODEL, "stack(4, 'rmse_macro', rmse_macro, 'mae_macro', mae_macro, "
                                "'mape_macro', mape_macro, 'r2_macro', r2_macro) as (metric, value)")
-    b = long.where(F.col(MODEL) == base).select("metric", F.col("value").alias("base_value"))
-    t = long.where(F.col(MODEL) == tuned).select("metric", F.col("value").alias("tuned_value"))
-    cmp = b.join(t, "metric").withColumn("improvement_pct", improvement(F.col("base_value"), F.col("tuned_value")))
+
+    def side(model, name):
+        return F.max(F.when(F.col(MODEL) == model, F.col("value"))).alias(name)
+    both = F.count_if(F.col(MODEL) == base) * F.count_if(F.col(MODEL) == tuned) > 0
+    cmp = (long.groupBy("metric").agg(side(base, "base_value"), side(tuned, "tuned_value"), both.alias("_both")).where("_both").drop("_both")
+               .withColumn("improvement_pct", improvement(F.col("base_value"), F.col("tuned_value"))))
     cmp = cmp.withColumn("better", F.when(F.col("metric") == "r2_macro", F.col("tuned_value") > F.col("base_value"))
                                     .otherwise(F.col("tuned_value") < F.col("base_value")))
-    avg_imp = cmp.agg(F.avg("improvement_pct").alias("mean_improvement_pct"))
-    rec = avg_imp.withColumn("recommendation",
-                             F.when(F.col("mean_improvement_pct") > 2, "use_tuned")
-                              .when(F.col("mean_improvement_pct") > 0, "consider_tuned")
-                              .otherwise("base_sufficient"))
-    ph = per_h.where(F.col(SPLIT) == split)
-    hb = ph.where(F.col(MODEL) == base).select(HORIZON, F.col("rmse").alias("base_rmse"))
-    ht = ph.where(F.col(MODEL) == tuned).select(HORIZON, F.col("rmse").alias("tuned_rmse"))
-    hcmp = hb.join(ht, HORIZON).withColumn("improvement_pct", improvement(F.col("base_rmse"), F.col("tuned_rmse")))
+    rec = recommended(cmp).select("mean_improvement_pct", "recommendation").distinct()
+    ph = per_h.where((F.col(SPLIT) == split) & F.col(MODEL).isin(base, tuned)).withColumn("value", F.col("rmse"))
+    hcmp = (ph.groupBy(HORIZON).agg(side(base, "base_rmse"), side(tuned, "tuned_rmse"), both.alias("_both")).where("_both").drop("_both")
+              .withColumn("improvement_pct", improvement(F.col("base_rmse"), F.col("tuned_rmse"))))
     return cmp, hcmp, rec
 
 
+def recommended(cmp: DataFrame) -> DataFrame:
+    """The comparison's rows (four) with the mean improvement and the recommendation."""
+    mean = F.avg("improvement_pct").over(Window.partitionBy(F.lit(0)))
+    return cmp.withColumn("mean_improvement_pct", mean).withColumn(
+        "recommendation", F.when(F.col("mean_improvement_pct") > 2, "use_tuned")
+                           .when(F.col("mean_improvement_pct") > 0, "consider_tuned").otherwise("base_sufficient"))
+
+
 def train_test_gap(macros: DataFrame) -> DataFrame:
     """Test - train difference of RMSE/MAE/R^2 macros, ``overfit_flag`` when
     |diff| > 0.5, and the RMSE verdict (>0.5 overfit, < -0.2 unusual, else good)."""
@@ -152,6 +158,10 @@ def monthly_residuals(pred: DataFrame, horizon: int = 1, by=(MODEL,)) -> DataFra
 
 
 QUANTILE_BINS = 1024
+# Distinct values that one bin may still hold when it is sorted.
+SORTED_VALUES = 2048
+# Rows of (group, rank) targets that are broadcast; more are joined by key.
+BROADCAST_TARGETS = 50_000
 
 
 def _same(left: list[str], right: list[str]) -> Column:
@@ -166,46 +176,43 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs, names=None) -> DataF
     """Exact quantiles with linear interpolation (numpy ``percentile`` /
     DuckDB ``quantile_cont``) per group; NULL values are left out.
 
-    1. Equal values are counted first (combined map-side): a value that fills a
-       group is one row from here on.
-    2. Each group's range is cut into ``QUANTILE_BINS`` equal bins; the running
-       counts of the bins say in which bin each wanted rank lies.
-    3. Only the distinct values of those bins are sorted, bin by bin.
-
-    The counts are the only pass over the input; both later steps read them
-    again from the same shuffle.
+    1. Equal values are counted (combined map-side) and the counts written
+       once: the only read of the input, and a value that fills a group is one
+       row from here on.
+    2. Every wanted rank starts with its group's whole range.  While a range holds
+       more than ``SORTED_VALUES`` distinct values it is cut into ``QUANTILE_BINS``
+       bins between its own least and greatest value, and the running counts
+       say which bin holds the rank; that bin, from its least to its greatest
+       value, is the next range.  Whatever the distribution, outliers included, each cut
+       parts the least value from the greatest, so ranges end up small.
+    3. Only those ranges' values are sorted, range by range.
     """
     keys = list(keys)
     names = names or [f"q{int(round(p * 100)):02d}" for p in probs]
-    gk, bk = [f"_g_{k}" for k in keys], [f"_b_{k}" for k in keys]
+    gk = [f"_g_{k}" for k in keys]
     v = F.col(value).cast("double")
     counts = (df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull())
-                .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    group = (counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
-                   .select(*[F.col(k).alias(g) for k, g in zip(keys, gk)], "_n", "_mn", "_mx"))
-    step = (F.col("_mx") - F.col("_mn")) / QUANTILE_BINS
-    # a range without a finite step (one value, infinities) is one bin
-    bin_ = F.when((step > 0) & (step < float("inf")),
-                  F.least(F.floor((F.col("_v") - F.col("_mn")) / step), F.lit(QUANTILE_BINS - 1))).otherwise(F.lit(0)).cast("long")
-    binned = counts.join(group, _same(keys, gk)).withColumn("_bin", bin_)
-    bins = binned.groupBy(*gk, "_n", "_bin").agg(F.sum("_c").alias("_bc"))
-    wb = Window.partitionBy(*gk).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("_before", F.coalesce(F.sum("_bc").over(wb), F.lit(0)))
+                .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))).checkpoint()
+    group = counts.groupBy(*[F.col(k).alias(g) for k, g in zip(keys, gk)]).agg(
+        F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     ranks = []
     for p, nm in zip(probs, names):
         pos = (F.col("_n") - 1) * F.lit(float(p))
         for side, r in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
             ranks.append(F.struct(F.lit(nm).alias("q"), F.lit(side).alias("side"), r.cast("long").alias("rank"),
                                   (pos - F.floor(pos)).alias("frac")))
-    inside = F.filter(F.array(*ranks), lambda r: (r.rank >= F.col("_before")) & (r.rank < F.col("_before") + F.col("_bc")))
-    targets = (bins.withColumn("_want", inside).where(F.size("_want") > 0)
-                   .select(*[F.col(g).alias(b) for g, b in zip(gk, bk)], F.col("_bin").alias("_tbin"), "_before", "_want"))
-    near = binned.join(targets, _same(gk, bk) & (F.col("_bin") == F.col("_tbin")))
-    wv = Window.partitionBy(*gk, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    targets = (group.where(F.col("_n") > 0).select(*gk, "_lo", "_hi", F.lit(0).cast("long").alias("_before"), "_d", F.explode(F.array(*ranks)).alias("w"))
+                    .checkpoint())
+    rows = targets.count()
+    while (targets.agg(F.max("_d")).first()[0] or 0) > SORTED_VALUES:
+        targets = _refined(counts, targets, keys, gk, rows).checkpoint()
+    near = _inside(counts, targets.select(*gk, "_lo", "_hi", "_before").distinct(), keys, gk, rows)
+    wv = Window.partitionBy(*gk, "_lo").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     near = near.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_c").over(wv), F.lit(0)))
-    hits = (near.select(*keys, "_v", "_at", "_c", F.explode("_want").alias("w"))
-                .where((F.col("w.rank") >= F.col("_at")) & (F.col("w.rank") < F.col("_at") + F.col("_c"))))
-    agg = (hits.groupBy(*keys, F.col("w.q").alias("q"))
+    spans = near.select(*[F.col(g).alias(f"{g}_") for g in gk], F.col("_lo").alias("_lo_"), "_v", "_at", "_c")
+    hits = targets.join(spans, _same([*gk, "_lo"], [*[f"{g}_" for g in gk], "_lo_"])
+                        & (F.col("w.rank") >= F.col("_at")) & (F.col("w.rank") < F.col("_at") + F.col("_c")))
+    agg = (hits.groupBy(*[F.col(g).alias(k) for k, g in zip(keys, gk)], F.col("w.q").alias("q"))
                .agg(F.max(F.when(F.col("w.side") == "lo", F.col("_v"))).alias("vlo"),
                     F.max(F.when(F.col("w.side") == "hi", F.col("_v"))).alias("vhi"),
                     F.first("w.frac").alias("frac")))
@@ -213,6 +220,34 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs, names=None) -> DataF
     return agg.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == nm, val)).alias(nm) for nm in names])
 
 
+def _inside(counts: DataFrame, ranges: DataFrame, keys, gk, rows: int) -> DataFrame:
+    """The counted values within the ranges of their group; few ranges are broadcast."""
+    return counts.join(F.broadcast(ranges) if rows <= BROADCAST_TARGETS else ranges,
+                       _same(list(keys), gk) & F.col("_v").between(F.col("_lo"), F.col("_hi")))
+
+
+def _refined(counts: DataFrame, targets: DataFrame, keys, gk, rows: int) -> DataFrame:
+    """Targets whose range is still too full, each with the bin of it that holds the rank."""
+    full = F.col("_d") > SORTED_VALUES
+    ranges = targets.where(full).select(*gk, "_lo", "_hi", "_before").distinct()
+    # halves keep the width of any two finite values finite; an infinite end is a bin of its own
+    width = F.col("_hi") / 2 - F.col("_lo") / 2
+    place = (F.col("_v") / 2 - F.col("_lo") / 2) / width * QUANTILE_BINS
+    inner = F.least(F.greatest(F.floor(place), F.lit(0)), F.lit(QUANTILE_BINS - 1)).cast("long")
+    infinite = (F.abs(F.col("_lo")) == float("inf")) | (F.abs(F.col("_hi")) == float("inf"))
+    bin_ = (F.when(F.col("_v") == F.col("_lo"), F.lit(-1)).when(F.col("_v") == F.col("_hi"), F.lit(QUANTILE_BINS))
+             .when(infinite | (width <= 0), F.lit(0)).otherwise(inner))
+    bins = (_inside(counts, ranges, keys, gk, rows).groupBy(*gk, F.col("_lo").alias("_olo"), "_before", bin_.cast("long").alias("_bin"))
+            .agg(F.sum("_c").alias("_bc"), F.count(F.lit(1)).alias("_bd"), F.min("_v").alias("_blo"), F.max("_v").alias("_bhi")))
+    w = Window.partitionBy(*gk, "_olo").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_bc").over(w), F.lit(0)))
+    bins = bins.select(*[F.col(g).alias(f"{g}_") for g in gk], "_olo", "_at", "_bc", "_bd", "_blo", "_bhi")
+    hit = (targets.where(full).join(bins, _same([*gk, "_lo"], [*[f"{g}_" for g in gk], "_olo"])
+                                    & (F.col("w.rank") >= F.col("_at")) & (F.col("w.rank") < F.col("_at") + F.col("_bc")))
+           .select(*gk, F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"), F.col("_at").alias("_before"), F.col("_bd").alias("_d"), "w"))
+    return targets.where(~full).unionByName(hit)
+
+
 def monthly_box(pred: DataFrame, horizon: int = 1, by=(MODEL,)) -> DataFrame:
     """Five-number summary of horizon-1 residuals per month."""
     r = residuals(pred).where(F.col(HORIZON) == horizon).withColumn("month", F.month("ts"))

@@ -1,8 +1,9 @@
 """Fit/transform preprocessing.
 
 Fitting runs distributed jobs whose results are small and bounded by the
-column count (medians, means, stds, modes) or by ``max_features`` (the
-TF-IDF vocabulary); ``transform`` is pure built-in expressions, so the
+column count (medians, means, stds, modes), by ``max_features`` (the
+TF-IDF vocabulary) or by ``MAX_LITERAL_CATEGORIES``; the categories of a wider
+column stay a table, numbered without a driver collect and joined by value.  ``transform`` is pure built-in expressions, so the
 scoring path stays inside whole-stage codegen.  Library defaults that differ
 from the reference's are handled explicitly:
 
@@ -18,8 +19,9 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tempora.operators.drift import unpivot
 from tempora.operators.metrics import exact_quantiles
+from tempora.session import checkpoint_dir
 
 # Fixed values that must equal the reference.
 TEXT_MISSING = "missing"
@@ -34,58 +37,117 @@ TEXT_MAX_FEATURES = 100
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"     # sklearn (?u)\b\w\w+\b
 NGRAM_RANGE = (1, 2)
 TEXT_VECTOR = "txt"
+# Categories a column may have as literals of an expression; beyond, they stay a table.
+MAX_LITERAL_CATEGORIES = 256
 
 
 # ------------------------------------------------------------------ statistics
+#
+# Each statistic is fitted for every value of a ``by`` column in one job: the
+# folds of a cross-validation and the whole training table are fitted together.
 
-def fit_medians(df: DataFrame, columns) -> dict:
-    """Exact medians of numeric columns (one distributed job)."""
-    if not columns:
-        return {}
-    long = unpivot(df, [], columns, name="column_name")
-    q = exact_quantiles(long, ["column_name"], "value", [0.5], ["median"])
-    got = {r["column_name"]: r["median"] for r in q.collect()}
-    return {c: got.get(c) for c in columns}
+ONE = "_one_fit"
+
+
+def _of_one(df: DataFrame, fit, *args, **kw):
+    """A statistic of the whole table."""
+    return fit(df.withColumn(ONE, F.lit(0)), *args, by=ONE, **kw).get(0)
+
+
+def _per_fit(by: str, values: dict, kind: str) -> Column:
+    """The value of the row's fit; NULL for a fit without one."""
+    known = [x for f, v in values.items() if v is not None for x in (F.lit(f), F.lit(v).cast(kind))]
+    return F.try_element_at(F.create_map(*known), F.col(by)) if known else F.lit(None).cast(kind)
 
 
-def fit_scaling(df: DataFrame, columns, medians: dict) -> tuple[dict, dict]:
-    """Mean and population std of the median-imputed columns."""
+def fit_medians(df: DataFrame, columns, by: str | None = None) -> dict:
+    """Exact medians of numeric columns (``by``: ``{fit: {column: median}}``)."""
+    if by is None:
+        return (_of_one(df, fit_medians, columns) or dict.fromkeys(columns)) if columns else {}
+    out: dict = {}
+    if columns:
+        long = unpivot(df, [by], columns, name="column_name")
+        q = exact_quantiles(long, [by, "column_name"], "value", [0.5], ["median"])
+        for r in q.collect():                       # one row per fit and column
+            out.setdefault(r[by], {})[r["column_name"]] = r["median"]
+    return {f: {c: got.get(c) for c in columns} for f, got in out.items()}
+
+
+def fit_scaling(df: DataFrame, columns, medians: dict, by: str | None = None):
+    """Mean and population std of the median-imputed columns: ``(means, stds)``, or per fit such a pair."""
+    if by is None:
+        return (_of_one(df, fit_scaling, columns, {0: medians}) or ({}, {})) if columns else ({}, {})
     if not columns:
-        return {}, {}
-    imp = [F.coalesce(F.col(c).cast("double"), F.lit(medians.get(c))) for c in columns]
+        return {}
     aggs = []
-    for c, e in zip(columns, imp):
+    for c in columns:
+        e = F.coalesce(F.col(c).cast("double"), _per_fit(by, {f: m.get(c) for f, m in medians.items()}, "double"))
         aggs += [F.avg(e).alias(f"m__{c}"), F.stddev_pop(e).alias(f"s__{c}")]
-    r = df.agg(*aggs).first()
-    return {c: r[f"m__{c}"] for c in columns}, {c: r[f"s__{c}"] for c in columns}
+    return {r[by]: ({c: r[f"m__{c}"] for c in columns}, {c: r[f"s__{c}"] for c in columns})
+            for r in df.groupBy(by).agg(*aggs).collect()}
 
 
-def fit_modes(df: DataFrame, columns) -> dict:
-    """Most frequent value per categorical column (ties -> smallest)."""
-    if not columns:
-        return {}
-    entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
-                        for c in columns])
-    long = df.select(F.explode(entries).alias("e")).select("e.*").where(F.col("value").isNotNull())
-    cnt = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
-    top = cnt.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
-    return {r["column_name"]: r["value"] for r in top.collect()}
+def _long_text(df: DataFrame, columns, by: str, fill=None) -> DataFrame:
+    """``by, column_name, value`` of text columns, NULL filled by ``fill(column)`` or left out."""
+    def value(c):
+        v = F.col(c).cast("string")
+        return v if fill is None else F.coalesce(v, fill(c))
+    entries = F.array(*[F.struct(F.lit(c).alias("column_name"), value(c).alias("value")) for c in columns])
+    return df.select(by, F.explode(entries).alias("e")).select(by, "e.*").where(F.col("value").isNotNull())
 
 
-def fit_categories(df: DataFrame, columns, modes: dict) -> dict:
-    """T4: sorted category list per column, after mode imputation."""
+def fit_modes(df: DataFrame, columns, by: str | None = None) -> dict:
+    """Most frequent value per categorical column (ties -> smallest)."""
+    if by is None:
+        return (_of_one(df, fit_modes, columns) or {}) if columns else {}
+    out: dict = {}
+    if columns:
+        cnt = _long_text(df, columns, by).groupBy(by, "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+        # the least (-n, value) of a column is an aggregate, combined map-side
+        top = cnt.groupBy(by, "column_name").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("m"))
+        for r in top.collect():
+            out.setdefault(r[by], {})[r["column_name"]] = r["m"]["value"]
+    return out
+
+
+def distinct_categories(df: DataFrame, columns, modes: dict, by: str) -> DataFrame:
+    """T4: ``by, column_name, value`` of every category after mode imputation."""
+    return _long_text(df, columns, by, lambda c: _per_fit(by, {f: m.get(c) for f, m in modes.items()}, "string")).distinct()
+
+
+def fit_categories(df: DataFrame, columns, modes: dict, by: str | None = None, most: int | None = None) -> dict:
+    """T4: sorted category list per column, after mode imputation.
+
+    Columns with more than ``most`` categories (None: any number) are left out;
+    they are not brought to the driver (``category_index`` holds them)."""
+    if by is None:
+        return (_of_one(df, fit_categories, columns, {0: modes}, most=most) or {c: [] for c in columns}) if columns else {}
     if not columns:
         return {}
-    entries = F.array(*[F.struct(F.lit(c).alias("column_name"),
-                                 F.coalesce(F.col(c).cast("string"), F.lit(modes.get(c))).alias("value"))
-                        for c in columns])
-    d = (df.select(F.explode(entries).alias("e")).select("e.*").where(F.col("value").isNotNull())
-           .distinct())
-    out = {c: [] for c in columns}
-    for r in d.collect():
-        out[r["column_name"]].append(r["value"])
-    return {c: sorted(v) for c, v in out.items()}
+    found = distinct_categories(df, columns, modes, by)
+    if most is not None:
+        found = found.checkpoint()
+        small = found.groupBy(by, "column_name").count().where(F.col("count") <= most)
+        found = found.join(small, [by, "column_name"], "left_semi")
+    out: dict = {}
+    for r in found.collect():
+        out.setdefault(r[by], {}).setdefault(r["column_name"], []).append(r["value"])
+    return {f: {c: sorted(v) for c, v in got.items()} if most is not None else {c: sorted(got.get(c, [])) for c in columns}
+            for f, got in out.items()}
+
+
+def category_index(values: DataFrame, value: str = "value", index: str = "index") -> DataFrame:
+    """``value, index``: distinct values numbered from 0 in sorted order.
+
+    Ranges of values are sorted apart; a range's first number is the count of the rows before it,
+    from one small table of the ranges' sizes."""
+    part = "_part"
+    ranged = (values.select(F.col(value).alias(value)).distinct().repartitionByRange(value).sortWithinPartitions(value)
+              .withColumn("_id", F.monotonically_increasing_id()).checkpoint())
+    ranged = ranged.withColumn(part, F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1))
+    sizes = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    first = sizes.select(F.col(part).alias("_p"), (F.sum("_n").over(Window.orderBy(part)) - F.col("_n")).alias("_first"))
+    return ranged.join(first, F.col(part) == F.col("_p")).select(value, (F.col("_first") + F.col("_at")).alias(index))
 
 
 def split_tokens(text: Column) -> Column:
@@ -109,16 +171,34 @@ def with_terms(df: DataFrame, text_col: str, into: str) -> DataFrame:
     return df.withColumn(toks, split_tokens(txt)).withColumn(into, with_bigrams(F.col(toks))).drop(toks)
 
 
-def fit_vocabulary(terms: DataFrame, col: str, n_docs: int, max_features: int = TEXT_MAX_FEATURES) -> list[tuple[str, float]]:
+def fit_vocabulary(terms: DataFrame, col: str, n_docs, max_features: int = TEXT_MAX_FEATURES, by: str | None = None):
     """Top ``max_features`` terms by corpus count (ties by term) with smooth idf,
-    sorted by term.  ``terms`` has one term array per row; counts and document
-    counts come from one aggregate by term, combined map-side: a document
-    never leaves its row."""
-    both = F.concat(F.transform(col, lambda t: F.struct(t.alias("term"), F.lit(1).alias("cf"), F.lit(0).alias("df"))),
-                    F.transform(F.array_distinct(col), lambda t: F.struct(t.alias("term"), F.lit(0).alias("cf"), F.lit(1).alias("df"))))
-    agg = (terms.select(F.explode(both).alias("e")).groupBy("e.term").agg(F.sum("e.cf").alias("cf"), F.sum("e.df").alias("df")))
-    top = agg.orderBy(F.desc("cf"), F.asc("term")).limit(max_features).collect()     # at most max_features rows
-    return sorted((r["term"], math.log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0) for r in top)
+    sorted by term.  ``terms`` has one term array per row and is read twice: the
+    corpus counts of all terms, combined map-side, give the vocabulary; documents are
+    counted for its terms alone, by an intersection within the row.  ``by``: per
+    fit, with ``n_docs`` per fit."""
+    if by is None:
+        return _of_one(terms, fit_vocabulary, col, {0: n_docs}, max_features) or []
+    counts = terms.select(by, F.explode(col).alias("term")).groupBy(by, "term").agg(F.count(F.lit(1)).alias("cf"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("cf"), F.asc("term")))
+    vocab: dict = {}
+    for r in counts.withColumn("_r", rank).where(F.col("_r") <= max_features).select(by, "term").collect():
+        vocab.setdefault(r[by], []).append(r["term"])           # at most max_features a fit
+    if not vocab:
+        return {}
+    own = F.lit(None).cast("array<string>")
+    for f, t in vocab.items():
+        own = F.when(F.col(by) == f, F.array(*[F.lit(x) for x in t])).otherwise(own)
+    holds = terms.select(by, F.explode(F.array_intersect(own, F.col(col))).alias("term"))
+    df = {(r[by], r["term"]): r["df"] for r in holds.groupBy(by, "term").agg(F.count(F.lit(1)).alias("df")).collect()}
+    return {f: sorted((x, math.log((1.0 + n_docs[f]) / (1.0 + df[f, x])) + 1.0) for x in t) for f, t in vocab.items()}
+
+
+def dealt_terms(df: DataFrame, text_col: str, keep=(), into: str = "_terms") -> DataFrame:
+    """Term arrays of a text column, dealt over the cluster and written once for every pass that reads them."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.select(*keep, F.col(text_col).alias("_text")).repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism))
+    return with_terms(spread, "_text", into).drop("_text").checkpoint()
 
 
 def tfidf_vector(terms: DataFrame, col: str, vocab: list[tuple[str, float]], into: str) -> DataFrame:
@@ -136,9 +216,9 @@ def tfidf_table(df: DataFrame, id_col: str, text_col: str, max_features: int = T
     per row, fitted on ``fit_df`` (else on ``df``).  The vocabulary is bounded by
     ``max_features``; weights are computed in the row, so no (row, term)
     table is shuffled."""
-    source = df if fit_df is None else fit_df
-    vocab = fit_vocabulary(with_terms(source.select(text_col), text_col, "_terms"), "_terms", source.count(), max_features)
-    rows = with_terms(df.select(F.col(id_col).alias("_id"), text_col), text_col, "_terms").select("_id", "_terms")
+    rows = dealt_terms(df, text_col, [F.col(id_col).alias("_id")])
+    source = rows if fit_df is None else dealt_terms(fit_df, text_col)
+    vocab = fit_vocabulary(source, "_terms", source.count(), max_features)
     if not vocab:
         return rows.select(F.col("_id").alias(id_col), F.lit("").alias("term"), F.lit(0.0).alias("tfidf")).limit(0)
     names = F.array(*[F.lit(t) for t, _ in vocab])
@@ -161,21 +241,43 @@ class Preprocessor:
         self.output_col = output_col
 
     def fit(self, df: DataFrame) -> "PreprocessorModel":
-        med = fit_medians(df, self.numeric)
+        return self.fit_many(df.withColumn(ONE, F.lit(0)), ONE).get(0) or self._model(0, {}, {}, {}, {}, {}, {})
+
+    def fit_many(self, df: DataFrame, by: str) -> dict:
+        """One model per value of ``by``, each fitted on its rows, all in the same jobs."""
+        med = fit_medians(df, self.numeric, by)
+        scale = fit_scaling(df, self.numeric, med, by)
+        modes = fit_modes(df, self.categorical, by)
+        cats = fit_categories(df, self.categorical, modes, by, most=MAX_LITERAL_CATEGORIES)
+        sizes = {r[by]: r["count"] for r in df.groupBy(by).count().collect()}
+        vocab = {}
+        if self.text:
+            vocab = fit_vocabulary(dealt_terms(df, self.text[0], [by]), "_terms", sizes, self.max_features, by)
+        tables = {f: self._wide(df.where(F.col(by) == f), modes.get(f, {}), cats.get(f, {})) for f in sizes}
+        return {f: self._model(f, med, scale, modes, cats, vocab, tables) for f in sizes}
+
+    def _wide(self, df: DataFrame, modes: dict, cats: dict) -> dict:
+        """Index tables of the columns with too many categories for literals: ``{column: (path, size)}``."""
+        out = {}
+        for c in self.categorical:
+            if c not in cats and modes.get(c) is not None:
+                values = df.select(F.coalesce(F.col(c).cast("string"), F.lit(modes[c])).alias("value"))
+                path = f"{checkpoint_dir(df.sparkSession)}/categories-{uuid.uuid4().hex}"
+                category_index(values).write.parquet(path)
+                out[c] = [path, df.sparkSession.read.parquet(path).count()]
+        return out
+
+    def _model(self, f, med, scale, modes, cats, vocab, tables) -> "PreprocessorModel":
         # columns with no value in the training rows are dropped, like the
         # reference's median imputer does
+        med, (mean, std) = med.get(f, {}), scale.get(f, ({}, {}))
         numeric = [c for c in self.numeric if med.get(c) is not None]
-        med = {c: med[c] for c in numeric}
-        mean, std = fit_scaling(df, numeric, med)
-        modes = fit_modes(df, self.categorical)
-        cats = fit_categories(df, self.categorical, modes)
-        vocab = []
-        if self.text:
-            vocab = fit_vocabulary(with_terms(df.select(self.text[0]), self.text[0], "_terms"), "_terms", df.count(),
-                                   self.max_features)
-        return PreprocessorModel(dict(numeric=numeric, categorical=self.categorical, text=self.text,
-                                      medians=med, means=mean, stds=std, modes=modes, categories=cats,
-                                      vocab=vocab, output_col=self.output_col))
+        got, wide = cats.get(f, {}), tables.get(f, {})
+        return PreprocessorModel(dict(
+            numeric=numeric, categorical=self.categorical, text=self.text, medians={c: med[c] for c in numeric},
+            means={c: mean.get(c) for c in numeric}, stds={c: std.get(c) for c in numeric}, modes=modes.get(f, {}),
+            categories={c: got.get(c, []) for c in self.categorical if c not in wide}, wide=wide,
+            vocab=vocab.get(f, []), output_col=self.output_col))
 
 
 class PreprocessorModel:
@@ -186,7 +288,8 @@ class PreprocessorModel:
         s = self.state
         out = [f"num__{c}" for c in s["numeric"]]
         for c in s["categorical"]:
-            out += [f"cat__{c}__{i}" for i in range(len(s["categories"][c]))]
+            wide = c in s.get("wide", {})
+            out += [f"cat__{c}"] if wide else [f"cat__{c}__{i}" for i in range(len(s["categories"][c]))]
         if s["vocab"]:
             out.append(TEXT_VECTOR)      # one sparse vector of all vocabulary terms
         return out
@@ -201,17 +304,30 @@ class PreprocessorModel:
             cols.append(((x - F.lit(mu if mu is not None else 0.0)) / F.lit(sd)).alias(f"num__{c}"))
         for c in s["categorical"]:
             v = F.coalesce(F.col(c).cast("string"), F.lit(s["modes"].get(c)))
-            for i, cat in enumerate(s["categories"][c]):
+            for i, cat in enumerate(s["categories"].get(c, [])):
                 cols.append((v == F.lit(cat)).cast("double").alias(f"cat__{c}__{i}"))
         return cols
 
+    def _with_wide(self, df: DataFrame, c: str) -> DataFrame:
+        """Append the sparse one-hot vector of a wide category column: its index table is joined
+        by value (Spark broadcasts it if it turns out small) and unseen values are all zero."""
+        path, size = self.state["wide"][c]
+        index = df.sparkSession.read.parquet(path).select(F.col("value").alias("_value"), F.col("index").cast("double").alias("_index"))
+        value = F.coalesce(F.col(c).cast("string"), F.lit(self.state["modes"].get(c)))
+        known = df.withColumn("_own", value).join(index, F.col("_own") == F.col("_value"), "left")
+        coded = known.withColumn("_index", F.coalesce("_index", F.lit(float(size)))).drop("_own", "_value")
+        return one_hot(coded, "_index", f"cat__{c}", size).drop("_index")
+
     def transform(self, df: DataFrame, keep=None, assemble: bool = True) -> DataFrame:
         keep = list(keep) if keep is not None else df.columns
         extra = []
+        for c in self.state.get("wide", {}):
+            df = self._with_wide(df, c)
+            extra.append(F.col(f"cat__{c}"))
         if self.state["vocab"]:
             vocab = [(t, w) for t, w in self.state["vocab"]]
             df = tfidf_vector(with_terms(df, self.state["text"][0], "_terms"), "_terms", vocab, TEXT_VECTOR)
-            extra = [F.col(TEXT_VECTOR)]
+            extra.append(F.col(TEXT_VECTOR))
         out = df.select(*keep, *self.expressions(), *extra)
         if assemble:
             out = VectorAssembler(inputCols=self.output_columns(), outputCol=self.state["output_col"],
@@ -219,9 +335,25 @@ class PreprocessorModel:
         return out
 
     def save(self, path: str, spark) -> None:
-        spark.createDataFrame([(json.dumps(self.state),)], "state string").coalesce(1) \
-             .write.mode("overwrite").json(path)
+        """The state as one JSON row; index tables of wide columns go along."""
+        state = dict(self.state, wide={})
+        for c, (table, size) in self.state.get("wide", {}).items():
+            name = f"categories-{list(self.state['wide']).index(c)}"
+            spark.read.parquet(table).write.mode("overwrite").parquet(f"{path}/{name}")
+            state["wide"][c] = [name, size]
+        spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1) \
+             .write.mode("overwrite").json(f"{path}/state")
 
     @staticmethod
     def load(path: str, spark) -> "PreprocessorModel":
-        return PreprocessorModel(json.loads(spark.read.json(path).first()["state"]))
+        state = json.loads(spark.read.json(f"{path}/state").first()["state"])
+        state["wide"] = {c: [f"{path}/{name}", size] for c, (name, size) in state.get("wide", {}).items()}
+        return PreprocessorModel(state)
+
+
+def one_hot(df: DataFrame, index: str, into: str, size: int) -> DataFrame:
+    """Sparse one-hot vectors of ``size`` entries; the index ``size`` is all zero."""
+    spark = df.sparkSession
+    # the encoder takes the number of categories from the largest index it is fitted on; its last one is dropped
+    top = spark.range(1).select(F.lit(float(size)).alias(index))
+    return OneHotEncoder(inputCol=index, outputCol=into, dropLast=True, handleInvalid="error").fit(top).transform(df)

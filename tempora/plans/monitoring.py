@@ -86,27 +86,24 @@ def champion_challenger(champion: ln.HorizonModel, estimator, history: DataFrame
     return ev, {"model": challenger if adopted else champion, "baseline": baseline}
 
 
-def drift_by_day(baseline: DataFrame, stream: DataFrame, cols, by=("series_id",), recent: int = sp.DRIFT_BASELINE_ROWS,
-                 min_rows: int = dr.DRIFT_MIN_TRAIN_ROWS, order: str = "row_id", day: str = DAY) -> DataFrame:
-    """R8 for every scored day at once: ``by..., day_index, n_drifted, n_tested, drift``.
+def ks_by_day(baseline: DataFrame, stream: DataFrame, cols, by=("series_id",), recent: int = sp.DRIFT_BASELINE_ROWS,
+              order: str = "row_id", day: str = DAY) -> DataFrame:
+    """R8 statistics for every scored day at once: ``by..., day_index, column_name, n_base, n_recent, k_stat, rows``.
 
     ``baseline``: the fixed first rows (keys and ``cols``); ``stream``: the rolling set in
     ``order``, with ``day`` set on scored rows.  The sample of a day is the
-    ``recent`` rows before it.  The largest gap of two step functions lies at (or
+    ``recent`` rows before it; ``rows`` counts those that came before.  The largest gap of two step functions lies at (or
     just before) a value of the recent sample, so the baseline's distribution
-    is looked up once per stream value, in one running count per series and column;
-    it is not copied per day.  Only a stream row's small (column, value,
-    two counts) record is copied to the ``recent`` days that use it.
+    is looked up once per stream value (``drift.running_counts``, ranges of values, no series in
+    one task); it is not copied per day.  Only a stream row's small (column, value,
+    two counts) record is copied to the ``recent`` days that use it, and a day's
+    sample is all that one window sees.
     """
     keys = [*by, "column_name"]
-    base = dr.unpivot(baseline, list(by), cols).withColumns({"_pos": F.lit(None).cast("long"), "_a": F.lit(1)})
-    rows = dr.unpivot(stream.withColumn("_pos", F.col(order)), [*by, "_pos"], cols).withColumn("_a", F.lit(0))
-    at = Window.partitionBy(*keys).orderBy("value")
-    seen = (base.select(*keys, "value", "_pos", "_a").unionByName(rows.select(*keys, "value", "_pos", "_a"))
-                .withColumn("_le", F.sum("_a").over(at.rangeBetween(Window.unboundedPreceding, 0)))
-                .withColumn("_lt", F.col("_le") - F.sum("_a").over(Window.partitionBy(*keys, "value")))
-                .withColumn("n_base", F.sum("_a").over(Window.partitionBy(*keys)))
-                .where(F.col("_pos").isNotNull() & (F.col("n_base") > 0)))
+    base = dr.unpivot(baseline, list(by), cols).withColumns({"_pos": F.lit(None).cast("long"), "_base": F.lit(True)})
+    rows = dr.unpivot(stream.withColumn("_pos", F.col(order).cast("long")), [*by, "_pos"], cols).withColumn("_base", F.lit(False))
+    seen = (dr.running_counts(base.unionByName(rows), keys, "value", "_base").withColumnRenamed("n_all", "n_base")
+              .where(~F.col("_base") & (F.col("n_base") > 0)))
     days = stream.where(F.col(day).isNotNull()).select(*by, F.col(order).alias("_day_pos"), F.col(day).alias("_day"))
     used = (seen.withColumn("_day_pos", F.explode(F.sequence(F.col("_pos") + 1, F.col("_pos") + recent)))
                 .join(days, [*by, "_day_pos"]))
@@ -114,12 +111,17 @@ def drift_by_day(baseline: DataFrame, stream: DataFrame, cols, by=("series_id",)
     upto = g.orderBy("value").rangeBetween(Window.unboundedPreceding, 0)
     q = (used.withColumn("n_recent", F.count(F.lit(1)).over(g)).withColumn("_ge", F.count(F.lit(1)).over(upto))
              .withColumn("_eq", F.count(F.lit(1)).over(Window.partitionBy(*by, "_day", "column_name", "value"))))
-    gap = F.greatest(F.abs(F.col("_le") * F.col("n_recent") - F.col("_ge") * F.col("n_base")),
-                     F.abs(F.col("_lt") * F.col("n_recent") - (F.col("_ge") - F.col("_eq")) * F.col("n_base")))
-    st = (q.groupBy(*by, "_day", "column_name").agg(F.first("n_base").alias("n_base"), F.first("n_recent").alias("n_recent"),
-                                                  F.max(gap).alias("k_stat"), F.max("_day_pos").alias("_day_pos")))
-    st = dr.with_pvalue(st)
-    return (st.groupBy(*by, F.col("_day").alias(day))
+    gap = F.greatest(F.abs(F.col("n_le") * F.col("n_recent") - F.col("_ge") * F.col("n_base")),
+                     F.abs(F.col("n_lt") * F.col("n_recent") - (F.col("_ge") - F.col("_eq")) * F.col("n_base")))
+    return (q.groupBy(*by, F.col("_day").alias(day), "column_name")
+             .agg(F.first("n_base").alias("n_base"), F.first("n_recent").alias("n_recent"), F.max(gap).alias("k_stat"), F.max("_day_pos").alias("rows")))
+
+
+def drift_by_day(baseline: DataFrame, stream: DataFrame, cols, by=("series_id",), recent: int = sp.DRIFT_BASELINE_ROWS,
+                 min_rows: int = dr.DRIFT_MIN_TRAIN_ROWS, order: str = "row_id", day: str = DAY) -> DataFrame:
+    """R8 for every scored day at once: ``by..., day_index, n_drifted, n_tested, drift``."""
+    st = dr.with_pvalue(ks_by_day(baseline, stream, cols, by, recent, order, day))
+    return (st.groupBy(*by, day)
               .agg(F.count(F.when(F.col("p_value") < dr.KS_ALPHA, 1)).alias("n_drifted"), F.count(F.lit(1)).alias("n_tested"),
-                   F.max("_day_pos").alias("_rows"))
+                   F.max("rows").alias("_rows"))
               .withColumn("drift", (F.col("n_drifted") >= dr.MIN_DRIFTED) & (F.col("_rows") >= min_rows)).drop("_rows"))

@@ -544,6 +544,24 @@ FROM ks WHERE n_base > 0 AND n_recent > 0""", ["d_stat"])
 SELECT series_id, count(CASE WHEN p THEN 1 END) AS n_drifted, count(*) AS n_tested, count(CASE WHEN p THEN 1 END) >= 3 AS drift
 FROM (SELECT *, {ks_significant()} AS p FROM k) GROUP BY series_id"""
 
+    S["q_csv_rejects"] = R(f"""WITH s AS (SELECT series_id, ts, temp, day(ts) AS at FROM ({daily_src('o_orderpriority')})),
+m AS (SELECT *, CASE WHEN at IN (7, 9) THEN 'fields' WHEN at = 3 THEN 'datetime' WHEN at = 5 THEN 'number'
+  ELSE CAST(year(ts) AS VARCHAR) END AS part FROM s)
+SELECT series_id, part, count(*) AS n, sum(CASE WHEN at NOT IN (3, 5, 7, 9) THEN temp END) AS total FROM m GROUP BY series_id, part""", ["total"])
+    day_cols = ["temp", "tempmax", "tempmin", "humidity", "precip"]
+    unpivoted = " UNION ALL ".join(f"SELECT series_id, row_id, n_rows, '{c}' AS column_name, {c} AS value FROM dn" for c in day_cols)
+    S["q_drift_by_day"] = f"""WITH {daily_n(True)}, u AS ({unpivoted}),
+days AS (SELECT series_id, row_id AS pos, CAST(row_id - floor(n_rows * 0.8) AS BIGINT) AS day_index FROM dn WHERE row_id >= floor(n_rows * 0.8)),
+pts AS (SELECT d.series_id, day_index, pos, column_name, value, 1 AS a, 0 AS b FROM days d JOIN u ON u.series_id = d.series_id AND u.row_id < 30
+  UNION ALL SELECT d.series_id, day_index, pos, column_name, value, 0, 1 FROM days d JOIN u ON u.series_id = d.series_id AND u.row_id BETWEEN d.pos - 30 AND d.pos - 1),
+pv AS (SELECT series_id, day_index, pos, column_name, value, sum(a) AS ca, sum(b) AS cb FROM pts GROUP BY ALL),
+cu AS (SELECT *, sum(ca) OVER g AS n_base, sum(cb) OVER g AS n_recent, sum(ca) OVER o AS fa, sum(cb) OVER o AS fb FROM pv
+  WINDOW g AS (PARTITION BY series_id, day_index, column_name), o AS (PARTITION BY series_id, day_index, column_name ORDER BY value)),
+ks AS (SELECT series_id, day_index, pos, column_name, max(n_base) AS n_base, max(n_recent) AS n_recent, max(abs(fa * n_recent - fb * n_base)) AS k_stat
+  FROM cu GROUP BY ALL)
+SELECT series_id, day_index, count(CASE WHEN p THEN 1 END) AS n_drifted, count(*) AS n_tested, count(CASE WHEN p THEN 1 END) >= 3 AND max(pos) >= 60 AS drift
+FROM (SELECT *, {ks_significant()} AS p FROM ks WHERE n_base > 0 AND n_recent > 0) GROUP BY series_id, day_index"""
+
     # slices, rejects, many series
     S["q_slice_functions"] = f"""WITH {daily_n(True)},
 b AS (SELECT *, max(row_id) OVER (PARTITION BY series_id) - row_id AS back FROM dn)

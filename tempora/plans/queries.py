@@ -356,8 +356,8 @@ def q_best_model(spark, d):
 
 def q_compare(spark, d):
     ph = _per_h(spark, d)
-    cmp, hcmp, rec = mt.compare_models(mt.macro(ph), ph, BASE_MODEL, TUNED_MODEL)
-    return fin(cmp.withColumns({c: rec.select(c).scalar() for c in rec.columns}))
+    cmp, _, _ = mt.compare_models(mt.macro(ph), ph, BASE_MODEL, TUNED_MODEL)
+    return fin(mt.recommended(cmp))
 
 
 def q_compare_horizon(spark, d):
@@ -578,4 +578,35 @@ def q_drift(spark, d):
     return fin(summ)
 
 
+def q_csv_rejects(spark, d):
+    """S1 with rejects: a CSV written from the daily series, some of its lines broken, read back: rows per
+    year and bad lines per reason."""
+    import uuid
+    from tempora.session import checkpoint_dir
+    src = si.daily_multi(spark, d).select("series_id", "ts", "temp", "humidity")
+    at = F.dayofmonth("ts")
+    text = F.concat_ws(",", F.col("series_id"), F.when(at == 3, F.lit("no date")).otherwise(F.date_format("ts", "yyyy-MM-dd")),
+                       F.when(at == 5, F.lit("n/a")).otherwise(F.col("temp").cast("string")), F.col("humidity").cast("string"))
+    line = F.when(at == 7, F.col("series_id")).when(at == 9, F.concat(text, F.lit(",1,2"))).otherwise(text)
+    path = f"{checkpoint_dir(spark)}/daily-csv-{uuid.uuid4().hex}"
+    src.select(line.alias("resolvedAddress,datetime,temp,humidity")).write.option("header", True).option("quote", "").csv(path)
+    good, bad = files.read_csv_checked(spark, path, files.daily_schema(), files.daily_ts)
+    rows = good.groupBy(F.col("series_id"), F.year("ts").cast("string").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("temp").alias("total"))
+    first = F.substring_index("record", ",", 1)
+    rejects = bad.groupBy(first.alias("series_id"), F.col("reason").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("total"))
+    return fin(rows.unionByName(rejects))
+
+
+DRIFT_DAY_COLS = ["temp", "tempmax", "tempmin", "humidity", "precip"]
+
+
+def q_drift_by_day(spark, d):
+    """R8 for every day of the last fifth of each series: the 30 rows before the day against the first 30 rows."""
+    from tempora.plans.monitoring import drift_by_day
+    n = numbered_daily(spark, d, multi=True).select("series_id", "row_id", "n_rows", *DRIFT_DAY_COLS).checkpoint()
+    cut = F.floor(F.col("n_rows") * 0.8)
+    stream = n.withColumn("day_index", F.when(F.col("row_id") >= cut, F.col("row_id") - cut).cast("long"))
+    return fin(drift_by_day(sp.head_rows(n, sp.DRIFT_BASELINE_ROWS), stream, DRIFT_DAY_COLS))
+
+
 QUERIES = {name: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)}

@@ -11,7 +11,7 @@ row as the reference does).
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,6 +80,43 @@ def read_hourly_csv(spark: SparkSession, path: str) -> DataFrame:
     return with_series_key(df).withColumn("ts", F.to_timestamp_ntz(F.col("datetime")))
 
 
+CORRUPT = "_corrupt_record"
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType, ts, required=("temp",)) -> tuple[DataFrame, DataFrame]:
+    """S1/S2 with rejects: (rows as ``read_daily_csv`` gives them, ``file, reason, record`` of each bad line).
+
+    A line is bad, first reason wins, if it has more or fewer fields than the header
+    (``fields``), if its ``datetime`` does not parse (``datetime``) or if a ``required`` number is there but does not
+    parse (``number``).  ``ts`` turns the text of ``datetime`` into the row's time, NULL where it
+    cannot.  Other values that do not parse become NULL.  The files are read once, as strings; nothing is inferred.
+    """
+    names = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+    raw = T.StructType([T.StructField(c, _S) for c in names] + [T.StructField(CORRUPT, _S)])
+    lines = (spark.read.schema(raw).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+             .withColumn("_file", F.input_file_name()))
+    types = {f.name: f.dataType for f in schema.fields}
+    unread = [F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(types[c]).isNull() for c in required if c in names]
+    wrong = F.lit(False)
+    for u in unread:
+        wrong = wrong | u
+    reason = (F.when(F.col(CORRUPT).isNotNull(), "fields").when(ts(F.col("datetime")).isNull(), "datetime").when(wrong, "number"))
+    marked = lines.withColumn("_reason", reason)
+    good = with_series_key(typed_by_name(marked.where(F.col("_reason").isNull()).select(*[F.col(f"`{c}`") for c in names]), schema))
+    fields = F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names])
+    bad = marked.where(F.col("_reason").isNotNull()).select(
+        F.col("_file").alias("file"), F.col("_reason").alias("reason"), F.coalesce(CORRUPT, fields).alias("record"))
+    return good.withColumn("ts", ts(F.col("datetime"))), bad
+
+
+def daily_ts(c: Column) -> Column:
+    return F.to_date(F.try_to_timestamp(c, F.lit("yyyy-MM-dd")))
+
+
+def hourly_ts(c: Column) -> Column:
+    return c.try_cast("timestamp_ntz")
+
+
 def days_json_schema() -> T.StructType:
     day = [T.StructField("datetime", _S)] + [T.StructField(c, _D) for c in DAILY_NUMERIC]
     day += [T.StructField(c, _S) for c in DAILY_STRING if c != "preciptype"]
@@ -102,6 +139,25 @@ def parse_days(df: DataFrame, json_col: str, schema: T.StructType | None = None)
     return explode_days(df.select(F.from_json(json_col, schema or days_json_schema()).alias("d")).select("d.*"))
 
 
+def read_days_lines(spark: SparkSession, path: str, schema: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
+    """S3/S4 for line-delimited files, one provider document or one day a line: (day rows, ``file, record`` of
+    lines that are neither).
+
+    Lines split, so one large file is read by as many tasks as its size asks for;
+    ``read_days_json`` needs one task for a file."""
+    schema = schema or days_json_schema()
+    day = schema["days"].dataType.elementType
+    top = [f for f in schema.fields if f.name != "days"]
+    both = T.StructType(schema.fields + [f for f in day.fields if f.name not in schema.names] + [T.StructField("_bad", _S)])
+    lines = spark.read.text(path).withColumn("file", F.input_file_name()).where(F.length(F.trim("value")) > 0)
+    parsed = lines.withColumn("d", F.from_json("value", both, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    good = F.col("d._bad").isNull() & (F.col("d.days").isNotNull() | F.col("d.datetime").isNotNull())
+    # a line that is a day is a document of one day
+    own = F.struct(*[F.col(f"d.{f.name}").cast(f.dataType).alias(f.name) for f in day.fields])
+    docs = parsed.where(good).select(*[F.col(f"d.{f.name}").alias(f.name) for f in top], F.coalesce(F.col("d.days"), F.array(own)).alias("days"))
+    return explode_days(docs), parsed.where(F.coalesce(~good, F.lit(True))).select("file", F.col("value").alias("record"))
+
+
 def explode_days(raw: DataFrame) -> DataFrame:
     """S3/S4 on parsed documents: one row per day."""
     top = [c for c in raw.columns if c != "days"]

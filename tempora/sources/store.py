@@ -10,16 +10,15 @@ from __future__ import annotations
 
 import json
 
-from pyspark.ml.regression import (GBTRegressionModel, LinearRegressionModel,
-                                   RandomForestRegressionModel)
+from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempora.operators.boosting import BoostedTrees
 from tempora.operators.learners import BayesianRidgeModel, HorizonModel
 from tempora.operators.preprocess import PreprocessorModel
 
-_LOADERS = {"GBTRegressionModel": GBTRegressionModel, "RandomForestRegressionModel": RandomForestRegressionModel,
-            "LinearRegressionModel": LinearRegressionModel}
+_LOADERS = {"RandomForestRegressionModel": RandomForestRegressionModel}
 
 
 def save_model(spark: SparkSession, model: HorizonModel, path: str) -> None:
@@ -28,10 +27,13 @@ def save_model(spark: SparkSession, model: HorizonModel, path: str) -> None:
     meta = dict(name=model.name, targets=model.targets, horizons=model.horizons)
     if isinstance(model.fitted, BayesianRidgeModel):
         meta["kind"] = "bayes_ridge"
-        rows = [(float(model.fitted.intercept[j]), [float(v) for v in model.fitted.coef[:, j]])
+        rows = [(j, float(model.fitted.intercept[j]), [float(v) for v in model.fitted.coef[:, j]])
                 for j in range(len(model.targets))]
-        spark.createDataFrame(rows, "intercept double, coef array<double>").coalesce(1) \
+        spark.createDataFrame(rows, "target int, intercept double, coef array<double>").coalesce(1) \
              .write.mode("overwrite").parquet(f"{path}/bayes_ridge")
+    elif isinstance(model.fitted, BoostedTrees):
+        meta["kind"] = "boosted_trees"
+        model.fitted.save(f"{path}/boosted_trees", spark)
     else:
         meta["kind"] = [type(m).__name__ for m in model.fitted]
         for h, m in zip(model.horizons, model.fitted):
@@ -45,8 +47,10 @@ def load_model(spark: SparkSession, path: str) -> HorizonModel:
     prep = PreprocessorModel.load(f"{path}/preprocessor", spark)
     if meta["kind"] == "bayes_ridge":
         import numpy as np
-        rows = spark.read.parquet(f"{path}/bayes_ridge").collect()   # one row per horizon
+        rows = spark.read.parquet(f"{path}/bayes_ridge").orderBy("target").collect()   # one row per horizon
         fitted = BayesianRidgeModel(np.array([r["coef"] for r in rows]).T, np.array([r["intercept"] for r in rows]))
+    elif meta["kind"] == "boosted_trees":
+        fitted = BoostedTrees.load(f"{path}/boosted_trees", spark)
     else:
         fitted = [_LOADERS[k].load(f"{path}/h{h}") for k, h in zip(meta["kind"], meta["horizons"])]
     return HorizonModel(meta["name"], prep, fitted, meta["targets"], meta["horizons"])

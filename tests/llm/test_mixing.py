@@ -99,3 +99,13 @@ def test_budget_below_one_pass_and_edges(spark, rng):
     same = spark.createDataFrame([(1, "a", "x y")] * 3 + [(None, "a", "z")], "doc_id long, source string, text string")
     assert M.mix(same).count() == 4
     assert M.mix(spark.createDataFrame([(1, "a", ""), (2, None, None)], "doc_id long, source string, text string")).count() == 0
+
+
+def test_repeated_ids_with_other_texts_are_stable(spark, rng, monkeypatch):
+    """Rows that share an id are told apart by their text, so a recomputed task emits the same rows."""
+    monkeypatch.setattr(M, "BLOCK_TOKENS", 100)
+    rows = [(7, "a", words(rng, 3 + i % 20)) for i in range(200)] + [(None, "a", words(rng, 5 + i % 9)) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = [sorted((r.doc_id or 0, r.text, r.epoch, r.block, r.position) for r in M.mix(d.repartition(n), budget=700).collect()) for n in (1, 4)]
+    assert got[0] == got[1] and 0 < len(got[0]) < len(rows)
+    assert len({r[3] for r in got[0]}) > 3                    # one id does not fill one block

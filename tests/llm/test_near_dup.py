@@ -64,13 +64,41 @@ def test_drop_copies_and_defined_cases(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, kept string, n_shingles int")
     out = N.drop_copies(d)
     assert out.columns == d.columns
-    assert sorted(r.n_shingles for r in out.collect()) == [2, 3, 4, 5, 6, 7, 7]
+    assert sorted(r.n_shingles for r in out.collect()) == [2, 4, 5, 6, 7]      # one row of each group, and all without words
     got = {r.n: (r.component_id, r.kept) for r in N.groups(d).selectExpr("*", "doc_id as n").collect()}
     assert got[5] == (2, False) and got[2] == (2, True) and got[None][0] in (2, None) and got[8] == (8, True)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert N.groups(empty).count() == 0
 
 
+def test_a_row_without_id_links_its_neighbours(spark, rng):
+    base = ["w%d" % i for i in range(200)]
+    a, n, c = " ".join(base[:-20]), " ".join(base), " ".join(base[20:])
+    s = [shingles(t) for t in (a, n, c)]
+    linked = [100 * len(x & y) >= 85 * len(x | y) for x, y in ((s[0], s[1]), (s[1], s[2]), (s[0], s[2]))]
+    assert linked == [True, True, False]
+    d = spark.createDataFrame([(2, a), (None, n), (3, c), (9, "far " + " ".join("q%d" % i for i in range(50)))], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in N.groups(d).collect()}
+    assert got == {2: 2, None: 2, 3: 2, 9: 9}
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    x, clean = "a b c d e f g h", "quite another text of some words"
+    d = spark.createDataFrame([(1, x, 1), (2, clean, 2), (2, x, 3), (4, "third text here", 4), (4, "third text here", 4), (4, "third text here", 5),
+                               (None, "fourth text", 6), (None, "fourth text", 6)], "doc_id long, text string, k int")
+    assert sorted((r.doc_id or 0, r.text) for r in N.drop_copies(d).collect()) == sorted(
+        [(1, x), (2, clean), (4, "third text here"), (0, "fourth text")])
+
+
+def test_need_bounds_the_missed_links():
+    import math
+    for percent in (50, 70, 80, 85, 95):
+        m, p = N.need(percent), percent / 100
+        tail = [sum(math.comb(N.K, i) * p ** i * (1 - p) ** (N.K - i) for i in range(k)) for k in (m, m + 1)]
+        assert tail[0] < N.MISS <= tail[1]
+    assert N.need(85) == 12
+
+
 def test_block_links_are_a_spanning_forest(rng):
     sets = [np.array(sorted(rng.sample(range(30), 26)), np.uint64) for _ in range(40)]
     keys, side = np.arange(40), np.zeros(40, bool)

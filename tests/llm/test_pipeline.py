@@ -43,5 +43,5 @@ def test_stages_by_brute_force(spark, tmp_path):
 def test_registered(spark):
     import __spark_entry__ as E
     names = E.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op")} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if k.startswith("op")} and "pipeline" in names
     assert decontaminate and near_dup

@@ -39,12 +39,12 @@ def test_own_trees_equal_the_library_s(spark, rng):
     import glob
     d = spark.createDataFrame(corpus(rng), "doc_id long, text string, source string")
     rows = S.weak_labels(S.findings(d, S.statistics(d)))
-    saved = set(glob.glob(spark.sparkContext.getCheckpointDir().replace("file:", "") + "/../forest-*"))
+    from tempora.session import checkpoint_dir
+    folder = checkpoint_dir(spark).replace("file:", "")
+    saved = set(glob.glob(folder + "/forest-*"))
     forest = S.train(rows)
-    new = set(glob.glob(spark.sparkContext.getCheckpointDir().replace("file:", "") + "/../forest-*")) - saved
-    new |= set(glob.glob(spark.sparkContext.getCheckpointDir().replace("file:", "") + "/forest-*"))
-    if not new:
-        return
+    new = set(glob.glob(folder + "/forest-*")) - saved
+    assert len(new) == 1
     model = RandomForestClassificationModel.load("file:" + max(new, key=lambda p: __import__("os").path.getmtime(p)))
     got = (model.transform(rows.select("features", array_to_vector("features").alias("f")).withColumnRenamed("features", "x")
                            .withColumnRenamed("f", "features")).select("x", vector_to_array("probability").alias("p")).collect())
@@ -92,3 +92,41 @@ def test_dictionary_does_not_fill_up(spark, rng):
     keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(50)]
     assert max(S._coverage(k.encode(), stats) for k in keys) == 0.0
     assert S._coverage(b"unconsidered", stats) == 10 / 12
+
+
+def test_candidates_of_every_length():
+    def found(t):
+        return [t[a:b] for a, b in S.spans(t)]
+    assert found('password = "x9Tr4bQ2k"') == ["x9Tr4bQ2k"] and found("PWD: a.b!c@d#1$2%") == ["a.b!c@d#1$2%"]
+    assert found("my_api_key='s3cr.et!'") == ["s3cr.et!"] and found("passwd=hunter2,next") == ["hunter2"]
+    assert found('title: "something"') == ["something"] and found("ratio: 12345678") == [] and found("key = abc") == []
+    assert found("token = " + "ab12" * 10) == ["ab12" * 10] and found("x" * 15) == [] and found("x" * 16) == ["x" * 16]
+    assert found('secret: "' + "a" * 20 + "!.?" + '"') == ["a" * 20 + "!.?"]       # one candidate, the longer
+    assert found("") == [] and found("=" * 500 + ":" * 500 + " " * 500) == []
+    assert len(S.spans("password=" * 4000)) < 4000 and S.spans("token" * 20_000 + "=") is not None
+
+
+def test_short_passwords_are_found(spark, rng):
+    """Planted findings of 8 to 15 characters, punctuation included, beside other values; reviewed labels train the forest."""
+    rows, planted = [], {}
+    for i in range(400):
+        w = words(rng, 30, 200).split()
+        if i % 2 == 0:
+            value = "".join(rng.choice("abcdefghjkmnpqrstuvwxyzABCDEFGHJKMNPQRSTUVWXYZ23456789.!@#$%") for _ in range(rng.randrange(8, 16)))
+            w.insert(rng.randrange(len(w)), rng.choice(['password = "%s"', "pwd: %s", "api_token='%s'"]) % value)
+            planted[i] = value
+        else:
+            w.insert(rng.randrange(len(w)), rng.choice(['title: "%s"', 'name = "%s"', "key: %s"]) % "".join(words(rng, 2, 200).split()).replace("w", "word"))
+        rows.append((i, " ".join(w), "src"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    stats = S.statistics(d)
+    truth = spark.createDataFrame(list(planted.items()), "doc_id long, candidate string").withColumn("label", F.lit(1))
+    reviewed = S.findings(d, stats).join(truth, ["doc_id", "candidate"], "left").fillna(0, ["label"])
+    assert reviewed.where("label = 1").count() == len(planted)
+    forest = S.train(reviewed.where("doc_id % 5 <> 0"))
+    held = [r for r in S.scan(d, stats, forest).where("doc_id % 5 = 0").collect()]
+    right = sum(r.is_secret == (planted.get(r.doc_id) == r.candidate) for r in held)
+    assert len(held) >= 70 and right / len(held) > 0.9
+    clean = {r.doc_id: r.text for r in S.redact(d, stats, forest, length_col=None).collect()}
+    gone = sum(v not in clean[i] for i, v in planted.items())
+    assert gone / len(planted) > 0.9

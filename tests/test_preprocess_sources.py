@@ -127,3 +127,48 @@ def test_first_available_and_stringify(spark):
     df = spark.createDataFrame([(1, [1, 2], "a")], "n int, arr array<int>, s string")
     out = files.stringify_objects(df)
     assert dict(out.dtypes) == {"n": "int", "arr": "string", "s": "string"}
+
+
+def test_csv_rejects_are_listed(spark):
+    import os
+    import tempfile
+    from tempora.sources import files
+    path = os.path.join(tempfile.mkdtemp(prefix="tempora-csv-"), "d.csv")
+    with open(path, "w") as f:
+        f.write("datetime,temp,humidity,name\n2024-01-01,20.5,80,X\n2024-01-02,,x,X\nyesterday,1,2,X\n2024-01-04,hot,2,X\n2024-01-05,1\n"
+                "2024-01-06,1,2,X,extra\n\"2024-01-07\",\"3\",4,\"a, b\"\n")
+    good, bad = files.read_csv_checked(spark, path, files.daily_schema(), files.daily_ts)
+    rows = {str(r["ts"]): (r["temp"], r["humidity"], r["series_id"]) for r in good.collect()}
+    assert rows == {"2024-01-01": (20.5, 80.0, "X"), "2024-01-02": (None, None, "X"), "2024-01-07": (3.0, 4.0, "a, b")}
+    assert sorted((r["reason"], r["record"]) for r in bad.collect()) == [
+        ("datetime", "yesterday,1,2,X"), ("fields", "2024-01-05,1"), ("fields", "2024-01-06,1,2,X,extra"), ("number", "2024-01-04,hot,2,X")]
+    assert all(r["file"].endswith("d.csv") for r in bad.collect())
+
+
+def test_days_lines_are_read_by_several_tasks(spark):
+    import json
+    import os
+    import tempfile
+    from tempora.sources import files
+    folder = tempfile.mkdtemp(prefix="tempora-lines-")
+    docs = [{"resolvedAddress": f"S{i}", "latitude": 1.5, "days": [
+        {"datetime": f"2024-01-{j + 1:02d}", "temp": i + j / 10, "preciptype": ["rain", "snow"] if j % 2 else None, "stations": ["a", "b"]} for j in range(5)]}
+        for i in range(400)]
+    with open(os.path.join(folder, "x.jsonl"), "w") as f:
+        f.write("\n".join(json.dumps(d) for d in docs) + "\n\n")
+        f.write(json.dumps({"datetime": "2024-02-01", "temp": 7.0, "resolvedAddress": "one day"}) + "\n{broken\n{\"other\": 1}\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        rows, bad = files.read_days_lines(spark, folder)
+        assert rows.rdd.getNumPartitions() > 1
+        got = {(r["series_id"], str(r["ts"])): (r["temp"], r["preciptype"], r["stations"]) for r in rows.collect()}
+        assert sorted(r["record"] for r in bad.collect()) == ['{"other": 1}', "{broken"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for n, d in enumerate(docs):
+        with open(os.path.join(folder, f"{n}.json"), "w") as f:
+            json.dump(d, f)
+    want = {(r["series_id"], str(r["ts"])): (r["temp"], r["preciptype"], r["stations"])
+            for r in files.read_days_json(spark, os.path.join(folder, "*.json")).collect()}
+    assert {k: v for k, v in got.items() if k[0] != "one day"} == want and got["one day", "2024-02-01"][0] == 7.0 and len(want) == 2000

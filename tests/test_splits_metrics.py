@@ -219,3 +219,28 @@ def test_null_keys_and_rejects(spark):
     assert both[0] == both[1] and len(both[0]) == 6
     r = {(x.series_id, x.reason): x.n_rows for x in fe.rejects(df, 30, 5).collect()}
     assert r == {("a", "null_key"): 1, ("a", "short_series"): 4, (None, "null_key"): 2, (None, "short_series"): 2}
+
+
+def test_exact_quantiles_of_skewed_values(spark, monkeypatch):
+    """One huge value, a repeated one and infinities: ranges narrow by counting until few values are left."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    v = np.concatenate((rng.standard_normal(40_000), [1e12, -1e300, 1.7e308, -1.7e308], np.full(20_000, 0.25), rng.random(3000) * 1e-200))
+    df = spark.createDataFrame([("a", float(x)) for x in v] + [("b", float("inf")), ("b", 1.0), ("b", float("-inf")), (None, 2.0), ("c", None)],
+                               "g string, v double").repartition(3)
+    sorted_at_once = []
+    inside = mt._inside
+
+    def spy(counts, ranges, keys, gk, rows):
+        out = inside(counts, ranges, keys, gk, rows)
+        sorted_at_once.append(out.groupBy(*gk, "_lo").count().agg({"count": "max"}).first()[0])
+        return out
+    monkeypatch.setattr(mt, "_inside", spy)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.9, 0.9999, 1.0]
+    got = {r["g"]: r for r in mt.exact_quantiles(df, ["g"], "v", probs, [f"p{i}" for i in range(7)]).collect()}
+    want = np.quantile(v, probs)
+    assert [got["a"][f"p{i}"] for i in range(7)] == pytest.approx(want.tolist(), rel=1e-12)
+    assert sorted_at_once[-1] <= mt.SORTED_VALUES and len(sorted_at_once) > 1       # the last range is what is sorted
+    assert got[None]["p3"] == 2.0 and "c" not in got and got["b"]["p3"] == 1.0
+    assert mt.exact_quantiles(df.where("false"), ["g"], "v", [0.5]).count() == 0
+    assert mt.exact_quantiles(df.where("g = 'a'"), [], "v", [0.5], ["m"]).first()["m"] == pytest.approx(np.median(v))
