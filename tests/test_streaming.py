@@ -57,7 +57,7 @@ def test_keyed_state_equals_batch_over_a_restart(spark):
     g = random.Random(2)
     first = dt.date(2024, 1, 1)
     rows = []
-    for s, days in (("a", 140), ("b", 60), ("c", 20)):
+    for s, days in (("a", 240), ("b", 60), ("c", 20)):     # 139 rows follow the retraining of row 101: maintenance is due
         for i in range(days):
             rmse = None if i % 37 == 5 else 1.0 + (0.3 if s == "a" and 40 <= i < 70 else 0.0) + (0.5 if s == "b" and i >= 50 else 0.0) + g.random() * 0.1
             rows.append((s, first + dt.timedelta(days=i), rmse, 1.0, s == "a" and i in (45, 100)))
@@ -96,5 +96,5 @@ def test_keyed_state_equals_batch_over_a_restart(spark):
         for c in ("degradation", "mean_degradation_30", "alert_rate_7"):
             assert (r[c] is None) == (w[c] is None) and (r[c] is None or abs(r[c] - w[c]) < 1e-9)
         checked += 1
-    assert checked == 140 - 5 + 60 + 20 and len(got) == checked + len([k for k in got if k[1] > last - dt.timedelta(days=5)])
+    assert checked == 240 - 5 + 60 + 20 and len(got) == checked + len([k for k in got if k[1] > last - dt.timedelta(days=5)])
     assert any("scheduled_maintenance" in r["reasons"] for r in got.values()) and any("alert_spike" in r["reasons"] for r in got.values())
