@@ -210,7 +210,10 @@ def listed(spans: Column) -> Column:
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id, base, terms, all_spans`` and a count of each base kind."""
     df = find(docs, id_col, text_col)
-    counts = [F.size(F.filter("base", lambda s, i=i: s.kind == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
+
+    def count(i):       # not a default argument: a second parameter of the filter's function is the element's position
+        return F.size(F.filter("base", lambda s: s.kind == i)).cast("long")
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
     return df.select(F.col("id").alias(id_col), *counts, "base", "terms", F.array_sort(F.concat("base", "terms")).alias("all_spans"))
 
 

@@ -88,6 +88,23 @@ def test_base_spans_match_plain_patterns(spark, rng):
         assert got[i] == base(t), t
 
 
+def test_counts_and_digests_of_the_query(spark, rng, tmp_path):
+    """Each kind is counted by itself, on null and repeated ids and rows too."""
+    import hashlib
+
+    from tempora.llm import queries as Q
+    texts = ["1.2.3.4 5.6.7.8 a@b.c +1 (578) 555-6437", "4111 1111 1111 1111", "a@b.c d@e.f g@h.i", "+1 (578) 555-6437", "", None] + fuzz(rng, 300)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[1]), (None, texts[0]), (None, None), (2, texts[2]), (2, texts[2])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter(tuple(r) for r in Q.op10_pii(spark, str(tmp_path)).drop("spans").collect())
+
+    def want(i, t):
+        spans = base(t)
+        digest = hashlib.sha256(",".join(f"{P.KINDS[k]}:{s}:{e}" for s, k, e, _ in spans).encode()).hexdigest()
+        return (i, *[sum(k == x for _, x, _, _ in spans) for k in range(4)], digest)
+    assert got == Counter(want(*r) for r in rows)
+
+
 def disclosing_docs(rng):
     docs = []
     for i in range(3000):
