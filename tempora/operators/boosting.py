@@ -11,16 +11,18 @@ boosters grow their next tree together.
    ``BLOCK_ROWS`` rows of one fit.  Blocks and the running predictions stay
    cached on the executors; they are checkpointed every ``CHECKPOINT_ROUNDS``
    rounds, so a lost block is recomputed from that many rounds at most.
-3. One job grows one level: every task adds up gradients and counts per
-   (booster, node, feature, bin) of its block.  Where fits have several blocks
-   these histograms are summed by (fit, run of features) in a shuffle.  Only the best
-   split of each node and run of features comes to the driver.
+3. A fit of several blocks grows by one job a level: every task adds up gradients and
+   counts per (booster, node, feature, bin) of its block, and these histograms are
+   summed by (fit, run of features) in a shuffle.  Only the best
+   split of each node and run of features comes to the driver.  A fit of one block (at
+   most ``BLOCK_ROWS`` rows) has nothing to sum: each of its boosters
+   is a task of its own that takes the same steps for every round, all in one job.
 4. Leaves are expanded by falling gain up to ``max_leaf_nodes``: a level's
    splits are computed for every leaf that may still be expanded, and the final tree is the
    best-first one.  A leaf's value is ``-rate * G / (N + l2)``.
 
 This is the one place of the library that works on an RDD: the state of a block is a
-few arrays that each of some 1,500 small jobs updates in place, which a
+few arrays that every level of every round reads, which a
 DataFrame would send between the JVM and Python every time.
 
 Rows with a NULL target take no part in that target's boosters; a target without rows
@@ -144,7 +146,7 @@ def _pack(x: DataFrame, targets: list[str], edges: dict, sizes: dict):
         y = np.ascontiguousarray(np.frombuffer(r["y"], float).reshape(n, k).T)
         return Block(r["fit"], bins, y, np.zeros_like(y))
     rdd = blocks.rdd.map(lambda r: (r["block"], r)).partitionBy(total, int).map(lambda kv: state(kv[1]))
-    return rdd, all(c == 1 for c in count.values())
+    return rdd, {f for f, c in count.items() if c == 1}
 
 
 # ------------------------------------------------------------------ one level
@@ -201,12 +203,14 @@ def histograms(block: Block, trees: dict, wanted: dict, n_bins: int, step: int):
         width = max(1, step // len(nodes))
         for lo in range(0, n_columns, width):
             b = block.bins[lo:lo + width][:, rows] if len(rows) < block.bins.shape[1] else block.bins[lo:lo + width]
-            m = len(b)
-            cells = m * len(nodes) * n_bins
-            key = (b + (np.arange(m) * (len(nodes) * n_bins))[:, None] + s * n_bins).ravel()
-            gs = np.bincount(key, np.broadcast_to(g, b.shape).ravel(), cells).reshape(m, len(nodes), n_bins)
-            ns = np.bincount(key, minlength=cells).reshape(m, len(nodes), n_bins)
-            yield (fit, k, lo), (nodes, gs, ns.astype(float))
+            cells = len(nodes) * n_bins
+            gs, ns = np.empty((len(b), cells)), np.empty((len(b), cells))
+            first = s * n_bins
+            for j, column in enumerate(b):          # a column at a time: its keys and cells stay in the cache
+                key = first + column
+                gs[j], ns[j] = np.bincount(key, g, cells), np.bincount(key, minlength=cells)
+            shape = len(b), len(nodes), n_bins
+            yield (fit, k, lo), (nodes, gs.reshape(shape), ns.reshape(shape))
 
 
 def best_splits(key, value, p: Boosting):
@@ -215,11 +219,16 @@ def best_splits(key, value, p: Boosting):
     left_g, left_n = gs.cumsum(2)[:, :, :-1], ns.cumsum(2)[:, :, :-1]
     g, n = gs[0].sum(1), ns[0].sum(1)
     right_g, right_n = g[None, :, None] - left_g, n[None, :, None] - left_n
-    l2 = p.l2_regularization
+    l2, least = p.l2_regularization, max(p.min_samples_leaf, MIN_HESSIAN)
+    small = (left_n < least) | (right_n < least)
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = left_g ** 2 / (left_n + l2) + right_g ** 2 / (right_n + l2) - (g ** 2 / (n + l2))[None, :, None]
-    least = max(p.min_samples_leaf, MIN_HESSIAN)
-    gain = np.where((left_n >= least) & (right_n >= least), gain, -np.inf)
+        gain = left_g ** 2
+        gain /= left_n + l2
+        right_g *= right_g
+        right_g /= np.add(right_n, l2, out=right_n)
+        gain += right_g
+        gain -= (g ** 2 / (n + l2))[None, :, None]
+    gain[small] = -np.inf
     out = []
     for j, node in enumerate(nodes):
         c = gain[:, j]
@@ -235,12 +244,14 @@ class _Grower:
     """Best-first growth of one tree from splits that become known level by level."""
 
     def __init__(self, p: Boosting):
-        self.p, self.known, self.tree, self.depth = p, {}, Tree(), {0: 0}
+        self.p, self.known, self.found, self.tree, self.depth = p, {}, {}, Tree(), {0: 0}
         self.total: dict = {}
 
     def wanted(self) -> list[int]:
         """Leaves whose best split must be known; expands the tree by what is known."""
         need = []
+        self.known.update(self.found)
+        self.found = {}
         if 0 not in self.known:
             return [0]
         # best-first over what is known; leaves yet unknown are asked for
@@ -260,6 +271,11 @@ class _Grower:
                     heapq.heappush(heap, (-self.known[child][0], child))
         return need
 
+    def offer(self, node, split) -> None:
+        """A split of a wanted leaf by one run of columns; the best of all runs counts."""
+        if node not in self.found or split[:2] > self.found[node][:2]:
+            self.found[node] = split
+
     def _children(self, node):
         t = self.tree
         if t.feature[node] < 0:
@@ -380,7 +396,7 @@ def fit_boosters(x: DataFrame, targets: list[str], p: Boosting, fit_col: str | N
     if not sizes:
         return {}
     edges = bin_edges(rows.select("fit", "x"), sizes, p.max_bins)
-    blocks, single = _pack(rows, targets, edges, sizes)
+    blocks, single = _pack(rows, targets, edges, sizes)          # ``single``: the fits of one block
     n_bins = {f: 1 + max((len(e) for e in edges[f]), default=0) for f in sizes}
     step = _step(n_bins)
     boosters = [b for b, s in start.items() if s is not None and edges[b[0]]]
@@ -390,20 +406,21 @@ def fit_boosters(x: DataFrame, targets: list[str], p: Boosting, fit_col: str | N
         first = np.array([start[(block.fit, k)] if start[(block.fit, k)] is not None else np.nan for k in range(len(block.y))])
         return Block(block.fit, block.bins, block.y, np.repeat(first[:, None], block.y.shape[1], 1))
 
-    state, old = blocks.map(begin).persist(StorageLevel.MEMORY_AND_DISK), []
+    alone = sorted(b for b in boosters if b[0] in single)
+    if alone:
+        place = {b: i for i, b in enumerate(alone)}
+        apart = blocks.map(begin).flatMap(lambda block: _apart(block, place)).partitionBy(len(alone), place.get)
+        for b, grown in apart.mapValues(_Alone(p, n_bins, step)).collect():
+            trees[b] = grown
+    boosters = [b for b in boosters if b[0] not in single]
+    state, old = blocks.map(begin).filter(lambda block: block.fit not in single).persist(StorageLevel.MEMORY_AND_DISK), []
     for turn in range(p.max_iter if boosters else 0):
         growers = {b: _Grower(p) for b in boosters}
         while wanted := {b: w for b, g in growers.items() if (w := g.wanted())}:
             partial = {b: growers[b].tree for b in wanted}
-            found = state.flatMap(_Level(partial, wanted, n_bins, step, p if single else None))
-            if not single:
-                found = found.reduceByKey(_add).flatMap(_Best(p))
-            best: dict = {}
+            found = state.flatMap(_Level(partial, wanted, n_bins, step)).reduceByKey(_add).flatMap(_Best(p))
             for b, node, split in found.collect():
-                if (b, node) not in best or split[:2] > best[(b, node)][:2]:
-                    best[(b, node)] = split
-            for (b, node), split in best.items():
-                growers[b].known[node] = split
+                growers[b].offer(node, split)
         done = {b: g.finished() for b, g in growers.items()}
         for b, t in done.items():
             trees[b].append(t)
@@ -429,17 +446,13 @@ def _add(a, b):
 
 
 class _Level:
-    """Histograms of a block, or its best splits where a fit is one block (``p`` given)."""
+    """Histograms of a block."""
 
-    def __init__(self, trees, wanted, n_bins, step, p):
-        self.trees, self.wanted, self.n_bins, self.step, self.p = trees, wanted, n_bins, step, p
+    def __init__(self, trees, wanted, n_bins, step):
+        self.trees, self.wanted, self.n_bins, self.step = trees, wanted, n_bins, step
 
     def __call__(self, block: Block):
-        for key, value in histograms(block, self.trees, self.wanted, self.n_bins[block.fit], self.step[block.fit]):
-            if self.p is None:
-                yield key, value
-            else:
-                yield from best_splits(key, value, self.p)
+        return histograms(block, self.trees, self.wanted, self.n_bins[block.fit], self.step[block.fit])
 
 
 class _Best:
@@ -462,3 +475,29 @@ class _Update:
             if fit == block.fit:
                 pred[k] += np.array(t.value)[t.node_of(block.bins)]
         return Block(block.fit, block.bins, block.y, pred)
+
+
+def _apart(block: Block, place: dict):
+    """The boosters of a block: ``(fit, target), rows with that target alone``."""
+    for k in range(len(block.y)):
+        if (block.fit, k) in place:
+            yield (block.fit, k), Block(block.fit, block.bins, block.y[k:k + 1], block.pred[k:k + 1])
+
+
+class _Alone:
+    """All trees of a booster whose rows are one block."""
+
+    def __init__(self, p, n_bins, step):
+        self.p, self.n_bins, self.step = p, n_bins, step
+
+    def __call__(self, block: Block) -> list:
+        own, trees = (block.fit, 0), []
+        for _ in range(self.p.max_iter):
+            grower = _Grower(self.p)
+            while nodes := grower.wanted():
+                for key, value in histograms(block, {own: grower.tree}, {own: nodes}, self.n_bins[block.fit], self.step[block.fit]):
+                    for _, node, split in best_splits(key, value, self.p):
+                        grower.offer(node, split)
+            trees.append(grower.finished())
+            block = _Update({own: trees[-1]})(block)
+        return trees

@@ -98,6 +98,37 @@ def test_several_blocks_and_fits_equal_one(spark, monkeypatch):
             assert np.allclose(m.predict(x[:n], k), one.predict(x[:n], k), atol=1e-9)
 
 
+def test_a_fit_of_one_block_takes_no_job_a_round(spark):
+    """Four times the rounds, the same number of jobs, and the trees of the shorter run first."""
+    x, y0, y1 = data(120)
+    df = frame(spark, x, [y0, y1]).cache()
+    df.count()
+
+    def jobs(rounds):
+        group = f"rounds-{rounds}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            model = bo.fit_boosters(df, ["y0", "y1"], bo.Boosting(0.2, rounds, 3, 10))[0]
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), model
+    (few, short), (many, long) = jobs(3), jobs(12)
+    assert 0 < few == many
+    assert [t[:3] for t in long.trees] == short.trees and all(len(t) == 12 for t in long.trees)
+
+
+def test_fits_of_one_and_of_several_blocks_together(spark, monkeypatch):
+    x, y0, y1 = data(300)
+    p = bo.Boosting(0.2, 4, 3, 10, 1e-3)
+    one = {f: bo.fit_boosters(frame(spark, x[:n], [y0[:n], y1[:n]]), ["y0", "y1"], p)[0] for f, n in ((7, 60), (3, 300))}
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 128)
+    both = np.concatenate((np.arange(60), np.arange(300)))
+    many = bo.fit_boosters(frame(spark, x[both], [y0[both], y1[both]], np.repeat([7, 3], [60, 300])), ["y0", "y1"], p, "fit")
+    for f, n in ((7, 60), (3, 300)):
+        for k in range(2):
+            assert np.allclose(many[f].predict(x[:n], k), one[f].predict(x[:n], k), atol=1e-9)
+
+
 def test_null_targets_ties_and_constant_columns(spark):
     x, y0, _ = data(90)
     x[:, :3] = np.repeat(x[:30, :3], 3, axis=0)                    # repeated rows
